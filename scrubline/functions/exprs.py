@@ -98,7 +98,7 @@ def as_date(c: Column, dtype: T.DataType, fmt: str = DATE_FORMAT) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(c)
     if isinstance(dtype, T.StringType):
-        return F.try_to_date(c, F.lit(fmt))
+        return F.try_to_date(c, fmt)
     return F.lit(None).cast("date")
 
 

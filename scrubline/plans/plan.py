@@ -8,8 +8,8 @@ The ledger (G3, G4) scores the table after every step. Each ledger row is one
 aggregate over that step's output: the suite's rule counts plus ``affected``,
 the number of cells the step changed, counted null-safely against the step's
 input values carried along in one internal struct column (so no join is
-needed to pair old and new rows; a second aggregate over the same output). ``defects_before`` is a ``lag`` over the
-small ledger (W4). With ``checkpoint=True`` every step's output is written to
+needed to pair old and new rows), in the same aggregate as the rule counts.
+``defects_before`` is a ``lag`` over the small ledger (W4). With ``checkpoint=True`` every step's output is written to
 the cluster's checkpoint folder first, so later steps do not recompute the
 earlier ones and a lost executor only reruns the current step.
 """
@@ -153,12 +153,14 @@ def apply_plan(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]]) -> Data
 
 
 def _ledger_row(frame: DataFrame, suite: Q.Suite, idx: int, op: str, cols: str,
-                affected, error: str | None) -> DataFrame:
-    scored = Q.score(frame, suite).select(
+                error: str | None, extra=(), kind: str = "cells") -> DataFrame:
+    scored = Q.score(frame, suite, extra=extra)
+    affected = F.col("affected") if extra else F.lit(0).cast("long")
+    return scored.select(
         F.lit(idx).alias("step"), F.lit(op).alias("operation"), F.lit(cols).alias("target_columns"),
         F.col("rows"), F.col("total_defects").alias("defects_after"), F.col("score"),
-        F.col("passed"), F.lit(error).cast("string").alias("error"))
-    return scored.withColumn("affected", affected if affected is not None else F.lit(0).cast("long"))
+        F.col("passed"), F.lit(error).cast("string").alias("error"),
+        affected.cast("long").alias("affected"), F.lit(kind).alias("_affected_kind"))
 
 
 def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Suite,
@@ -166,10 +168,12 @@ def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Su
     """``(cleaned table, ledger)``.
 
     Ledger columns: ``step, operation, target_columns, rows, defects_before,
-    defects_after, score, passed, reduction_pct, affected, error``. A step that
-    fails its checks is recorded with ``error`` and leaves the table unchanged.
+    defects_after, score, passed, reduction_pct, affected, error``. ``affected``
+    is the number of cells a step changed (rows removed for ``deduplicate``,
+    columns removed for ``drop_column``). A step that fails its checks is
+    recorded with ``error`` and leaves the table unchanged.
     """
-    rows = [_ledger_row(df, suite, 0, "initial", "", None, None)]
+    rows = [_ledger_row(df, suite, 0, "initial", "", None)]
     state = df
     for i, raw in enumerate(steps, start=1):
         try:
@@ -177,19 +181,20 @@ def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Su
             check_step(state, step)
         except PlanError as exc:
             op = raw.get("operation", "?") if isinstance(raw, Mapping) else getattr(raw, "operation", "?")
-            rows.append(_ledger_row(state, suite, i, str(op), "", None, str(exc)))
+            rows.append(_ledger_row(state, suite, i, str(op), "", str(exc)))
             continue
         cols = ",".join(step.target_columns)
-        if step.operation in ("deduplicate", "drop_column"):
+        if step.operation == "deduplicate":
             new = apply_step(state, step)
             if checkpoint:
                 new = new.checkpoint()
-            if step.operation == "deduplicate":
-                n_before = state.agg(F.count(F.lit(1))).scalar()
-                affected = (n_before - F.col("rows")).cast("long")
-            else:
-                affected = F.lit(len([c for c in step.target_columns if c in state.columns])).cast("long")
-            rows.append(_ledger_row(new, suite, i, step.operation, cols, affected, None))
+            # rows removed = previous ledger row's rows - this row's rows (lag below)
+            rows.append(_ledger_row(new, suite, i, step.operation, cols, None, kind="rows_removed"))
+        elif step.operation == "drop_column":
+            new = apply_step(state, step)
+            n = len([c for c in step.target_columns if c in state.columns])
+            rows.append(_ledger_row(new, suite, i, step.operation, cols, None,
+                                    extra=[F.lit(n).cast("long").alias("affected")]))
         else:
             visible = X.visible_columns(state)
             tagged = state.withColumn(X.TAG, F.struct(*[F.col(c) for c in visible]))
@@ -198,15 +203,16 @@ def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Su
                 new = new.checkpoint()
             changed = [F.count_if(~F.col(c).cast("string").eqNullSafe(F.col(X.TAG)[c].cast("string")))
                        for c in visible if c in new.columns]
-            affected = reduce(lambda a, b: a + b, changed).cast("long") if changed else F.lit(0).cast("long")
-            counted = _ledger_row(new, suite, i, step.operation, cols, None, None)
-            # changed cells: one more aggregate over the step's output, run as a scalar subquery
-            aff = new.agg(affected.alias("affected"))
-            rows.append(counted.drop("affected").withColumn("affected", aff.scalar()))
+            affected = reduce(lambda a, b: a + b, changed) if changed else F.lit(0)
+            # the suite counts and the changed-cell count in one aggregate
+            rows.append(_ledger_row(new, suite, i, step.operation, cols, None,
+                                    extra=[affected.cast("long").alias("affected")]))
             new = new.drop(X.TAG)
         state = new
     led = reduce(DataFrame.unionByName, rows)
     w = Window.orderBy("step")  # the ledger has one row per step: a tiny table
+    led = led.withColumn("affected", F.when(F.col("_affected_kind") == "rows_removed",
+                                            F.lag("rows").over(w) - F.col("rows")).otherwise(F.col("affected")))
     led = (led.withColumn("defects_before", F.lag("defects_after").over(w))
            .withColumn("reduction_pct", Q.reduction_pct(F.first("defects_after").over(
                w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("defects_after"))))

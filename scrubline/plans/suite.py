@@ -64,14 +64,17 @@ def _join_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
     return cond
 
 
-def rule_counts(df: DataFrame, suite: Suite, by: Sequence[str] | None = None) -> DataFrame:
+def rule_counts(df: DataFrame, suite: Suite, by: Sequence[str] | None = None,
+                extra: Sequence[Column] = ()) -> DataFrame:
     """One row (per ``by`` group) with ``rows``, one count per rule and ``total_defects``.
 
     ``total_defects`` sums the suite's weighted rules (R14); ``extra_counts``
-    (such as total missing cells) are reported but not summed.
+    (such as total missing cells) are reported but not summed. ``extra`` are
+    further aliased aggregate Columns computed in the same scan.
     """
     by = list(by or [])
     aggs = [F.count(F.lit(1)).alias("rows")] + [r.count(df).alias(r.name) for r in _scalar_rules(suite)]
+    aggs += list(extra)
     counts = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     for r in _dup_rules(suite):
         if not r.applicable(df):
@@ -94,6 +97,7 @@ def rule_counts(df: DataFrame, suite: Suite, by: Sequence[str] | None = None) ->
     counts = counts.withColumn("total_defects", (total if total is not None else F.lit(0)).cast("long"))
     ordered = by + ["rows"] + [r.name for r in _scalar_rules(suite) if r not in _dup_rules(suite)]
     ordered += [r.name for r in _dup_rules(suite)] + ["total_defects"]
+    ordered += [c for c in counts.columns if c not in ordered]
     seen: list[str] = []
     for c in ordered:
         if c not in seen:
@@ -121,9 +125,10 @@ def score_column(suite: Suite, df_columns: Sequence[str]) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(weighted).cast("double")
 
 
-def score(df: DataFrame, suite: Suite, by: Sequence[str] | None = None) -> DataFrame:
+def score(df: DataFrame, suite: Suite, by: Sequence[str] | None = None,
+          extra: Sequence[Column] = ()) -> DataFrame:
     """Counts, ``score`` in [0, 1] and the two gate booleans, per ``by`` group (Q1-Q5, Q8)."""
-    counts = rule_counts(df, suite, by)
+    counts = rule_counts(df, suite, by, extra)
     s = score_column(suite, df.columns)
     return (counts.withColumn("score", s)
             .withColumn("passed", F.col("score") >= F.lit(suite.pass_threshold))

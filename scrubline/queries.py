@@ -580,18 +580,18 @@ def profile_lineitem(spark, sf):
 SELECT coalesce(CAST(row_id AS VARCHAR), 'NULL') AS row_id, coalesce(transaction_id, 'NULL') AS transaction_id,
  coalesce(category, 'NULL') AS category, coalesce(CAST(quantity AS VARCHAR), 'NULL') AS quantity,
  coalesce(CAST(price AS VARCHAR), 'NULL') AS price, coalesce(timestamp, 'NULL') AS timestamp
-FROM retail ORDER BY row_id LIMIT 5""")
+FROM retail ORDER BY retail.row_id LIMIT 5""")
 def sample_rows(spark, sf):
     """P5: the first five rows by key, missing shown as NULL (a top-k report)."""
     return P.sample_rows(_view(spark, sf, "retail"), "row_id")
 
 
 @register("sample_values", FX.cte("emr") + """
-, t AS (SELECT 'diagnosis' AS column, diagnosis AS v, row_id FROM emr WHERE diagnosis IS NOT NULL
+, t AS (SELECT 'diagnosis' AS "column", diagnosis AS v, row_id FROM emr WHERE diagnosis IS NOT NULL
         UNION ALL SELECT 'icd10_code', icd10_code, row_id FROM emr WHERE icd10_code IS NOT NULL
         UNION ALL SELECT 'patient_id', patient_id, row_id FROM emr WHERE patient_id IS NOT NULL),
- r AS (SELECT *, row_number() OVER (PARTITION BY column ORDER BY row_id) AS rn FROM t)
-SELECT column, string_agg(v, '|' ORDER BY row_id) AS sample_values FROM r WHERE rn <= 5 GROUP BY column""")
+ r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY row_id) AS rn FROM t)
+SELECT "column", string_agg(v, '|' ORDER BY row_id) AS sample_values FROM r WHERE rn <= 5 GROUP BY 1""")
 def sample_values(spark, sf):
     """The first five non-missing values of each column by key (a top-k report)."""
     sv = P.sample_values(_view(spark, sf, "emr"), "row_id", 5, cols=["diagnosis", "icd10_code", "patient_id"])

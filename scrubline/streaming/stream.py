@@ -27,10 +27,11 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
     (watermarks reject TIMESTAMP_NTZ)."""
     path = table_path(sf_dir, "events")
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    # a file stream watches a folder; the glob keeps it to the events files
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _run(query_df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
