@@ -14,9 +14,9 @@ Ordering doubles equals ordering ``(d1, d2, d3)`` lexicographically. Each level
 is a map-side-combined ``groupBy(group, digit).count()`` (a key holding a third
 of all rows collapses to one partial row per map task), a running sum over at
 most ~4.3M rows per group and target, and a filter keeping the bucket where the
-wanted rank falls; the next level only reads rows of the chosen bucket (a join
-on the digits against a table of at most ``groups x targets`` rows). Three
-levels pin the exact value. Every step is deterministic, so a recomputed task
+wanted rank falls; the next level only counts rows of the chosen bucket (a join
+on the digits against a table of at most ``groups x targets`` rows, each used
+once so no level is recomputed). Three levels pin the exact value. Every step is deterministic, so a recomputed task
 after an executor loss yields the same rows.
 """
 
@@ -31,32 +31,38 @@ _MASK21 = (1 << 21) - 1
 _INF = float("inf")
 
 
-def order_digits(v: Column) -> tuple[Column, Column, Column]:
-    """Three long digits whose lexicographic order equals the order of ``v``.
+def with_order_digits(df: DataFrame, value: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Add ``_v`` (the value, -0.0 as 0.0) and three long digits ``_d1, _d2,
+    _d3`` whose lexicographic order equals the order of ``_v``.
 
-    ``v`` must be a non-NULL, non-NaN double. -0.0 and 0.0 map alike.
+    ``value`` must be a non-NULL, non-NaN double column. The digits are built
+    in staged projections so that each intermediate (exponent, fraction bits)
+    is computed once per row instead of being re-inlined into every digit.
     """
-    a = F.abs(v)
-    finite_pos = (a > 0) & (a < F.lit(_INF))
-    safe = F.when(finite_pos, a).otherwise(F.lit(1.0))
-    e0 = F.floor(F.log2(safe)).cast("int")
-    r0 = safe / F.pow(F.lit(2.0), e0)
+    v = F.col(value) + F.lit(0.0)
+    s1 = df.select(*keep, v.alias("_v"), F.abs(v).alias("_a"))
+    finite_pos = (F.col("_a") > 0) & (F.col("_a") < F.lit(_INF))
+    s2 = s1.select(*keep, "_v", "_a", F.when(finite_pos, F.col("_a")).otherwise(F.lit(1.0)).alias("_s"))
+    s3 = s2.select(*keep, "_v", "_a", "_s", F.floor(F.log2("_s")).cast("int").alias("_e0"))
+    s4 = s3.select(*keep, "_v", "_a", "_s", "_e0", (F.col("_s") / F.pow(F.lit(2.0), F.col("_e0"))).alias("_r0"))
     # log2 may be off by one next to powers of two; correct so that 1 <= m < 2
-    e = F.when(r0 >= 2.0, e0 + 1).when(r0 < 1.0, e0 - 1).otherwise(e0)
-    m = safe / F.pow(F.lit(2.0), e)
-    frac = ((m - F.lit(1.0)) * F.lit(float(1 << 52))).cast("long")
-    top = F.shiftright(frac, 42)
-    mid = F.shiftright(frac, 21).bitwiseAND(F.lit(_MASK21))
-    low = frac.bitwiseAND(F.lit(_MASK21))
-    exp = F.when(a == F.lit(_INF), F.lit(1100)).otherwise(e)
-    mag = (exp + F.lit(1100)).cast("long") * F.lit(1024) + F.when(a == F.lit(_INF), F.lit(0)).otherwise(top)
-    neg = v < 0
-    zero = a == 0
-    d1 = F.when(zero, F.lit(0)).when(neg, -mag).otherwise(mag).cast("long")
-    inf_or_zero = zero | (a == F.lit(_INF))
-    d2 = F.when(inf_or_zero, F.lit(0)).when(neg, F.lit(_MASK21) - mid).otherwise(mid).cast("long")
-    d3 = F.when(inf_or_zero, F.lit(0)).when(neg, F.lit(_MASK21) - low).otherwise(low).cast("long")
-    return d1, d2, d3
+    e = F.when(F.col("_r0") >= 2.0, F.col("_e0") + 1).when(F.col("_r0") < 1.0, F.col("_e0") - 1).otherwise(F.col("_e0"))
+    s5 = s4.select(*keep, "_v", "_a", "_s", e.alias("_e"))
+    frac = ((F.col("_s") / F.pow(F.lit(2.0), F.col("_e")) - F.lit(1.0)) * F.lit(float(1 << 52))).cast("long")
+    s6 = s5.select(*keep, "_v", "_a", "_e", frac.alias("_f"))
+    inf = F.col("_a") == F.lit(_INF)
+    zero = F.col("_a") == 0
+    neg = F.col("_v") < 0
+    mag = ((F.when(inf, F.lit(1100)).otherwise(F.col("_e")) + F.lit(1100)).cast("long") * F.lit(1024)
+           + F.when(inf, F.lit(0)).otherwise(F.shiftright("_f", 42)))
+    mid = F.shiftright("_f", 21).bitwiseAND(F.lit(_MASK21))
+    low = F.col("_f").bitwiseAND(F.lit(_MASK21))
+    flat = zero | inf
+    return s6.select(
+        *keep, "_v",
+        F.when(zero, F.lit(0)).when(neg, -mag).otherwise(mag).cast("long").alias("_d1"),
+        F.when(flat, F.lit(0)).when(neg, F.lit(_MASK21) - mid).otherwise(mid).cast("long").alias("_d2"),
+        F.when(flat, F.lit(0)).when(neg, F.lit(_MASK21) - low).otherwise(low).cast("long").alias("_d3"))
 
 
 def _aliased_on(keys: Sequence[str]) -> Column:
@@ -67,21 +73,21 @@ def _aliased_on(keys: Sequence[str]) -> Column:
     return cond
 
 
-def _semi(data: DataFrame, sel: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
-    """Rows of ``data`` whose ``keys`` appear in the (small) selection table."""
-    sel = sel.select(*keys).distinct()
-    if bounded:
-        sel = F.broadcast(sel)  # at most len(targets) rows per bounded group
-    return data.alias("_L").join(sel.alias("_R"), _aliased_on(keys), "left_semi")
-
+def _targets_in_bucket(data: DataFrame, sel: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
+    """Pair every row of a chosen bucket with the rank targets that chose it.
 
-def _attach(hist: DataFrame, sel: DataFrame, keys: Sequence[str], hist_cols: Sequence[str],
-            sel_cols: Sequence[str], bounded: bool) -> DataFrame:
-    """Join a bucket histogram with the rank targets selected in its bucket."""
+    ``sel`` holds at most ``len(targets)`` rows per group, so with bounded
+    groups it is broadcast; each data row outside the chosen buckets is
+    dropped by the join. ``sel`` is used exactly once, so no level of the
+    selection is recomputed.
+    """
     if bounded:
-        sel = F.broadcast(sel)
-    return hist.alias("_L").join(sel.alias("_R"), _aliased_on(keys), "inner").select(
-        *[F.col(f"_L.{c}").alias(c) for c in hist_cols], *[F.col(f"_R.{c}").alias(c) for c in sel_cols])
+        sel = F.broadcast(sel)  # at most len(targets) rows per bounded group
+    data_cols = [c for c in data.columns if c not in keys]
+    sel_cols = [c for c in sel.columns if c not in keys]
+    return data.alias("_L").join(sel.alias("_R"), _aliased_on(keys), "inner").select(
+        *[F.col(f"_L.{c}").alias(c) for c in keys], *[F.col(f"_L.{c}").alias(c) for c in data_cols],
+        *[F.col(f"_R.{c}").alias(c) for c in sel_cols])
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],
@@ -101,9 +107,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],
     G = list(group_cols)
     bounded = bounded_groups or not G
     v = F.col(value).cast("double")
-    d1, d2, d3 = order_digits(v)
-    data = (df.where(v.isNotNull() & ~F.isnan(v))
-            .select(*G, (v + F.lit(0.0)).alias("_v"), d1.alias("_d1"), d2.alias("_d2"), d3.alias("_d3")))
+    data = with_order_digits(df.where(v.isNotNull() & ~F.isnan(v)).select(*G, v.alias("_x")), "_x", G)
 
     # ---- level 1: histogram over d1, rank targets from the group size
     h1 = data.groupBy(*G, "_d1").agg(F.count(F.lit(1)).alias("_c"))
@@ -120,10 +124,10 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],
             .select(*G, F.col("_t.tag").alias("_tag"), F.col("_n"),
                     (F.col("_t.rank") - (F.col("_cum") - F.col("_c"))).alias("_r"), "_d1"))
 
-    # ---- level 2: inside the chosen d1 bucket, histogram over d2
+    # ---- level 2: inside the chosen d1 bucket, histogram over d2 (per target)
     keys1 = G + ["_d1"]
-    h2 = _semi(data, sel1, keys1, bounded).groupBy(*keys1, "_d2").agg(F.count(F.lit(1)).alias("_c"))
-    j2 = _attach(h2, sel1, keys1, keys1 + ["_d2", "_c"], ["_tag", "_n", "_r"], bounded)
+    j2 = (_targets_in_bucket(data.select(*keys1, "_d2"), sel1, keys1, bounded)
+          .groupBy(*G, "_tag", "_n", "_r", "_d1", "_d2").agg(F.count(F.lit(1)).alias("_c")))
     w2 = Window.partitionBy(*G, "_tag").orderBy("_d2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j2 = j2.withColumn("_cum", F.sum("_c").over(w2))
     sel2 = (j2.where((F.col("_cum") - F.col("_c") < F.col("_r")) & (F.col("_r") <= F.col("_cum")))
@@ -131,9 +135,8 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],
 
     # ---- level 3: inside the chosen (d1, d2) bucket, histogram over d3 = exact value
     keys2 = G + ["_d1", "_d2"]
-    h3 = (_semi(data, sel2, keys2, bounded).groupBy(*keys2, "_d3")
-          .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_val")))
-    j3 = _attach(h3, sel2, keys2, G + ["_d3", "_c", "_val"], ["_tag", "_n", "_r"], bounded)
+    j3 = (_targets_in_bucket(data.select(*keys2, "_d3", "_v"), sel2, keys2, bounded)
+          .groupBy(*G, "_tag", "_n", "_r", "_d3").agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_val")))
     w3 = Window.partitionBy(*G, "_tag").orderBy("_d3").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     j3 = j3.withColumn("_cum", F.sum("_c").over(w3))
     picked = j3.where((F.col("_cum") - F.col("_c") < F.col("_r")) & (F.col("_r") <= F.col("_cum")))
