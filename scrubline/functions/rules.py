@@ -66,6 +66,17 @@ class Rule:
             return out
         return F.coalesce(self.build(df), F.lit(False))
 
+    def predicates(self, df: DataFrame) -> list[Column]:
+        """The row predicates whose true-counts add up to this rule's count
+        (one per row rule, one per column for a cell rule, none if n/a)."""
+        if self.kind == "duplicates":
+            raise TypeError("duplicate rows are counted by duplicate_count()")
+        if not self.applicable(df):
+            return []
+        if self.kind == "cells":
+            return [F.coalesce(p, F.lit(False)) for p in self.cell_predicates(df)]
+        return [self.predicate(df)]
+
     def count(self, df: DataFrame) -> Column:
         """Aggregate Column counting the defect (LongType)."""
         if self.kind == "duplicates":

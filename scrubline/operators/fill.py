@@ -49,10 +49,20 @@ def _key_number(c: Column, dt: T.DataType) -> Column:
     raise TypeError(f"fill: the first order_by column must be numeric, date or timestamp, not {dt.simpleString()}")
 
 
-def _block_column(df: DataFrame, key: str, rows_per_block: int) -> Column:
+_BSTAT = "__scrubline_blockstat"
+
+
+def _with_blocks(df: DataFrame, key: str, rows_per_block: int) -> DataFrame:
+    """Add ``_blk``. The key's min/max/count come from one scalar subquery,
+    attached once as a column so it runs once."""
     kv = _key_number(F.col(key), X.dtype_of(df, key))
-    s = df.agg(F.struct(F.min(kv).alias("lo"), F.max(kv).alias("hi"),
-                        F.count(F.lit(1)).alias("n")).alias("s")).scalar()
+    stat = df.agg(F.struct(F.min(kv).alias("lo"), F.max(kv).alias("hi"),
+                           F.count(F.lit(1)).alias("n")).alias("s")).scalar()
+    with_stat = df.withColumn(_BSTAT, stat)
+    return with_stat.withColumn("_blk", _block_column(kv, F.col(_BSTAT), rows_per_block)).drop(_BSTAT)
+
+
+def _block_column(kv: Column, s: Column, rows_per_block: int) -> Column:
     nblocks = F.greatest(F.lit(1), F.ceil(s["n"] / F.lit(float(rows_per_block))))
     width = (s["hi"] - s["lo"]) / nblocks
     width = F.when(width > 0, width).otherwise(F.lit(1.0))
@@ -70,7 +80,7 @@ def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_b
     if not targets:
         return df
     keep = list(df.columns)
-    blk = df.withColumn("_blk", _block_column(df, order[0], rows_per_block))
+    blk = _with_blocks(df, order[0], rows_per_block)
     # the value to carry: NaN counts as missing
     vals = {c: F.when(~X.is_missing(F.col(c), X.dtype_of(df, c)), F.col(c)) for c in targets}
     okey = F.struct(*[F.col(o) for o in order])

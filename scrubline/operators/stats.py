@@ -24,6 +24,7 @@ from . import fill as W
 from .quantile import approx_median, exact_median, mode_values
 
 NUMERIC_STRATEGIES = ("median", "mean")
+_STATS = "__scrubline_stats"
 
 
 def _as_list(cols) -> list[str]:
@@ -82,7 +83,10 @@ def _apply(df: DataFrame, stats: DataFrame | None, by: Sequence[str],
     if by:
         joined = _join_by(df, stats, by)
         return joined.withColumns(fills(joined, F.col("_stats"))).select(*cols)
-    return df.withColumns(fills(df, stats.select("_stats").scalar()))
+    # the scalar subquery is attached once as a column, so it runs once however
+    # many target columns read it
+    attached = df.withColumn(_STATS, stats.select("_stats").scalar())
+    return attached.withColumns(fills(attached, F.col(_STATS))).select(*cols)
 
 
 def _fill_value(c: str, dt: T.DataType, missing: Column, stat: Column) -> Column:
@@ -90,8 +94,8 @@ def _fill_value(c: str, dt: T.DataType, missing: Column, stat: Column) -> Column
     columns come back as double, text columns get the statistic as text."""
     col = F.col(c)
     if isinstance(dt, T.StringType):
-        return F.when(missing & stat.isNotNull(), stat.cast("string")).otherwise(col)
-    return F.when(missing & stat.isNotNull(), stat).otherwise(col.cast("double"))
+        return F.coalesce(F.when(missing, stat.cast("string")), col)
+    return F.coalesce(F.when(missing, stat), col.cast("double"))
 
 
 # ------------------------------------------------------------------- C10
@@ -142,11 +146,12 @@ def impute_missing(df: DataFrame, cols: Sequence[str] | str | None = None, strat
             m = mode_values(df, c, by, name="_mode")
             if by:
                 joined = _join_by(out, m, by)
-                out = joined.withColumn(c, F.when(X.is_missing(F.col(c), dt) & F.col("_mode").isNotNull(),
-                                                  F.col("_mode")).otherwise(F.col(c))).drop("_mode")
+                out = joined.withColumn(c, F.coalesce(F.when(X.is_missing(F.col(c), dt), F.col("_mode")),
+                                                      F.col(c))).drop("_mode")
             else:
-                s = m.select("_mode").scalar()
-                out = out.withColumn(c, F.when(X.is_missing(F.col(c), dt) & s.isNotNull(), s).otherwise(F.col(c)))
+                out = (out.withColumn(_STATS, m.select("_mode").scalar())
+                       .withColumn(c, F.coalesce(F.when(X.is_missing(F.col(c), dt), F.col(_STATS)), F.col(c)))
+                       .drop(_STATS))
         return out
 
     # median / mean over numeric-coerced values

@@ -9,9 +9,10 @@ aggregate over that step's output: the suite's rule counts plus ``affected``,
 the number of cells the step changed, counted null-safely against the step's
 input values carried along in one internal struct column (so no join is
 needed to pair old and new rows), in the same aggregate as the rule counts.
-``defects_before`` is a ``lag`` over the small ledger (W4). With ``checkpoint=True`` every step's output is written to
-the cluster's checkpoint folder first, so later steps do not recompute the
-earlier ones and a lost executor only reruns the current step.
+``defects_before`` is a ``lag`` over the small ledger (W4). By default (``checkpoint="auto"``) the output of every step
+that needs statistics or a shuffle is checkpointed to the cluster's checkpoint
+folder, so later steps do not recompute it and a lost executor only reruns the
+work since the last cut; row-local steps stay fused in one projection.
 """
 
 from __future__ import annotations
@@ -163,8 +164,24 @@ def _ledger_row(frame: DataFrame, suite: Q.Suite, idx: int, op: str, cols: str,
         affected.cast("long").alias("affected"), F.lit(kind).alias("_affected_kind"))
 
 
+# Steps whose output costs shuffles to recompute (statistics, dedup).
+_HEAVY = ("impute_missing", "replace_sentinel", "deduplicate")
+
+
+def _cut(frame: DataFrame, step: Step, checkpoint: bool | str) -> DataFrame:
+    """Cut lineage after a step: always (True), never (False) or after heavy steps ("auto").
+
+    ``checkpoint()`` writes to the cluster's ``spark.checkpoint.dir``, so later
+    ledger rows read the step's output instead of recomputing its statistics,
+    and a lost executor only reruns work since the last cut.
+    """
+    if checkpoint is True or (checkpoint == "auto" and step.operation in _HEAVY):
+        return frame.checkpoint()
+    return frame
+
+
 def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Suite,
-           checkpoint: bool = False) -> tuple[DataFrame, DataFrame]:
+           checkpoint: bool | str = "auto") -> tuple[DataFrame, DataFrame]:
     """``(cleaned table, ledger)``.
 
     Ledger columns: ``step, operation, target_columns, rows, defects_before,
@@ -185,9 +202,7 @@ def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Su
             continue
         cols = ",".join(step.target_columns)
         if step.operation == "deduplicate":
-            new = apply_step(state, step)
-            if checkpoint:
-                new = new.checkpoint()
+            new = _cut(apply_step(state, step), step, checkpoint)
             # rows removed = previous ledger row's rows - this row's rows (lag below)
             rows.append(_ledger_row(new, suite, i, step.operation, cols, None, kind="rows_removed"))
         elif step.operation == "drop_column":
@@ -198,9 +213,7 @@ def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Su
         else:
             visible = X.visible_columns(state)
             tagged = state.withColumn(X.TAG, F.struct(*[F.col(c) for c in visible]))
-            new = apply_step(tagged, step)
-            if checkpoint:
-                new = new.checkpoint()
+            new = _cut(apply_step(tagged, step), step, checkpoint)
             changed = [F.count_if(~F.col(c).cast("string").eqNullSafe(F.col(X.TAG)[c].cast("string")))
                        for c in visible if c in new.columns]
             affected = reduce(lambda a, b: a + b, changed) if changed else F.lit(0)

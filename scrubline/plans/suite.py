@@ -73,10 +73,15 @@ def rule_counts(df: DataFrame, suite: Suite, by: Sequence[str] | None = None,
     further aliased aggregate Columns computed in the same scan.
     """
     by = list(by or [])
-    aggs = [F.count(F.lit(1)).alias("rows")] + [r.count(df).alias(r.name) for r in _scalar_rules(suite)]
-    aggs += list(extra)
-    counts = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    for r in _dup_rules(suite):
+    dups = _dup_rules(suite)
+    if dups and not extra and all(r.subset is None and r.applicable(df) for r in dups):
+        counts = _counts_by_row(df, suite, by)
+        dups = []
+    else:
+        aggs = [F.count(F.lit(1)).alias("rows")] + [r.count(df).alias(r.name) for r in _scalar_rules(suite)]
+        aggs += list(extra)
+        counts = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    for r in dups:
         if not r.applicable(df):
             counts = counts.withColumn(r.name, F.lit(0).cast("long"))
             continue
@@ -105,6 +110,29 @@ def rule_counts(df: DataFrame, suite: Suite, by: Sequence[str] | None = None,
     return counts.select(*seen)
 
 
+def _counts_by_row(df: DataFrame, suite: Suite, by: Sequence[str]) -> DataFrame:
+    """All counts from one ``groupBy(all columns).count()``.
+
+    Identical rows fail the same rules, so each scalar rule's count is
+    ``sum(n)`` over the distinct rows failing it, and full-row duplicates are
+    ``sum(n - 1)``. One scan and one map-side-combined shuffle replace a scan
+    for the scalar rules plus a scan and shuffle for the duplicates.
+    """
+    keys = list(by) + [c for c in X.visible_columns(df) if c not in by]
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+    aggs = [F.sum(n).alias("rows")]
+    for r in _scalar_rules(suite):
+        terms = [F.coalesce(F.sum(F.when(p, n)), F.lit(0)) for p in r.predicates(per)]
+        total = terms[0] if terms else F.lit(0)
+        for t in terms[1:]:
+            total = total + t
+        aggs.append(total.cast("long").alias(r.name))
+    for r in _dup_rules(suite):
+        aggs.append(F.sum(n - 1).cast("long").alias(r.name))
+    return per.groupBy(*by).agg(*aggs) if by else per.agg(*aggs)
+
+
 def score_column(suite: Suite, df_columns: Sequence[str]) -> Column:
     """Score expression over the columns of :func:`rule_counts`."""
     n = F.col("rows")
