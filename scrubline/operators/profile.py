@@ -1,7 +1,7 @@
 """Column profile.
 
 Null counts and exact distinct counts of *all* columns come from one pass:
-every cell becomes a ``(column, value-as-text)`` row, ``groupBy(column,
+every cell becomes a ``(column, typed value)`` row, ``groupBy(column,
 value)`` collapses repeats map-side (a value holding a third of a column is one
 partial row per task), and a second ``groupBy(column)`` yields rows, nulls and
 distinct values. Mixing several ``countDistinct`` in one aggregate would
@@ -47,19 +47,48 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string")
 
 
+def _typed(df: DataFrame, c: str):
+    """Cell as a struct ``(s, d, l)`` with exactly one slot set (NULL when
+    missing): text in ``s``, floating values in ``d`` (-0.0 as 0.0), integral,
+    date and timestamp values in ``l``. Distinct cells stay distinct without
+    formatting every number as text."""
+    dt = X.dtype_of(df, c)
+    col = F.col(c)
+    s = d = l = None
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        d = col.cast("double") + F.lit(0.0)
+    elif isinstance(dt, T.IntegralType):
+        l = col.cast("long")
+    elif isinstance(dt, T.DateType):
+        l = F.unix_date(col).cast("long")
+    elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        l = F.unix_micros(col.cast("timestamp"))
+    else:
+        s = col.cast("string")
+    miss = X.is_missing(col, dt)
+    parts = [F.when(~miss, s if s is not None else F.lit(None).cast("string")).alias("s"),
+             F.when(~miss, d if d is not None else F.lit(None).cast("double")).alias("d"),
+             F.when(~miss, l if l is not None else F.lit(None).cast("long")).alias("l")]
+    return F.struct(*parts)
+
+
 def column_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     """``(column, rows, null_count, unique_count)`` for every column, one pass."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), _text(df, c).alias("value")) for c in df.columns])
-    long = df.select(F.explode(cells).alias("_c")).select("_c.column", "_c.value")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _typed(df, c).alias("v")) for c in df.columns])
+    # flat key columns (not a struct) keep the aggregation on the fast hash map
+    long = df.select(F.explode(cells).alias("_c")).select(
+        F.col("_c.column").alias("column"), F.col("_c.v.s").alias("s"), F.col("_c.v.d").alias("d"),
+        F.col("_c.v.l").alias("l"))
+    present = F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("l").isNotNull()
     if approx:
         return long.groupBy("column").agg(
-            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("null_count"),
-            F.approx_count_distinct("value").alias("unique_count"))
-    per_value = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+            F.count(F.lit(1)).alias("rows"), F.count_if(~present).alias("null_count"),
+            F.approx_count_distinct(F.xxhash64("s", "d", "l")).alias("unique_count"))
+    per_value = long.groupBy("column", "s", "d", "l").agg(F.count(F.lit(1)).alias("_n"))
     return per_value.groupBy("column").agg(
         F.sum("_n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0)).alias("null_count"),
-        F.count_if(F.col("value").isNotNull()).alias("unique_count"))
+        F.coalesce(F.sum(F.when(~present, F.col("_n"))), F.lit(0)).alias("null_count"),
+        F.count_if(present).alias("unique_count"))
 
 
 def sample_values(df: DataFrame, order_by: Sequence[str] | str, k: int = SAMPLE_SIZE,
@@ -88,11 +117,11 @@ def profile(df: DataFrame, order_by: Sequence[str] | str | None = None,
     """
     meta = F.broadcast(schema_table(df))  # one row per column: bounded
     counts = column_counts(df, approx)
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    rows = F.coalesce(F.col("rows"), F.lit(0))
     out = meta.join(counts, "column", "left").select(
         "position", "column", "dtype",
         F.coalesce(F.col("null_count"), F.lit(0)).cast("long").alias("null_count"),
-        F.round(F.coalesce(F.col("null_count"), F.lit(0)) / F.greatest(n, F.lit(1)) * 100.0, 2).alias("null_pct"),
+        F.round(F.coalesce(F.col("null_count"), F.lit(0)) / F.greatest(rows, F.lit(1)) * 100.0, 2).alias("null_pct"),
         F.coalesce(F.col("unique_count"), F.lit(0)).cast("long").alias("unique_count"))
     if order_by:
         out = out.join(F.broadcast(sample_values(df, order_by, k)), "column", "left")

@@ -700,9 +700,9 @@ SELECT count(*) FILTER (WHERE NOT bad) AS clean_rows, count(*) FILTER (WHERE bad
    OR (dosage_mg < 0) IS TRUE OR {_blank_sql('patient_id')} OR {_blank_sql('diagnosis')}
    OR (try_strptime(admission_date, '%Y-%m-%d') > try_strptime(discharge_date, '%Y-%m-%d')) IS TRUE AS bad FROM emr)""")
 def quarantine_split_counts(spark, sf):
-    good, bad = QR.split(_view(spark, sf, "emr"), Q.emr_suite())
-    return good.agg(F.count(F.lit(1)).alias("clean_rows")).withColumn(
-        "quarantined_rows", bad.agg(F.count(F.lit(1))).scalar())
+    flagged = QR.flag(_view(spark, sf, "emr"), Q.emr_suite())
+    bad = F.size(QR.FLAGS) > 0
+    return flagged.agg(F.count_if(~bad).alias("clean_rows"), F.count_if(bad).alias("quarantined_rows"))
 
 
 # ================================================================== inject S3
