@@ -677,6 +677,24 @@ def ledger_retail(spark, sf):
                       F.round("score", 6).alias("score"), "passed", "reduction_pct", "affected")
 
 
+@register("export_gated", FX.cte("retail") + """
+, m1 AS (SELECT median(price) AS v FROM retail WHERE price <> -1 AND NOT isnan(price)),
+ s1 AS (SELECT row_id, transaction_id, category, quantity,
+   CASE WHEN price = -1 THEN coalesce((SELECT v FROM m1), 0.0) ELSE price END AS price, timestamp FROM retail),
+ m2 AS (SELECT median(price) AS v FROM s1 WHERE price IS NOT NULL AND NOT isnan(price))
+SELECT row_id, transaction_id, category, quantity,
+ round(CASE WHEN price IS NULL OR isnan(price) THEN (SELECT v FROM m2) ELSE price END, 4) AS price, timestamp FROM s1""")
+def export_gated(spark, sf):
+    """Clean, score, write only if the gate passes (partitioned by category), read back."""
+    from .session import scratch_path
+    from .sources.io import export
+    retail = _view(spark, sf, "retail")
+    clean = S.impute_missing(S.replace_sentinel(retail, ["price"], -1, "median"), ["price"], "median")
+    path = scratch_path(spark, "export-retail")
+    export(clean, path, mode="overwrite", partition_by=["category"], suite=Q.retail_suite())
+    return _retail_out(spark.read.parquet(path))
+
+
 # ================================================================ quarantine R16
 
 @register("quarantine_emr", FX.cte("emr") + f"""

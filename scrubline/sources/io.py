@@ -45,15 +45,22 @@ class GateFailed(RuntimeError):
 
 def export(df: DataFrame, path: str, mode: str = "errorifexists",
            partition_by: Sequence[str] | None = None, fmt: str = "parquet",
-           gate: DataFrame | None = None, ledger: DataFrame | None = None) -> dict:
+           gate: DataFrame | None = None, ledger: DataFrame | None = None,
+           suite=None) -> dict:
     """Write the cleaned table, refusing when the gate fails.
 
     ``gate`` is a one-row DataFrame with a boolean ``passed`` column (see
     ``plans.suite.score``); it is evaluated first (one small aggregate job) and
-    nothing is written if it is false. The optional ledger is written next to
-    the table under ``_ledger``.
+    nothing is written if it is false. With ``suite`` instead, the table is
+    checkpointed once (to ``spark.checkpoint.dir``) and both the gate and the
+    write read that copy, so cleaning statistics are not computed twice. The
+    optional ledger is written next to the table under ``_ledger``.
     """
     info: dict = {"path": path, "written": False}
+    if suite is not None and gate is None:
+        from ..plans.suite import score
+        df = df.checkpoint()
+        gate = score(df, suite)
     if gate is not None:
         row = gate.select("passed", *[c for c in ("score",) if c in gate.columns]).first()
         info["passed"] = bool(row["passed"]) if row is not None else False
