@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from ..functions import exprs as X
 
 ROWS_PER_BLOCK = 1_000_000
+# The block table (one row per block) runs through one window: keep it bounded.
+MAX_BLOCKS = 1_000_000
 
 
 def _as_list(cols) -> list[str]:
@@ -63,7 +65,7 @@ def _with_blocks(df: DataFrame, key: str, rows_per_block: int) -> DataFrame:
 
 
 def _block_column(kv: Column, s: Column, rows_per_block: int) -> Column:
-    nblocks = F.greatest(F.lit(1), F.ceil(s["n"] / F.lit(float(rows_per_block))))
+    nblocks = F.least(F.greatest(F.lit(1), F.ceil(s["n"] / F.lit(float(rows_per_block)))), F.lit(MAX_BLOCKS))
     width = (s["hi"] - s["lo"]) / nblocks
     width = F.when(width > 0, width).otherwise(F.lit(1.0))
     # NULL keys sort first: give them their own block before all others

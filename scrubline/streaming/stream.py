@@ -50,15 +50,28 @@ def _run(query_df: DataFrame, spark: SparkSession, name: str, mode: str = "appen
     return spark.read.parquet(out)
 
 
-def rules_per_window(spark: SparkSession, sf_dir: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """ST3: rule counts per tumbling event-time window (complete mode, bounded replay)."""
-    ev = events_stream(spark, sf_dir).withWatermark("ts", delay)
+def window_rule_counts(stream: DataFrame, window: str = "1 day", delay: str = "1 day",
+                       time_col: str = "ts") -> DataFrame:
+    """ST3 as a streaming DataFrame: rule counts per tumbling event-time window.
+
+    With the watermark, ``outputMode("append")`` emits each window once it can
+    no longer change and drops its state - the mode for an endless stream.
+    ``complete`` keeps every window and suits bounded replays only.
+    """
+    ev = stream.withWatermark(time_col, delay)
     nulls = R.null_values("value", "value_null").predicate(ev)
     neg = R.below("value", 0.0, "value_negative").predicate(ev)
-    agg = ev.groupBy(F.window("ts", window)).agg(
+    return ev.groupBy(F.window(time_col, window)).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(nulls).alias("value_null"),
         F.count_if(neg).alias("value_negative"), F.count_if(F.col("event_type") == "error").alias("error_events"))
-    res = _run(agg, spark, "rules-window", mode="complete")
+
+
+def rules_per_window(spark: SparkSession, sf_dir: str, window: str = "1 day", delay: str = "1 day",
+                     mode: str = "complete") -> DataFrame:
+    """ST3 over a replay of ``events``: complete mode (every window, as the
+    batch oracle) or append mode (windows the watermark has closed)."""
+    agg = window_rule_counts(events_stream(spark, sf_dir), window, delay)
+    res = _run(agg, spark, "rules-window", mode=mode)
     return res.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                       "rows", "value_null", "value_negative", "error_events")
 
