@@ -10,13 +10,14 @@ assigns the same block). Then
 2. one small aggregate takes each block's last non-missing value (``max_by``
    over the order key, map-side combined);
 3. a running ``last(..., ignorenulls)`` over the *block* table (one row per
-   block, ~rows/rows_per_block rows per group) gives what each block inherits
-   from the blocks before it;
+   block, ~rows/rows_per_block rows per group, at most MAX_BLOCKS) gives what
+   each block inherits from the blocks before it;
 4. the block table is joined back on ``(partition_by..., block)`` and fills the
    leading gaps of each block.
 
 A hot ``partition_by`` group holding a third of all rows is still spread over
-many blocks. Backward fill is the mirror image.
+many blocks. Backward fill is the mirror image, computed as running windows in
+descending order (every frame here grows row by row: O(n) per partition).
 """
 
 from __future__ import annotations
@@ -95,12 +96,16 @@ def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_b
         carry = tails.select(*pby, "_blk", *[F.last(c, ignorenulls=True).over(w_blk).alias(f"_carry_{c}")
                                              for c in targets])
     else:
-        w_in = Window.partitionBy(*pby, "_blk").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        local = {c: F.first(v, ignorenulls=True).over(w_in) for c, v in vals.items()}
+        # "next non-missing value" = running last value in *descending* order:
+        # a growing frame (O(n)) instead of an unbounded-following frame, which
+        # Spark re-aggregates for every row (O(n^2) per window partition)
+        desc = [F.col(o).desc_nulls_last() for o in order]
+        w_in = Window.partitionBy(*pby, "_blk").orderBy(*desc).rowsBetween(Window.unboundedPreceding, 0)
+        local = {c: F.last(v, ignorenulls=True).over(w_in) for c, v in vals.items()}
         heads = blk.groupBy(*pby, "_blk").agg(
             *[F.min_by(v, F.when(v.isNotNull(), okey)).alias(c) for c, v in vals.items()])
-        w_blk = Window.partitionBy(*pby).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
-        carry = heads.select(*pby, "_blk", *[F.first(c, ignorenulls=True).over(w_blk).alias(f"_carry_{c}")
+        w_blk = Window.partitionBy(*pby).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carry = heads.select(*pby, "_blk", *[F.last(c, ignorenulls=True).over(w_blk).alias(f"_carry_{c}")
                                              for c in targets])
     filled = blk.withColumns({f"_local_{c}": e for c, e in local.items()})
     keys = pby + ["_blk"]
