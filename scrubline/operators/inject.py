@@ -183,3 +183,45 @@ def inject_detect(customer: DataFrame) -> DataFrame:
              R.blank_cells(["c_name"], "name_blank")]
     counts = dirty.agg(F.count(F.lit(1)).alias("rows"), *[r.count(dirty).alias(r.name) for r in rules])
     return counts.withColumn("duplicate_count", R.duplicate_count(dirty).scalar())
+
+
+# Second pair: date-order, code and range defects injected into a clean
+# projection of `orders`, counted back with the EMR/CRM rules.
+ORDERS_SPECS = (
+    SwapCols("start_date", "end_date", 15, 4),
+    DateBefore("end_date", "start_date", 23, 7, 1),
+    BadCode("code", 8, 1),
+    OutOfRange("age", 17, 0),
+)
+
+INJECT_ORDERS_SQL = """
+WITH b AS (SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date,
+   CAST(CAST(o_orderdate AS DATE) + CAST(1 + o_orderkey % 20 AS INT) AS VARCHAR) AS end_date,
+   'B02.0' AS code, CAST(18 + o_orderkey % 60 AS DOUBLE) AS age FROM orders),
+ s AS (SELECT k, CASE WHEN k % 15 = 4 THEN end_date ELSE start_date END AS start_date,
+   CASE WHEN k % 15 = 4 THEN start_date ELSE end_date END AS end_date, code, age FROM b),
+ d AS (SELECT k, start_date,
+   CASE WHEN k % 23 = 7 THEN CAST(CAST(start_date AS DATE) - 1 AS VARCHAR) ELSE end_date END AS end_date, code, age FROM s),
+ c AS (SELECT k, start_date, end_date,
+   CASE WHEN k % 8 = 1 THEN CASE k % 5 WHEN 0 THEN 'a011' WHEN 1 THEN 'c34' WHEN 2 THEN 'D5000' WHEN 3 THEN 'e119' ELSE ' f321 ' END
+        ELSE code END AS code,
+   CASE WHEN k % 17 = 0 THEN CASE k % 6 WHEN 0 THEN -5 WHEN 1 THEN 0 WHEN 2 THEN 8 WHEN 3 THEN 130 WHEN 4 THEN 150 ELSE 200 END
+        ELSE age END AS age FROM d)
+SELECT count(*) AS rows,
+ count(*) FILTER (WHERE CAST(start_date AS DATE) > CAST(end_date AS DATE)) AS date_order_violations,
+ count(*) FILTER (WHERE NOT regexp_matches(coalesce(code, ''), '^[A-Z]\\d{2}\\.\\d{1,2}$')) AS icd10_format_errors,
+ count(*) FILTER (WHERE age < 18 OR age > 100) AS age_range_violations
+FROM c"""
+
+
+def inject_detect_orders(orders: DataFrame) -> DataFrame:
+    """Inject ``ORDERS_SPECS`` into a clean projection of orders; count them back."""
+    k = F.col("o_orderkey")
+    start = F.to_date("o_orderdate")
+    base = orders.select(k.alias("k"), start.cast("string").alias("start_date"),
+                         F.date_add(start, (F.lit(1) + F.pmod(k, F.lit(20))).cast("int")).cast("string").alias("end_date"),
+                         F.lit("B02.0").alias("code"), (F.lit(18) + F.pmod(k, F.lit(60))).cast("double").alias("age"))
+    dirty = inject(base, "k", ORDERS_SPECS)
+    rules = [R.date_after("start_date", "end_date", "date_order_violations"),
+             R.code_format("code"), R.out_of_range("age", 18, 100, "age_range_violations")]
+    return dirty.agg(F.count(F.lit(1)).alias("rows"), *[r.count(dirty).alias(r.name) for r in rules])

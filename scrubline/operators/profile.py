@@ -25,6 +25,17 @@ from ..functions import exprs as X
 
 SAMPLE_SIZE = 5
 
+# The profile's output schema (counts >= 0, null_pct in [0, 100]).
+PROFILE_SCHEMA = T.StructType([
+    T.StructField("position", T.IntegerType()),
+    T.StructField("column", T.StringType()),
+    T.StructField("dtype", T.StringType()),
+    T.StructField("null_count", T.LongType()),
+    T.StructField("null_pct", T.DoubleType()),
+    T.StructField("unique_count", T.LongType()),
+    T.StructField("sample_values", T.ArrayType(T.StringType())),
+])
+
 
 def _as_list(cols) -> list[str]:
     if cols is None:
@@ -125,7 +136,16 @@ def profile(df: DataFrame, order_by: Sequence[str] | str | None = None,
         F.coalesce(F.col("unique_count"), F.lit(0)).cast("long").alias("unique_count"))
     if order_by:
         out = out.join(F.broadcast(sample_values(df, order_by, k)), "column", "left")
-    return out
+    else:
+        out = out.withColumn("sample_values", F.lit(None).cast("array<string>"))
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in PROFILE_SCHEMA.fields])
+
+
+def profile_violations(prof: DataFrame) -> DataFrame:
+    """Profile rows breaking the documented bounds (expected empty)."""
+    bad = ((F.col("null_count") < 0) | (F.col("unique_count") < 0)
+           | (F.col("null_pct") < 0) | (F.col("null_pct") > 100))
+    return prof.where(bad)
 
 
 def sample_rows(df: DataFrame, order_by: Sequence[str] | str, k: int = SAMPLE_SIZE) -> DataFrame:

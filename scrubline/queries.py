@@ -731,6 +731,12 @@ def inject_detect(spark, sf):
     return I.inject_detect(load(spark, sf, "customer"))
 
 
+@register("inject_detect_orders", I.INJECT_ORDERS_SQL)
+def inject_detect_orders(spark, sf):
+    """S3 swap / date-before / bad-code / out-of-range injectors, then R9, R11, R8."""
+    return I.inject_detect_orders(load(spark, sf, "orders"))
+
+
 # ================================================================== streaming
 
 @register("stream_rules_window", """

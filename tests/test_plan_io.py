@@ -55,5 +55,8 @@ def test_profile(spark):
     assert prof["price"].null_count == retail.where("price IS NULL").count()
     assert prof["row_id"].unique_count == n and prof["row_id"].dtype == "bigint"
     assert len(prof["category"].sample_values) == 5
+    full = P.profile(retail, order_by="row_id")
+    assert [(f.name, f.dataType) for f in full.schema.fields] == [(f.name, f.dataType) for f in P.PROFILE_SCHEMA.fields]
+    assert P.profile_violations(full).count() == 0
     rows = P.sample_rows(retail, "row_id").collect()
     assert len(rows) == 5 and all(isinstance(v, str) for v in rows[0])
