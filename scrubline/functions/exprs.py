@@ -115,6 +115,18 @@ def visible_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("__scrubline")]
 
 
+class BatchOnly(ValueError):
+    """An operator that needs the whole table was given a streaming DataFrame."""
+
+
+def require_batch(df: DataFrame, op: str) -> None:
+    """Ordered dedup, fills, exact statistics and duplicate counts need the whole
+    table; on a stream run them per micro-batch inside ``foreachBatch``."""
+    if df.isStreaming:
+        raise BatchOnly(f"{op} is batch-only: apply it inside writeStream.foreachBatch, "
+                        "or use the streaming variants in scrubline.streaming")
+
+
 def present(df: DataFrame, *names: str) -> bool:
     cols = set(df.columns)
     return all(n in cols for n in names)

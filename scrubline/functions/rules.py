@@ -195,6 +195,7 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     ``groupBy(keys).count()`` is combined map-side, so a key holding a third of
     all rows leaves each map task as one partial row; NULL keys group together.
     """
+    X.require_batch(df, "duplicate_count")
     keys = list(subset) if subset else X.visible_columns(df)
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_count"))

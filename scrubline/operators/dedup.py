@@ -42,6 +42,7 @@ def deduplicate(df: DataFrame, subset: Sequence[str] | str | None = None, keep:
     """
     if keep is False:
         keep = "none"
+    X.require_batch(df, "deduplicate")
     if keep not in KEEP:
         raise ValueError(f"deduplicate: keep must be one of {KEEP} or False, not {keep!r}")
     keys = _as_list(subset)

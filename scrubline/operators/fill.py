@@ -78,6 +78,7 @@ def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_b
     order = _as_list(order_by)
     if not order:
         raise ValueError("forward/backward fill needs order_by: row order must be explicit")
+    X.require_batch(df, "forward/backward fill")
     pby = _as_list(partition_by)
     targets = [c for c in (_as_list(cols) or X.visible_columns(df)) if c in df.columns and c not in order and c not in pby]
     if not targets:
@@ -86,7 +87,9 @@ def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_b
     blk = _with_blocks(df, order[0], rows_per_block)
     # the value to carry: NaN counts as missing
     vals = {c: F.when(~X.is_missing(F.col(c), X.dtype_of(df, c)), F.col(c)) for c in targets}
-    okey = F.struct(*[F.col(o) for o in order])
+    # a single order column orders max_by/min_by directly (fixed-width buffer:
+    # hash aggregation); several need a struct (sort-based aggregation)
+    okey = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
     if forward:
         w_in = Window.partitionBy(*pby, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         local = {c: F.last(v, ignorenulls=True).over(w_in) for c, v in vals.items()}

@@ -104,6 +104,8 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float],
     (e.g. one group per column of a table), which lets the selection tables be
     broadcast explicitly; otherwise AQE chooses the join from runtime sizes.
     """
+    if df.isStreaming:
+        raise ValueError("exact quantiles are batch-only: use them inside writeStream.foreachBatch")
     G = list(group_cols)
     bounded = bounded_groups or not G
     v = F.col(value).cast("double")

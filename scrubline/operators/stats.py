@@ -114,6 +114,8 @@ def impute_missing(df: DataFrame, cols: Sequence[str] | str | None = None, strat
     """
     by = _as_list(by)
     targets = _as_list(cols)
+    if strategy not in ("constant",):
+        X.require_batch(df, f"impute_missing({strategy})")
     known = ("median", "mean", "mode", "constant", "forward_fill", "backward_fill")
     if strategy not in known:
         strategy = "median"
@@ -185,6 +187,8 @@ def replace_sentinel(df: DataFrame, cols: Sequence[str] | str | None = None, sen
     unchanged).
     """
     by = _as_list(by)
+    if strategy != "constant":
+        X.require_batch(df, f"replace_sentinel({strategy})")
     t = [c for c in (_as_list(cols) or _numeric_like(df)) if c in df.columns and c not in by
          and isinstance(X.dtype_of(df, c), (T.NumericType, T.StringType))]
     if not t:

@@ -13,6 +13,8 @@ folder and return the sink read back as a batch DataFrame.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +29,17 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
     (watermarks reject TIMESTAMP_NTZ)."""
     path = table_path(sf_dir, "events")
     schema = spark.read.parquet(path).schema
-    # a file stream watches a folder; the glob keeps it to the events files
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if os.path.isfile(local):
+        # a file stream watches a folder: watch the parent, keep only this table's file
+        reader = reader.option("pathGlobFilter", os.path.basename(local))
+        src = os.path.dirname(local)
+    else:
+        src = path  # a table folder of part files (the usual layout on a cluster)
+    return reader.parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _run(query_df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:

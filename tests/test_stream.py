@@ -16,3 +16,22 @@ def test_append_windows_are_final(spark):
 def test_stream_dedup_is_distinct(spark):
     rows = ST.dedup_keys(spark, SF).collect()
     assert len(rows) == len({tuple(r) for r in rows})
+
+
+def test_batch_only_operators_refuse_streams(spark):
+    import pytest
+    from scrubline.functions.exprs import BatchOnly
+    from scrubline.operators import clean as C
+    from scrubline.operators import dedup as D
+    from scrubline.operators import fill as W
+    from scrubline.operators import stats as S
+    ev = ST.events_stream(spark, SF)
+    with pytest.raises(BatchOnly):
+        D.deduplicate(ev, ["user_id"], "first", order_by="event_id")
+    with pytest.raises(BatchOnly):
+        W.forward_fill(ev, ["value"], order_by="event_id")
+    with pytest.raises(BatchOnly):
+        S.impute_missing(ev, ["value"], "median")
+    # row-local cleaners and constants are fine on a stream
+    assert C.abs_negative(ev, ["value"]).isStreaming
+    assert S.impute_missing(ev, ["value"], "constant", value=0.0).isStreaming
