@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 
 
+# Out-of-range ages and malformed codes of the dirty fixtures.
+AGE_OUTLIERS = (-5, 0, 8, 130, 150, 200)
+BAD_CODES = ("a011", "c34", "D5000", "e119", " f321 ")
+
+
 def _hit(key: str, mod: int, rem: int) -> Column:
     return F.pmod(F.col(key), F.lit(mod)) == F.lit(rem)
 
@@ -61,7 +66,7 @@ class OutOfRange:
     col: str
     mod: int
     rem: int
-    values: tuple[float, ...] = (-5, 0, 8, 130, 150, 200)
+    values: tuple[float, ...] = AGE_OUTLIERS
 
     def apply(self, df: DataFrame, key: str) -> DataFrame:
         typ = df.schema[self.col].dataType
@@ -98,7 +103,7 @@ class BadCode:
     col: str
     mod: int
     rem: int
-    forms: tuple[str, ...] = ("a011", "c34", "D5000", "e119", " f321 ")
+    forms: tuple[str, ...] = BAD_CODES
 
     def apply(self, df: DataFrame, key: str) -> DataFrame:
         pick = F.element_at(F.array(*[F.lit(v) for v in self.forms]),
