@@ -84,6 +84,13 @@ def rules_per_window(spark: SparkSession, sf_dir: str, window: str = "1 day", de
                       "rows", "value_null", "value_negative", "error_events")
 
 
+def dedup_within_watermark(stream: DataFrame, keys, time_col: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """ST2 as a streaming DataFrame: drop events repeating a key within the
+    late-data bound. State per key lives only until the watermark passes the
+    first occurrence plus ``delay``."""
+    return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2: keep one event per (user, type, day); state is dropped once the
     watermark passes the day, so it stays bounded on an endless stream."""

@@ -35,3 +35,11 @@ def test_batch_only_operators_refuse_streams(spark):
     # row-local cleaners and constants are fine on a stream
     assert C.abs_negative(ev, ["value"]).isStreaming
     assert S.impute_missing(ev, ["value"], "constant", value=0.0).isStreaming
+
+
+def test_dedup_within_watermark_drops_repeats(spark):
+    from scrubline.streaming.stream import _run, dedup_within_watermark, events_stream
+    ev = events_stream(spark, SF)
+    out = _run(dedup_within_watermark(ev, ["event_id"]).select("event_id"), spark, "dedup-ww")
+    total = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert out.count() == total  # event_id is unique: nothing dropped, nothing added
