@@ -161,3 +161,21 @@ def shape(df: DataFrame) -> DataFrame:
         "rows", F.lit(len(df.columns)).alias("n_columns"),
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
         F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema.fields]).alias("dtypes"))
+
+
+def full_report(df: DataFrame, suite, order_by: Sequence[str] | str, k: int = SAMPLE_SIZE) -> DataFrame:
+    """One record with the suite's 12 counts, total, score and gates, the
+    per-column stats (``column_stats`` array, one entry per column) and the
+    first ``k`` rows as text (``sample_rows``). Both arrays are bounded by the
+    schema width and ``k``."""
+    from ..plans.suite import report
+    rep = report(df, suite)
+    prof = profile(df, order_by, k)
+    stats = prof.agg(F.array_sort(F.collect_list(F.struct(*prof.columns))).alias("column_stats"))
+    rows = sample_rows(df, order_by, k)
+    ordered = rows.select(F.struct(*[F.col(o) for o in _as_list(order_by)]).alias("_o"),
+                          F.struct(*rows.columns).alias("_r"))
+    samples = ordered.agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_r"))),
+                                      lambda x: x["_r"]).alias("sample_rows"))
+    return (rep.withColumn("column_stats", stats.scalar())
+            .withColumn("sample_rows", samples.scalar()))

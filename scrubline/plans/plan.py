@@ -201,6 +201,11 @@ def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Su
             rows.append(_ledger_row(state, suite, i, str(op), "", str(exc)))
             continue
         cols = ",".join(step.target_columns)
+        try:
+            apply_step(state, step)  # plan-time type checks (e.g. clamp on text)
+        except (TypeError, ValueError, KeyError) as exc:
+            rows.append(_ledger_row(state, suite, i, step.operation, cols, f"{type(exc).__name__}: {exc}"))
+            continue
         if step.operation == "deduplicate":
             new = _cut(apply_step(state, step), step, checkpoint)
             # rows removed = previous ledger row's rows - this row's rows (lag below)

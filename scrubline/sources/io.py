@@ -68,6 +68,14 @@ def export(df: DataFrame, path: str, mode: str = "errorifexists",
             info["score"] = row["score"]
         if not info["passed"]:
             raise GateFailed(f"quality gate failed for {path}: {info}")
+    obs = None
+    if suite is not None:
+        # rule counts observed while the rows stream into the sink: no extra pass
+        from pyspark.sql import Observation
+        from pyspark.sql import functions as F
+        obs = Observation("scrubline_export")
+        scalar = [w.rule for w in suite.rules if w.rule.kind != "duplicates"]
+        df = df.observe(obs, F.count(F.lit(1)).alias("rows"), *[r.count(df).alias(r.name) for r in scalar])
     w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -75,4 +83,6 @@ def export(df: DataFrame, path: str, mode: str = "errorifexists",
     if ledger is not None:
         ledger.write.mode(mode).format(fmt).save(path.rstrip("/") + "/_ledger")
     info["written"] = True
+    if obs is not None:
+        info["written_metrics"] = dict(obs.get)
     return info

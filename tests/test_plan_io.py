@@ -60,3 +60,23 @@ def test_profile(spark):
     assert P.profile_violations(full).count() == 0
     rows = P.sample_rows(retail, "row_id").collect()
     assert len(rows) == 5 and all(isinstance(v, str) for v in rows[0])
+
+
+def test_full_report_and_observed_export(spark):
+    from scrubline.plans import suite as Q2
+    emr = FX.view(spark, SF, "emr")
+    rec = P.full_report(emr, Q2.emr_suite(), "row_id").collect()[0]
+    assert len(rec.column_stats) == len(emr.columns) and len(rec.sample_rows) == 5
+    assert rec.icd10_format_errors > 0 and rec.duplicate_count == 0
+    base = tempfile.mkdtemp(prefix="scrubline-test-")
+    info = export(emr, f"{base}/emr", suite=Q2.emr_suite())
+    assert info["written_metrics"]["rows"] == emr.count()
+    assert info["written_metrics"]["icd10_format_errors"] == rec.icd10_format_errors
+
+
+def test_ledger_records_type_errors(spark):
+    retail = FX.view(spark, SF, "retail")
+    steps = [{"operation": "clamp_range", "target_columns": ["category"], "params": {"min_val": 0}}]
+    _, led = G.ledger(retail, steps, Q.retail_suite())
+    rows = led.orderBy("step").collect()
+    assert rows[1].error and "TypeError" in rows[1].error
