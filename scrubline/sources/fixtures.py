@@ -6,9 +6,11 @@ rows our operators see. Defects are chosen by key arithmetic only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .io import register_tables
+from .io import load
 
 RETAIL_SQL = """
 SELECT o_orderkey AS row_id,
@@ -69,10 +71,15 @@ VIEWS = {"retail": (RETAIL_SQL, ("orders",)), "crm": (CRM_SQL, ("customer",)), "
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build one dirty view (``retail``, ``crm`` or ``emr``) over ``sf_dir``."""
+    """Build one dirty view (``retail``, ``crm`` or ``emr``) over ``sf_dir``.
+
+    The base tables are passed as DataFrame parameters of ``spark.sql`` (the
+    same SQL text DuckDB runs, with table names turned into placeholders), so
+    no session-wide temp view is created or overwritten.
+    """
     sql, tables = VIEWS[name]
-    register_tables(spark, sf_dir, tables)
-    return spark.sql(sql)
+    pattern = r"\b(" + "|".join(tables) + r")\b"
+    return spark.sql(re.sub(pattern, r"{\1}", sql), **{t: load(spark, sf_dir, t) for t in tables})
 
 
 def cte(*names: str) -> str:
