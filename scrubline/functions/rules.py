@@ -182,6 +182,14 @@ def blank_cells(cols: Sequence[str], name: str = "blank_mandatory_count") -> Rul
                 build=lambda df, c: X.is_blank(F.col(c), X.dtype_of(df, c)))
 
 
+def custom(name: str, predicate: Column | Callable[[DataFrame], Column], columns: Sequence[str] = ()) -> Rule:
+    """Q8: a user rule from a boolean Column (or a function of the DataFrame
+    returning one); NULL counts as a pass. ``columns`` it needs make it not
+    applicable (count 0) when absent."""
+    build = predicate if callable(predicate) and not isinstance(predicate, Column) else (lambda df: predicate)
+    return Rule(name, tuple(columns), build=build)
+
+
 def duplicates(subset: Sequence[str] | None = None, name: str = "duplicate_count") -> Rule:
     """Rows repeating an earlier row (on ``subset``, default all columns)."""
     return Rule(name, tuple(subset or ()), kind="duplicates", subset=tuple(subset) if subset else None)

@@ -114,3 +114,15 @@ def test_quarantine_flags(spark):
     good, bad = QR.split(df, Q.emr_suite())
     assert [r.k for r in good.collect()] == [1]
     assert bad.collect()[0]["failed_rules"] == ["icd10_format_errors", "negative_dosage_count", "blank_mandatory_count"]
+
+
+def test_custom_suite(spark):
+    rows = [(1, 5.0, "a"), (2, 50.0, "b"), (3, None, "c"), (4, 7.0, None)]
+    df = spark.createDataFrame(rows, "k int, amount double, tag string")
+    suite = Q.Suite("custom", (Q.Weighted(R.custom("too_big", F.col("amount") > 10, ["amount"]), 3.0),
+                               Q.Weighted(R.custom("no_tag", lambda d: d["tag"].isNull(), ["tag"]), 1.0),
+                               Q.Weighted(R.custom("gone", F.col("zz") > 0, ["zz"]), 1.0)),
+                    0.5, 0.9, clip=None)
+    r = _one(Q.score(df, suite))
+    assert (r["too_big"], r["no_tag"], r["gone"]) == (1, 1, 0)
+    assert math.isclose(r["score"], (3 * 0.75 + 1 * 0.75 + 1 * 1.0) / 5)
