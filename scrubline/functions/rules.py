@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from . import exprs as X
 
-RowPredicate = Callable[[DataFrame], Column]
-
-
 @dataclass(frozen=True)
 class Rule:
     """One defect rule.

@@ -23,7 +23,6 @@ from ..functions import exprs as X
 from . import fill as W
 from .quantile import approx_median, exact_median, mode_values
 
-NUMERIC_STRATEGIES = ("median", "mean")
 _STATS = "__scrubline_stats"
 
 

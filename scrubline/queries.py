@@ -14,7 +14,6 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import exprs as X
 from .functions import rules as R
 from .operators import clean as C
 from .operators import dedup as D

@@ -80,3 +80,17 @@ def test_ledger_records_type_errors(spark):
     _, led = G.ledger(retail, steps, Q.retail_suite())
     rows = led.orderBy("step").collect()
     assert rows[1].error and "TypeError" in rows[1].error
+
+
+def test_read_table_formats(spark):
+    from scrubline.sources.io import read_table
+    retail = FX.view(spark, SF, "retail")
+    base = tempfile.mkdtemp(prefix="scrubline-test-")
+    retail.write.csv(f"{base}/csv", header=True)
+    retail.write.json(f"{base}/json")
+    schema = retail.schema
+    csv = read_table(spark, f"{base}/csv", fmt="csv", schema=schema, header=True)
+    js = read_table(spark, f"{base}/json", fmt="json", schema=schema)
+    for d in (csv, js):
+        assert d.count() == retail.count()
+        assert Q.rule_counts(d, Q.retail_suite()).collect() == Q.rule_counts(retail, Q.retail_suite()).collect()
