@@ -1,9 +1,9 @@
 """Forward and backward fill in row order (W1, W2) without a global window.
 
 A window without ``partitionBy`` moves every row into one task. Instead rows
-are cut into *blocks*: contiguous ranges of the first order key, sized from the
-key's min/max and the row count (deterministic aggregates, so a recomputed task
-assigns the same block). Then
+are cut into *blocks*: contiguous, roughly equal-count ranges of the first
+order key (approximate quantiles fetched once, so a recomputed task assigns
+the same block). Then
 
 1. inside each ``(partition_by..., block)`` window the usual running
    ``last(value, ignorenulls)`` fills what it can;
@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from ..functions import exprs as X
 
 ROWS_PER_BLOCK = 1_000_000
-# The block table (one row per block) runs through one window: keep it bounded.
-MAX_BLOCKS = 1_000_000
+# The block table (one row per block) runs through one window, and the block
+# boundaries are fetched once: keep both bounded.
+MAX_BLOCKS = 100_000
 
 
 def _as_list(cols) -> list[str]:
@@ -52,25 +53,33 @@ def _key_number(c: Column, dt: T.DataType) -> Column:
     raise TypeError(f"fill: the first order_by column must be numeric, date or timestamp, not {dt.simpleString()}")
 
 
-_BSTAT = "__scrubline_blockstat"
-
-
 def _with_blocks(df: DataFrame, key: str, rows_per_block: int) -> DataFrame:
-    """Add ``_blk``. The key's min/max/count come from one scalar subquery,
-    attached once as a column so it runs once."""
+    """Add ``_blk``: equi-depth blocks of the order key.
+
+    Block boundaries are approximate quantiles of the key (``percentile_approx``
+    at ``1/B, 2/B, ...`` for ``B = ceil(rows / rows_per_block)`` blocks, at most
+    MAX_BLOCKS). Like Spark's own range partitioner, the bounded list of
+    boundaries is fetched once, so every branch of the plan and every
+    recomputed task assigns the same block; ``Bucketizer`` then places each row
+    by binary search in the JVM. Keys crowded into a narrow range still get
+    their share of blocks (equal keys always share one). NULL keys sort first
+    and get block -1.
+    """
     kv = _key_number(F.col(key), X.dtype_of(df, key))
-    stat = df.agg(F.struct(F.min(kv).alias("lo"), F.max(kv).alias("hi"),
-                           F.count(F.lit(1)).alias("n")).alias("s")).scalar()
-    with_stat = df.withColumn(_BSTAT, stat)
-    return with_stat.withColumn("_blk", _block_column(kv, F.col(_BSTAT), rows_per_block)).drop(_BSTAT)
-
-
-def _block_column(kv: Column, s: Column, rows_per_block: int) -> Column:
-    nblocks = F.least(F.greatest(F.lit(1), F.ceil(s["n"] / F.lit(float(rows_per_block)))), F.lit(MAX_BLOCKS))
-    width = (s["hi"] - s["lo"]) / nblocks
-    width = F.when(width > 0, width).otherwise(F.lit(1.0))
-    # NULL keys sort first: give them their own block before all others
-    return F.coalesce(F.floor((kv - s["lo"]) / width), F.lit(-1)).cast("long")
+    n = df.agg(F.count(kv).alias("n")).first()["n"] or 0
+    nblocks = int(min(max(1, -(-n // rows_per_block)), MAX_BLOCKS))
+    tagged = df.withColumn("_kv", kv)
+    if nblocks == 1:
+        return tagged.withColumn("_blk", F.when(F.col("_kv").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")).drop("_kv")
+    fractions = [i / nblocks for i in range(1, nblocks)]
+    accuracy = max(10_000, 10 * nblocks)
+    bounds = df.agg(F.percentile_approx(kv, fractions, accuracy).alias("b")).first()["b"] or []
+    splits = [float("-inf")] + sorted({float(x) for x in bounds}) + [float("inf")]
+    from pyspark.ml.feature import Bucketizer
+    safe = tagged.withColumn("_kv0", F.coalesce(F.col("_kv"), F.lit(0.0)))
+    bucketed = Bucketizer(splits=splits, inputCol="_kv0", outputCol="_b").transform(safe)
+    return (bucketed.withColumn("_blk", F.when(F.col("_kv").isNull(), F.lit(-1)).otherwise(F.col("_b")).cast("long"))
+            .drop("_kv", "_kv0", "_b"))
 
 
 def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_by,

@@ -117,3 +117,19 @@ def test_inject_detect_rates(spark):
     nulls = cust.where("c_custkey % 10 = 3").count()
     nulls_dup = cust.where("c_custkey % 10 = 3 AND c_custkey % 25 = 0").count()
     assert got["acctbal_null"] == nulls + nulls_dup
+
+
+def test_fill_blocks_equal_depth_on_clustered_keys(spark):
+    from scrubline.operators.fill import _with_blocks
+    rng = np.random.default_rng(3)
+    n = 4000
+    # 90% of the keys crowd into 0.1% of the key range
+    keys = np.where(rng.random(n) < 0.9, rng.uniform(0, 1, n), rng.uniform(0, 1000, n))
+    vals = [None if rng.random() < 0.5 else float(v) for v in rng.normal(size=n)]
+    df = spark.createDataFrame([(float(k), v) for k, v in zip(keys, vals)], "k double, v double")
+    sizes = [r["count"] for r in _with_blocks(df, "k", 200).groupBy("_blk").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 2 * 200
+    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("k", F.last("v", True).over(w).alias("v"))
+    got = W.forward_fill(df, ["v"], order_by="k", rows_per_block=200)
+    assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
