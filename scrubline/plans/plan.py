@@ -143,9 +143,31 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
     return df  # validate, export
 
 
+_FUSABLE = ("impute_missing", "replace_sentinel")
+
+
+def fuse_steps(steps: Sequence[Step]) -> list[Step]:
+    """Merge consecutive statistic steps with equal parameters on disjoint,
+    explicitly named columns into one step, so their statistics come from one
+    stacked aggregate. Steps on the same column stay apart: order matters
+    there (imputing first puts sentinels into the median)."""
+    out: list[Step] = []
+    for st in steps:
+        prev = out[-1] if out else None
+        if (prev is not None and st.operation in _FUSABLE and prev.operation == st.operation
+                and prev.target_columns and st.target_columns and dict(prev.params) == dict(st.params)
+                and not set(prev.target_columns) & set(st.target_columns)
+                and st.params.get("strategy", "median") in ("median", "mean")):
+            out[-1] = Step(st.operation, prev.target_columns + st.target_columns, prev.params)
+        else:
+            out.append(st)
+    return out
+
+
 def apply_plan(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]]) -> DataFrame:
-    """G1: fold all steps into one lazy DataFrame (checked before running)."""
-    parsed = [parse_step(s) for s in steps]
+    """G1: fold all steps into one lazy DataFrame (checked before running);
+    statistic steps on disjoint columns share one aggregate (``fuse_steps``)."""
+    parsed = fuse_steps([parse_step(s) for s in steps])
 
     def go(frame: DataFrame, step: Step) -> DataFrame:
         check_step(frame, step)

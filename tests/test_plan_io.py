@@ -94,3 +94,16 @@ def test_read_table_formats(spark):
     for d in (csv, js):
         assert d.count() == retail.count()
         assert Q.rule_counts(d, Q.retail_suite()).collect() == Q.rule_counts(retail, Q.retail_suite()).collect()
+
+
+def test_fused_statistic_steps(spark):
+    crm = FX.view(spark, SF, "crm")
+    steps = [{"operation": "impute_missing", "target_columns": ["age"], "params": {"strategy": "mean"}},
+             {"operation": "impute_missing", "target_columns": ["phone"], "params": {"strategy": "mean"}},
+             {"operation": "impute_missing", "target_columns": ["age"], "params": {"strategy": "median"}}]
+    fused = G.fuse_steps([G.parse_step(s) for s in steps])
+    assert [f.target_columns for f in fused] == [("age", "phone"), ("age",)]
+    a = G.apply_plan(crm, steps)
+    from scrubline.operators import stats as S
+    b = S.impute_missing(S.impute_missing(S.impute_missing(crm, ["age"], "mean"), ["phone"], "mean"), ["age"], "median")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
