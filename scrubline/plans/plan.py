@@ -198,6 +198,8 @@ def _cut(frame: DataFrame, step: Step, checkpoint: bool | str) -> DataFrame:
     and a lost executor only reruns work since the last cut.
     """
     if checkpoint is True or (checkpoint == "auto" and step.operation in _HEAVY):
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(frame.sparkSession)
         return frame.checkpoint()
     return frame
 

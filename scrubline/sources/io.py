@@ -59,6 +59,8 @@ def export(df: DataFrame, path: str, mode: str = "errorifexists",
     info: dict = {"path": path, "written": False}
     if suite is not None and gate is None:
         from ..plans.suite import score
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint()
         gate = score(df, suite)
     if gate is not None:

@@ -133,3 +133,16 @@ def test_fill_blocks_equal_depth_on_clustered_keys(spark):
     ref = df.select("k", F.last("v", True).over(w).alias("v"))
     got = W.forward_fill(df, ["v"], order_by="k", rows_per_block=200)
     assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_filters_push_through_cleaners_and_scans_are_pruned(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    q = (C.clamp_range(C.abs_negative(li, ["l_discount"]), ["l_quantity"], 0, 10)
+         .where(F.col("l_returnflag") == "R").select("l_orderkey", "l_quantity", "l_discount"))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(l_returnflag,R)" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_discount:double,l_returnflag:string>" in plan
+    # a suite reads only its rule columns
+    counts = Q.rule_counts(spark.read.parquet(f"{SF}/customer.parquet").withColumnRenamed("c_acctbal", "price"),
+                           Q.Suite("p", Q.retail_suite().rules, 0.5, 0.9, required=("price",)))
+    assert "ReadSchema: struct<c_acctbal:double>" in counts._jdf.queryExecution().executedPlan().toString()
