@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from . import fill as W
-from .quantile import approx_median, exact_median, mode_values
+from .quantile import approx_median, exact_median
 
 _STATS = "__scrubline_stats"
 
@@ -141,19 +141,7 @@ def impute_missing(df: DataFrame, cols: Sequence[str] | str | None = None, strat
 
     if strategy == "mode":
         t = [c for c in (targets or X.visible_columns(df)) if c in df.columns and c not in by]
-        out = df
-        for c in t:
-            dt = X.dtype_of(df, c)
-            m = mode_values(df, c, by, name="_mode")
-            if by:
-                joined = _join_by(out, m, by)
-                out = joined.withColumn(c, F.coalesce(F.when(X.is_missing(F.col(c), dt), F.col("_mode")),
-                                                      F.col(c))).drop("_mode")
-            else:
-                out = (out.withColumn(_STATS, m.select("_mode").scalar())
-                       .withColumn(c, F.coalesce(F.when(X.is_missing(F.col(c), dt), F.col(_STATS)), F.col(c)))
-                       .drop(_STATS))
-        return out
+        return _impute_modes(df, t, by) if t else df
 
     # median / mean over numeric-coerced values
     default = _numeric_like(df)
@@ -170,6 +158,47 @@ def impute_missing(df: DataFrame, cols: Sequence[str] | str | None = None, strat
     return _apply(df, stats, by, fills)
 
 
+def _impute_modes(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """C10c for many columns in one pass.
+
+    Every target cell becomes ``(column, s, d, l)`` with one typed slot set
+    (text, floating, or integral/date/timestamp as a long), so one
+    ``groupBy(by, column, s, d, l).count()`` counts the values of all columns
+    at once. ``min_by`` over ``(-count, value)`` then picks each column's most
+    frequent value (ties -> smallest) into a small ``map<column, value>``,
+    applied like the other statistics. Each slot orders like its column's type.
+    """
+    from .profile import _typed
+    cells = F.array(*[F.struct(F.lit(c).alias("_col"), _typed(df, c).alias("v")) for c in cols])
+    long = (df.select(*by, F.explode(cells).alias("_x"))
+            .select(*by, F.col("_x._col").alias("_col"), F.col("_x.v.s").alias("s"),
+                    F.col("_x.v.d").alias("d"), F.col("_x.v.l").alias("l"))
+            .where(F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("l").isNotNull()))
+    counts = long.groupBy(*by, "_col", "s", "d", "l").agg(F.count(F.lit(1)).alias("_n"))
+    value = F.struct("s", "d", "l")
+    pick = F.min_by(value, F.struct((-F.col("_n")).alias("a"), value.alias("b"))).alias("_mode")
+    per = counts.groupBy(*by, "_col").agg(pick)
+    packed = F.map_from_entries(F.collect_list(F.struct("_col", "_mode"))).alias("_stats")
+    stats = per.groupBy(*by).agg(packed) if by else per.agg(packed)
+
+    def restore(c: str, m: Column) -> Column:
+        dt = X.dtype_of(df, c)
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            return m["d"].cast(dt)
+        if isinstance(dt, T.IntegralType):
+            return m["l"].cast(dt)
+        if isinstance(dt, T.DateType):
+            return F.date_from_unix_date(m["l"].cast("int"))
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            return F.timestamp_micros(m["l"]).cast(dt)
+        return m["s"].cast(dt)
+
+    def fills(frame: DataFrame, smap: Column) -> dict[str, Column]:
+        return {c: F.coalesce(F.when(X.is_missing(F.col(c), X.dtype_of(df, c)), restore(c, smap[c])), F.col(c))
+                for c in cols}
+    return _apply(df, stats, by, fills)
+
+
 # ------------------------------------------------------------------- C11
 
 def replace_sentinel(df: DataFrame, cols: Sequence[str] | str | None = None, sentinel: float = X.SENTINEL,

@@ -101,3 +101,14 @@ def test_fill_blank_and_abs(spark):
     assert _col(C.fill_blank(df, ["d"]), "d") == ["UNKNOWN", "UNKNOWN", "x"]
     assert _col(C.fill_blank(df, []), "d") == ["  ", None, "x"]
     assert _col(C.abs_negative(df), "dosage_mg") == [2.5, 3.0, None]
+
+
+def test_mode_many_columns_one_pass(spark):
+    import datetime as dt
+    rows = [(1, "b", 2.0, 7, dt.date(2020, 1, 2)), (2, "a", 2.0, None, dt.date(2020, 1, 1)),
+            (3, "b", None, 7, None), (4, "a", 1.0, 3, dt.date(2020, 1, 1)), (5, None, float("nan"), 3, dt.date(2020, 1, 2))]
+    df = spark.createDataFrame(rows, "k int, s string, d double, i int, t date")
+    out = {r.k: r for r in S.impute_missing(df, ["s", "d", "i", "t"], "mode").collect()}
+    assert out[5].s == "a" and out[3].d == 2.0 and out[5].d == 2.0 and out[2].i == 3 and out[3].t == dt.date(2020, 1, 1)
+    grouped = {r.k: r for r in S.impute_missing(df.withColumn("g", F.lit(1)), ["s", "i"], "mode", by=["g"]).collect()}
+    assert grouped[5].s == "a" and grouped[2].i == 3
