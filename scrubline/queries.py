@@ -281,6 +281,26 @@ def impute_median_by_category(spark, sf):
     return _retail_out(S.impute_missing(_view(spark, sf, "retail"), ["price"], "median", by=["category"]))
 
 
+@register("impute_mode_multi", FX.cte("crm") + """
+, me AS (SELECT email AS v FROM crm WHERE email IS NOT NULL GROUP BY email ORDER BY count(*) DESC, email ASC LIMIT 1),
+ mp AS (SELECT phone AS v FROM crm WHERE phone IS NOT NULL GROUP BY phone ORDER BY count(*) DESC, phone ASC LIMIT 1)
+SELECT row_id, customer_id, coalesce(email, (SELECT v FROM me)) AS email, coalesce(phone, (SELECT v FROM mp)) AS phone,
+ age, signup_date, plan FROM crm""")
+def impute_mode_multi(spark, sf):
+    """C10c on two text columns at once (one stacked aggregate for both modes)."""
+    return S.impute_missing(_view(spark, sf, "crm"), ["email", "phone"], "mode")
+
+
+@register("sentinel_median_by_category", FX.cte("retail") + """
+, m AS (SELECT category AS cat, median(price) AS v FROM retail WHERE price <> -1 AND NOT isnan(price) GROUP BY category)
+SELECT row_id, transaction_id, category, quantity,
+ round(CASE WHEN price = -1 THEN coalesce(m.v, 0.0) ELSE price END, 4) AS price, timestamp
+FROM retail LEFT JOIN m ON retail.category IS NOT DISTINCT FROM m.cat""")
+def sentinel_median_by_category(spark, sf):
+    """C11 with per-group statistics (``by=``)."""
+    return _retail_out(S.replace_sentinel(_view(spark, sf, "retail"), ["price"], -1, "median", by=["category"]))
+
+
 @register("sentinel_median", FX.cte("retail") + """
 , m AS (SELECT median(price) AS v FROM retail WHERE price <> -1 AND NOT isnan(price))
 SELECT row_id, transaction_id, category, quantity,
