@@ -78,10 +78,14 @@ def rules_per_window(spark: SparkSession, sf_dir: str, window: str = "1 day", de
                      mode: str = "complete") -> DataFrame:
     """ST3 over a replay of ``events``: complete mode (every window, as the
     batch oracle) or append mode (windows the watermark has closed)."""
-    agg = window_rule_counts(events_stream(spark, sf_dir), window, delay)
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    # event times are wall-clock (TIMESTAMP_NTZ): window them as UTC instants so
+    # day windows start at wall-clock midnight whatever the session time zone
+    ev = events_stream(spark, sf_dir).withColumn("ts", F.from_utc_timestamp("ts", tz))
+    agg = window_rule_counts(ev, window, delay)
     res = _run(agg, spark, "rules-window", mode=mode)
-    return res.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                      "rows", "value_null", "value_negative", "error_events")
+    start = F.to_utc_timestamp(F.col("window.start"), tz).cast("timestamp_ntz")
+    return res.select(start.alias("window_start"), "rows", "value_null", "value_negative", "error_events")
 
 
 def dedup_within_watermark(stream: DataFrame, keys, time_col: str = "ts", delay: str = "1 hour") -> DataFrame:
