@@ -82,8 +82,13 @@ def _with_blocks(df: DataFrame, key: str, rows_per_block: int) -> DataFrame:
             .drop("_kv", "_kv0", "_b"))
 
 
+def _orderable(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType,
+                           T.BooleanType, T.BinaryType))
+
+
 def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_by,
-          forward: bool, rows_per_block: int) -> DataFrame:
+          forward: bool, rows_per_block: int, unique_order: bool = False) -> DataFrame:
     order = _as_list(order_by)
     if not order:
         raise ValueError("forward/backward fill needs order_by: row order must be explicit")
@@ -93,6 +98,11 @@ def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_b
     if not targets:
         return df
     keep = list(df.columns)
+    if not unique_order:
+        # ties in the order key are broken by the remaining columns, so a
+        # recomputed task fills exactly as the first attempt did
+        order = order + [f.name for f in df.schema.fields
+                         if f.name not in order and f.name not in pby and _orderable(f.dataType)]
     blk = _with_blocks(df, order[0], rows_per_block)
     # the value to carry: NaN counts as missing
     vals = {c: F.when(~X.is_missing(F.col(c), X.dtype_of(df, c)), F.col(c)) for c in targets}
@@ -133,13 +143,19 @@ def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_b
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str] | str | None = None, order_by=None,
-                 partition_by=None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                 partition_by=None, rows_per_block: int = ROWS_PER_BLOCK,
+                 unique_order: bool = False) -> DataFrame:
     """Each missing cell takes the last non-missing value before it in
-    ``order_by`` order (within ``partition_by`` groups); leading gaps stay NULL."""
-    return _fill(df, cols, order_by, partition_by, True, rows_per_block)
+    ``order_by`` order (within ``partition_by`` groups); leading gaps stay NULL.
+
+    Ties in ``order_by`` are broken by the remaining columns; pass
+    ``unique_order=True`` when the order key is unique (a single numeric key
+    then keeps the block tails on hash aggregation)."""
+    return _fill(df, cols, order_by, partition_by, True, rows_per_block, unique_order)
 
 
 def backward_fill(df: DataFrame, cols: Sequence[str] | str | None = None, order_by=None,
-                  partition_by=None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                  partition_by=None, rows_per_block: int = ROWS_PER_BLOCK,
+                  unique_order: bool = False) -> DataFrame:
     """Each missing cell takes the next non-missing value after it."""
-    return _fill(df, cols, order_by, partition_by, False, rows_per_block)
+    return _fill(df, cols, order_by, partition_by, False, rows_per_block, unique_order)

@@ -364,7 +364,7 @@ SELECT row_id, transaction_id, category, quantity,
  timestamp FROM retail""")
 def ffill_global(spark, sf):
     return _retail_out(W.forward_fill(_view(spark, sf, "retail"), ["price"], order_by="row_id",
-                                      rows_per_block=FILL_BLOCK_ROWS))
+                                      rows_per_block=FILL_BLOCK_ROWS, unique_order=True))
 
 
 @register("ffill_partitioned", FX.cte("retail") + """
@@ -373,7 +373,7 @@ SELECT row_id, transaction_id, category, quantity,
    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS price, timestamp FROM retail""")
 def ffill_partitioned(spark, sf):
     return _retail_out(W.forward_fill(_view(spark, sf, "retail"), ["price"], order_by="row_id",
-                                      partition_by=["category"], rows_per_block=FILL_BLOCK_ROWS))
+                                      partition_by=["category"], rows_per_block=FILL_BLOCK_ROWS, unique_order=True))
 
 
 @register("bfill_global", FX.cte("retail") + """
@@ -382,7 +382,7 @@ SELECT row_id, transaction_id, category, quantity,
  timestamp FROM retail""")
 def bfill_global(spark, sf):
     return _retail_out(W.backward_fill(_view(spark, sf, "retail"), ["price"], order_by="row_id",
-                                       rows_per_block=FILL_BLOCK_ROWS))
+                                       rows_per_block=FILL_BLOCK_ROWS, unique_order=True))
 
 
 @register("ffill_events_value", """
@@ -395,7 +395,7 @@ def ffill_events_value(spark, sf):
     ev = load(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     ev = ev.withColumn("value", F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("value")))
     out = W.forward_fill(ev, ["value"], order_by=["ts", "event_id"], partition_by=["user_id"],
-                         rows_per_block=FILL_BLOCK_ROWS)
+                         rows_per_block=FILL_BLOCK_ROWS, unique_order=True)
     return out.select("event_id", "user_id", "event_type", "value")
 
 

@@ -146,3 +146,17 @@ def test_filters_push_through_cleaners_and_scans_are_pruned(spark):
     counts = Q.rule_counts(spark.read.parquet(f"{SF}/customer.parquet").withColumnRenamed("c_acctbal", "price"),
                            Q.Suite("p", Q.retail_suite().rules, 0.5, 0.9, required=("price",)))
     assert "ReadSchema: struct<c_acctbal:double>" in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fill_ties_broken_by_remaining_columns(spark):
+    rng = np.random.default_rng(9)
+    n = 2000
+    keys = rng.integers(0, 150, n)  # many ties
+    other = rng.integers(0, 10**6, n)
+    vals = [None if rng.random() < 0.5 else float(x) for x in rng.normal(size=n)]
+    df = spark.createDataFrame([(int(k), int(o), v) for k, o, v in zip(keys, other, vals)], "k long, o long, v double")
+    w = Window.orderBy("k", "o", "v").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("k", "o", F.last("v", True).over(w).alias("v"))
+    for parts in (1, 7):
+        got = W.forward_fill(df.repartition(parts), ["v"], order_by="k", rows_per_block=100)
+        assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
