@@ -121,7 +121,7 @@ def _counts_by_row(df: DataFrame, suite: Suite, by: Sequence[str]) -> DataFrame:
     keys = list(by) + [c for c in X.visible_columns(df) if c not in by]
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     n = F.col("_n")
-    aggs = [F.sum(n).alias("rows")]
+    aggs = [F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("rows")]
     for r in _scalar_rules(suite):
         terms = [F.coalesce(F.sum(F.when(p, n)), F.lit(0)) for p in r.predicates(per)]
         total = terms[0] if terms else F.lit(0)
@@ -129,7 +129,7 @@ def _counts_by_row(df: DataFrame, suite: Suite, by: Sequence[str]) -> DataFrame:
             total = total + t
         aggs.append(total.cast("long").alias(r.name))
     for r in _dup_rules(suite):
-        aggs.append(F.sum(n - 1).cast("long").alias(r.name))
+        aggs.append(F.coalesce(F.sum(n - 1), F.lit(0)).cast("long").alias(r.name))
     return per.groupBy(*by).agg(*aggs) if by else per.agg(*aggs)
 
 

@@ -126,3 +126,11 @@ def test_custom_suite(spark):
     r = _one(Q.score(df, suite))
     assert (r["too_big"], r["no_tag"], r["gone"]) == (1, 1, 0)
     assert math.isclose(r["score"], (3 * 0.75 + 1 * 0.75 + 1 * 1.0) / 5)
+
+
+def test_empty_table_scores_zero_in_every_suite(spark):
+    for suite, schema in [(Q.crm_suite(), "phone string, email string, age double"),
+                          (Q.emr_suite(), "patient_id string, diagnosis string"),
+                          (Q.retail_suite(), "price double")]:
+        r = _one(Q.score(spark.createDataFrame([], schema), suite))
+        assert r["rows"] == 0 and r["score"] == 0.0 and r["total_defects"] == 0 and not r["passed"]
