@@ -107,3 +107,12 @@ def test_fused_statistic_steps(spark):
     from scrubline.operators import stats as S
     b = S.impute_missing(S.impute_missing(S.impute_missing(crm, ["age"], "mean"), ["phone"], "mean"), ["age"], "median")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_profile_approx_close_to_exact(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    exact = {r.column: r for r in P.profile(li).collect()}
+    approx = {r.column: r for r in P.profile(li, approx=True).collect()}
+    for c, r in exact.items():
+        assert approx[c].null_count == r.null_count
+        assert abs(approx[c].unique_count - r.unique_count) <= max(2, 0.06 * r.unique_count)
