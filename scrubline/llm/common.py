@@ -36,6 +36,12 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if a count finds at most ``max_rows`` rows in
+    it; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def bounded_sample(df: DataFrame, by: str, per_group: int, seed_cols: list[str]) -> DataFrame:
     """At most ``per_group`` rows of each value of ``by``, those of the smallest
     hash of ``seed_cols``: repeatable, and independent of partitions. Groups
@@ -46,7 +52,7 @@ def bounded_sample(df: DataFrame, by: str, per_group: int, seed_cols: list[str])
     # share of the hash range that keeps 3x the bound (plus slack) in expectation
     cut = sizes.select(by, F.least(F.lit(1.0), F.lit(3.0 * per_group + 100) / F.col("_size")).alias("_share"))
     u = (h.cast("double") / F.lit(2.0 ** 64)) + F.lit(0.5)
-    thin = df.withColumn("_h", h).withColumn("_u", u).join(F.broadcast(cut.limit(10_000)), by).where("_u <= _share")
+    thin = df.withColumn("_h", h).withColumn("_u", u).join(small(cut), by).where("_u <= _share")
     w = Window.partitionBy(by).orderBy("_h", *seed_cols)
     return (thin.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_group)
             .drop("_rank", "_h", "_u", "_share"))

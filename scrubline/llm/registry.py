@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, langid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": langid.op1_language_id,
     "op8_bpe": bpe.op8_bpe,
 }
 ORACLES: dict[str, str] = {}
