@@ -35,7 +35,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Words whose ids are kept by a worker; the cache starts anew beyond it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Texts are normalised in slices of about this many characters, cut at white space.
 SLICE_CHARS = 1 << 16
 
@@ -271,13 +271,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(load(path))
 
 
+def _in_slices(parts: Iterator[pa.Array], f: Callable[[list], list], kind: pa.DataType, size: int = 256) -> Iterator[pa.Array]:
+    """``f`` over a few rows at a time, so that only a few texts are Python objects."""
+    for arr in parts:
+        done = [pa.array(f(arr.slice(k, size).to_pylist()), kind) for k in range(0, len(arr), size)]
+        yield pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``df`` with the ids of ``text`` as little-endian unsigned 32-bit integers."""
-    @F.pandas_udf("binary")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def ids(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(path)
-        for s in parts:
-            yield s.map(enc.encode, na_action=None)
+        yield from _in_slices(parts, lambda rows: [enc.encode(t) for t in rows], pa.binary())
 
     return df.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
 
@@ -285,15 +291,33 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded", joined: bool = True) -> DataFrame:
     """``df`` with the ids' text: tokens joined as the library does, or with
     ``joined=False`` the text that the byte state machine restores."""
-    @F.pandas_udf("string")
-    def text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
-        for s in parts:
-            yield s.map(lambda b: decode_ids(bpe, b) if joined else decode_text(bpe, memoryview(b).cast("I")))
+        one = (lambda b: decode_ids(bpe, b)) if joined else (lambda b: decode_text(bpe, memoryview(b).cast("I")))
+        yield from _in_slices(parts, lambda rows: [one(b) for b in rows], pa.string())
 
     return df.withColumn(out, text(F.coalesce(F.col(ids), F.lit(b""))))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """encode() and decode() in one Python worker: both columns in one pass."""
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+
+    @F.arrow_udf("ids binary, decoded string")
+    def both(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoder(path)
+
+        def rows(texts: list[str]) -> list[dict]:
+            done = map(enc.encode, texts)
+            return [{"ids": b, "decoded": decode_ids(enc.bpe, b)} for b in done]
+        yield from _in_slices(parts, rows, kind)
+
+    kept = [c for c in df.columns if c not in (ids, decoded)]
+    done = df.select(*kept, both(F.coalesce(F.col(text), F.lit(""))).alias("_both"))
+    return done.select(*kept, F.col("_both.ids").alias(ids), F.col("_both.decoded").alias(decoded))
+
+
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
@@ -301,7 +325,7 @@ def default_path() -> str:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of each row."""
-    both = decode(encode(docs.select("doc_id", "text"), path), path)
+    both = round_trip(docs.select("doc_id", "text"), path)
     return both.select(
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -56,3 +56,22 @@ def bounded_sample(df: DataFrame, by: str, per_group: int, seed_cols: list[str])
     w = Window.partitionBy(by).orderBy("_h", *seed_cols)
     return (thin.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_group)
             .drop("_rank", "_h", "_u", "_share"))
+
+
+#: A key with at least one in HEAVY rows is joined by broadcast (at most HEAVY such keys).
+HEAVY, SALTS = 1000, 64
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, spread: Column) -> DataFrame:
+    """Left join of ``left`` with ``right`` (one row a key, ``count`` its rows in
+    ``left``, ``total`` all rows), safe when one key holds most rows: heavy keys
+    are joined by broadcast, and their rows then pass the shuffled join of the
+    others under salts made of ``spread``. ``right`` must not clash with ``left``."""
+    new = [c for c in right.columns if c not in (*on, count)]
+    is_heavy = F.col(count) * HEAVY >= F.lit(total)
+    heavy = right.where(is_heavy).select(*on, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_heavy_{c}") for c in new])
+    light = right.where(~is_heavy).select(*on, F.lit(0).alias("_salt"), *new)
+    near = left.join(F.broadcast(heavy), on, "left")
+    salt = F.when(F.col("_hit"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int") + 1).otherwise(0)
+    both = near.withColumn("_salt", salt).join(light, [*on, "_salt"], "left")
+    return both.select(*left.columns, *[F.coalesce(f"_heavy_{c}", c).alias(c) for c in new])
