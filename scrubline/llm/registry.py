@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, secrets, urls
+from . import bpe, decontam, langid, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
     "op4_url_filter": urls.op4_url_filter,
     "op5_secrets": secrets.op5_secrets,
     "op8_bpe": bpe.op8_bpe,
+    "op9_decontaminate": decontam.op9_decontaminate,
 }
 ORACLES: dict[str, str] = {
     "op4_url_filter": urls.ORACLE,
     "op5_secrets": secrets.ORACLE,
+    "op9_decontaminate": decontam.ORACLE,
 }
