@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, secrets, urls
+from . import bpe, decontam, langid, secrets, setjoin, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
+    "op3_jaccard_join": setjoin.op3_jaccard_join,
     "op4_url_filter": urls.op4_url_filter,
     "op5_secrets": secrets.op5_secrets,
     "op8_bpe": bpe.op8_bpe,
