@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, secrets, setjoin, urls
+from . import bpe, decontam, langid, secrets, setjoin, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": secrets.op5_secrets,
     "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontam.op9_decontaminate,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_url_filter": urls.ORACLE,
