@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, secrets, setjoin, substrings, urls
+from . import bpe, decontam, langid, nearest, secrets, setjoin, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
+    "op2_nearest": nearest.op2_nearest,
     "op3_jaccard_join": setjoin.op3_jaccard_join,
     "op4_url_filter": urls.op4_url_filter,
     "op5_secrets": secrets.op5_secrets,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op2_nearest": nearest.ORACLE,
     "op4_url_filter": urls.ORACLE,
     "op5_secrets": secrets.ORACLE,
     "op9_decontaminate": decontam.ORACLE,
