@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, nearest, secrets, setjoin, substrings, urls
+from . import bpe, decontam, langid, nearest, secrets, setjoin, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": setjoin.op3_jaccard_join,
     "op4_url_filter": urls.op4_url_filter,
     "op5_secrets": secrets.op5_secrets,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_substring_dedup": substrings.op10_substring_dedup,
