@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, nearest, secrets, setjoin, substrings, toxicity, urls
+from . import bpe, decontam, langid, nearest, pitman_yor, secrets, setjoin, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": urls.op4_url_filter,
     "op5_secrets": secrets.op5_secrets,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_pitman_yor": pitman_yor.op7_pitman_yor,
     "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_substring_dedup": substrings.op10_substring_dedup,
