@@ -15,7 +15,7 @@ the next new table of a Polya urn is geometric with a beta-distributed rate, so
 a sweep costs as many steps as there are tables, not customers. ``PASSES`` passes
 over the corpus each run some sweeps and then exchange the restaurants' table
 totals (at most HEADS + 1 numbers); the last pass averages the predictive
-probabilities of its samples. Random numbers come from a hash of the batch, so a
+probabilities of its ``SWEEPS`` samples, each with its own totals. Random numbers come from a hash of the batch, so a
 retried task draws the same ones. Discounts are fitted by the counts of counts.
 
 Scoring. Texts are dealt into blocks as they are read. A block keeps its texts as
@@ -48,7 +48,7 @@ BLOCK_WORDS = 3_000_000
 END = np.uint64(0x9AE16A3B2F90404F)
 
 
-def blocks(texts: DataFrame) -> DataFrame:
+def blocks(texts: DataFrame, block_words: int) -> DataFrame:
     """One row a block of the (id, train, text) rows: words (distinct hashes),
     counts (training tokens of each), size, ids, train, lengths, codes."""
     def emit(parts: list[np.ndarray], ids: list, train: list) -> pa.RecordBatch:
@@ -64,7 +64,7 @@ def blocks(texts: DataFrame) -> DataFrame:
         parts, ids, train, total = [], [], [], 0
         for b in batches:
             for i, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), W.hashed(b.column(2), True)):
-                if total and total + len(h) >= BLOCK_WORDS:
+                if total and total + len(h) >= block_words:
                     yield emit(parts, ids, train)
                     parts, ids, train, total = [], [], [], 0
                 parts.append(np.append(h, END))
@@ -87,7 +87,7 @@ def _pairs(codes: np.ndarray, lengths: np.ndarray, head_at: np.ndarray) -> np.nd
     return before
 
 
-def _asks(heads: np.ndarray):
+def _asks(heads: np.ndarray, most: int):
     """Rows (block, at, w, u, c): for each distinct word of a block its contexts
     that occur and how often in training (0: only elsewhere)."""
     order = np.argsort(heads)
@@ -100,10 +100,10 @@ def _asks(heads: np.ndarray):
                 at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
                 head_at = np.where(known[at] == words, order[at], -1) if len(known) else np.full(len(words), -1)
                 u = _pairs(codes, lengths, head_at)
-                key = codes.astype(np.int64) * (HEADS + 1) + (u + 1)
+                key = codes.astype(np.int64) * (most + 1) + (u + 1)
                 pair, where = np.unique(key, return_inverse=True)
                 own = np.bincount(where, weights=np.repeat(train, lengths), minlength=len(pair)).astype(np.int32)
-                w, u = pair // (HEADS + 1), pair % (HEADS + 1) - 1
+                w, u = pair // (most + 1), pair % (most + 1) - 1
                 cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
                 for a in range(0, len(cut), 20_000):
                     lo, hi = cut[a], cut[a + 20_000] if a + 20_000 < len(cut) else len(w)
@@ -138,51 +138,90 @@ def seat(rng: np.random.Generator, customers: np.ndarray, base: np.ndarray, stre
     return tables
 
 
+def _lists(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column."""
+    return b[name].flatten().to_numpy(), b[name].value_lengths().to_numpy()
+
+
 def _gibbs(spec: dict, last: bool):
-    """Over batches of dishes (w, contexts u with counts c, u ascending, -1 first
-    if any): tables by restaurant, or with ``last`` the averaged predictives."""
+    """Over batches of dishes (w, contexts u with counts c; -1 is the root): the
+    table totals of the sweeps, or with ``last`` a sample of each kept sweep."""
+    most = spec["most"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total_t = np.zeros(HEADS + 1)
-        t_of, c_of = spec["tables"], spec["customers"]  # by context, the root last
+        totals = np.zeros(most + 1)
+        t_of = spec["tables"]  # by context, the root last
         d0, d1, v1 = spec["d0"], spec["d1"], spec["vocabulary"] + 1.0
         for b in batches:
             w = b.column(0).to_numpy()
             if not len(w):
                 continue
-            lists = [x.flatten().to_numpy() for x in (b.column(1), b.column(2))]
-            dish = np.repeat(np.arange(len(w)), b.column(1).value_lengths().to_numpy())
-            u, c = lists[0].astype(np.int64), lists[1].astype(np.int64)
+            (u, size), (c, _) = _lists(b, "u"), _lists(b, "c")
+            dish, u, c = np.repeat(np.arange(len(w)), size), u.astype(np.int64), c.astype(np.int64)
             direct = np.bincount(dish[u < 0], weights=c[u < 0], minlength=len(w))
             dish, u, c = dish[u >= 0], u[u >= 0], c[u >= 0]
             rng = np.random.default_rng([int(w.view(np.uint64)[0]), len(w), spec["pass"]])
             t1, t0 = np.minimum(c, 1), np.ones(len(w), np.int64)
             c0 = direct + np.bincount(dish, weights=t1, minlength=len(w))
-            mean0, mean1 = np.zeros(len(w)), np.zeros(len(u))
-            sums = np.zeros(HEADS + 1)
-            root_c, root_t = c_of[HEADS], t_of[HEADS]
-            keep = 0
+            kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            sums = np.zeros(most + 1)
             for sweep in range(2 * SWEEPS if last else SWEEPS):
-                p0 = (c0 - d0 * t0 + (STRENGTH + d0 * root_t) / v1) / (STRENGTH + root_c)
-                if len(u):
-                    t1 = seat(rng, c, p0[dish], np.full(len(u), STRENGTH), d1, np.maximum(t_of[u] - t1, 0))
+                p0 = (c0 - d0 * t0 + (STRENGTH + d0 * t_of[most]) / v1) / (STRENGTH + spec["root_customers"])
+                t1 = seat(rng, c, p0[dish], np.full(len(u), STRENGTH), d1, np.maximum(t_of[u] - t1, 0))
                 c0 = direct + np.bincount(dish, weights=t1, minlength=len(w))
-                t0 = seat(rng, c0.astype(np.int64), np.full(len(w), 1 / v1), np.full(len(w), STRENGTH), d0, np.maximum(root_t - t0, 0))
-                if sweep >= SWEEPS or not last:
-                    keep += 1
-                    sums += np.append(np.bincount(u, weights=t1, minlength=HEADS), t0.sum())
-                    p0 = (c0 - d0 * t0 + (STRENGTH + d0 * root_t) / v1) / (STRENGTH + root_c)
-                    mean0 += p0
-                    mean1 += (c - d1 * t1 + (STRENGTH + d1 * t_of[u]) * p0[dish]) / (STRENGTH + c_of[u])
+                t0 = seat(rng, c0.astype(np.int64), np.full(len(w), 1 / v1), np.full(len(w), STRENGTH), d0, np.maximum(t_of[most] - t0, 0))
+                sums += np.append(np.bincount(u, weights=t1, minlength=most), t0.sum()) / SWEEPS
+                if sweep >= SWEEPS:
+                    kept.append((c0, t0, t1))
             if last:
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(dish, minlength=len(w)))))
-                p = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.log10(mean1 / keep)))
-                ctx = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(u.astype(np.int32)))
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(dish, minlength=len(w))))), pa.int32())
                 n = direct + np.bincount(dish, weights=c, minlength=len(w))
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n.astype(np.int64)), pa.array(np.log10(mean0 / keep)), ctx, p], ["w", "n", "p0", "u", "p"])
+                per = lambda k: pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1) * SWEEPS, pa.int32()), pa.array(np.stack([x[k] for x in kept], 1).ravel().astype(np.int64)))
+                own = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (u, c, *(x[2] for x in kept))]
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n.astype(np.int64)), per(0), per(1), *own], _SAMPLE)
             else:
-                total_t += sums / keep
+                totals += sums
         if not last:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(HEADS + 1), pa.int32()), pa.array(total_t)], ["u", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(most + 1), pa.int32()), pa.array(totals)], ["u", "t"])
+    return run
+
+
+_SAMPLE = ["w", "n", "c0", "t0", "u", "c", *[f"own{k}" for k in range(SWEEPS)]]
+_SAMPLE_DDL = "w long, n long, " + ", ".join(f"{k} array<long>" for k in _SAMPLE[2:])
+
+
+def _sum_samples(most: int):
+    """Totals of each sample: tables by context, the root's tables (u = most)
+    and the root's customers (u = most + 1)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SWEEPS, most + 2))
+        for b in batches:
+            u, _ = _lists(b, "u")
+            c0, t0 = (_lists(b, k)[0].reshape(-1, SWEEPS).sum(0) for k in ("c0", "t0"))
+            for s in range(SWEEPS):
+                total[s] += np.concatenate((np.bincount(u, weights=_lists(b, f"own{s}")[0], minlength=most), [t0[s], c0[s]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(SWEEPS), most + 2), pa.int32()), pa.array(np.tile(np.arange(most + 2), SWEEPS), pa.int32()), pa.array(total.ravel())], ["s", "u", "t"])
+    return run
+
+
+def _predict(spec: dict):
+    """Predictive probabilities of each dish, averaged over the samples."""
+    most = spec["most"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d0, d1, v1, c_of, total = spec["d0"], spec["d1"], spec["vocabulary"] + 1.0, spec["customers"], spec["totals"]
+        for b in batches:
+            (u, size), (c, _) = _lists(b, "u"), _lists(b, "c")
+            dish = np.repeat(np.arange(len(size)), size)
+            c0, t0 = (_lists(b, k)[0].reshape(-1, SWEEPS) for k in ("c0", "t0"))
+            p0 = (c0 - d0 * t0 + (STRENGTH + d0 * total[:, most]) / v1) / (STRENGTH + total[:, most + 1])
+            p1 = np.zeros(len(u))
+            for s in range(SWEEPS):
+                t = _lists(b, f"own{s}")[0]
+                p1 += (c - d1 * t + (STRENGTH + d1 * total[s, u]) * p0[dish, s]) / (STRENGTH + c_of[u]) / SWEEPS
+            offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+            yield pa.RecordBatch.from_arrays([b["w"], b["n"], pa.array(np.log10(p0.mean(1))), pa.ListArray.from_arrays(offsets, pa.array(u.astype(np.int32))),
+                                              pa.ListArray.from_arrays(offsets, pa.array(np.log10(p1)))], ["w", "n", "p0", "u", "p"])
     return run
 
 
@@ -193,9 +232,7 @@ def _discount(n1: float, n2: float) -> float:
 def _scores(spec: dict):
     """Scores of the texts of a block from its answers (at, n, p0, u, p)."""
     n_total, v = spec["tokens"], spec["vocabulary"]
-    new0, tables, customers, d1 = spec["new"], spec["tables"], spec["customers"], spec["d1"]
-    with np.errstate(divide="ignore"):
-        gamma = np.log10((STRENGTH + d1 * tables[:HEADS]) / (STRENGTH + customers[:HEADS]))
+    new0, gamma, most = spec["new"], spec["gamma"], spec["most"]
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k, _ in _SCORE}
@@ -208,7 +245,7 @@ def _scores(spec: dict):
             known = answers["n"].to_numpy()
             n[at], p0[at] = known, np.where(known > 0, answers["p0"].to_numpy(), new0)
             u = answers["u"].combine_chunks()
-            pair = np.repeat(at, u.value_lengths().to_numpy()) * HEADS + u.flatten().to_numpy()
+            pair = np.repeat(at, u.value_lengths().to_numpy()) * most + u.flatten().to_numpy()
             p = answers["p"].combine_chunks().flatten().to_numpy()
             order = np.argsort(pair)
             pair, p = pair[order], p[order]
@@ -217,7 +254,7 @@ def _scores(spec: dict):
             ctx = _pairs(codes, lengths, head_at)
             lp = p0[codes]
             some = np.flatnonzero(ctx >= 0)
-            key = codes[some].astype(np.int64) * HEADS + ctx[some]
+            key = codes[some].astype(np.int64) * most + ctx[some]
             j = np.minimum(np.searchsorted(pair, key), max(len(pair) - 1, 0))
             hit = pair[j] == key if len(pair) else np.zeros(len(key), bool)
             lp[some] = np.where(hit, p[j] if len(pair) else 0.0, lp[some] + gamma[ctx[some]])
@@ -236,13 +273,14 @@ def _scores(spec: dict):
 _SCORE = [("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text: str = "text",
+                most: int = HEADS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every
-    row of ``docs``; the model is learned from the rows of ``is_train``."""
+    row of ``docs``; the model is learned from the rows of ``is_train``. ``most``: the bound on contexts."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), is_train.alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     path = scratch_path(spark, "lm-blocks")
-    made = blocks(rows)
+    made = blocks(rows, block_words)
     made.write.option("compression", "zstd").parquet(path)
     blk = spark.read.schema(made.schema).parquet(path)
 
@@ -257,16 +295,16 @@ def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text:
     unigrams = blk.select("words", "counts").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     unigrams = written(spark, unigrams, "lm-unigrams")
     total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    heads = np.array([r.w for r in unigrams.where((F.col("n") * HEADS >= F.lit(total.n)) & (F.col("w") != int(END.view(np.int64)))).orderBy("w").limit(HEADS).collect()], np.int64).view(np.uint64)
-    asks = blk.mapInArrow(_asks(heads), "block long, at int, w long, u array<int>, c array<int>")
+    heads = np.array([r.w for r in unigrams.where((F.col("n") * most >= F.lit(total.n)) & (F.col("w") != int(END.view(np.int64)))).orderBy("w").limit(most).collect()], np.int64).view(np.uint64)
+    asks = blk.mapInArrow(_asks(heads, most), "block long, at int, w long, u array<int>, c array<int>")
     flat = asks.select("w", F.explode(F.arrays_zip("u", "c")).alias("x")).select("w", "x.u", "x.c").where("c > 0")
     pairs = flat.groupBy("w", "u").agg(F.sum("c").alias("c"))
-    # a dish has at most HEADS + 1 contexts
+    # a dish has at most most + 1 contexts
     dishes = pairs.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("u", "c"))).alias("x")).select("w", F.col("x.u").alias("u"), F.col("x.c").alias("c"))
     dishes = written(spark, dishes, "lm-dishes")
     stats = dishes.select(F.explode(F.arrays_zip("u", "c")).alias("x")).select("x.u", "x.c").groupBy("u").agg(
         F.sum("c").alias("c"), F.count("*").alias("t"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()
-    tables, customers = np.zeros(HEADS + 1), np.zeros(HEADS + 1)
+    tables, customers = np.zeros(most + 1), np.zeros(most)
     direct = 0.0
     for r in stats:
         if r.u < 0:
@@ -274,19 +312,24 @@ def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text:
         else:
             tables[r.u], customers[r.u] = r.t, r.c
     once = unigrams.agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
-    spec = {"tables": tables, "customers": customers, "vocabulary": total.v, "tokens": total.n, "pass": 0, "heads": heads,
+    spec = {"most": most, "tables": tables, "vocabulary": total.v, "tokens": total.n, "pass": 0, "heads": heads,
             "d0": _discount(once.n1, once.n2), "d1": _discount(sum(r.n1 for r in stats if r.u >= 0), sum(r.n2 for r in stats if r.u >= 0))}
-    tables[HEADS], customers[HEADS] = total.v, direct + tables[:HEADS].sum()
+    tables[most] = total.v
+    spec |= {"customers": customers, "root_customers": direct + tables[:most].sum()}
     for k in range(1, PASSES):
-        seen = dishes.mapInArrow(_gibbs(spec, False), "u int, t double").groupBy("u").agg(F.sum("t").alias("t")).collect()
-        tables = np.zeros(HEADS + 1)
-        for r in seen:
+        tables = np.zeros(most + 1)
+        for r in dishes.mapInArrow(_gibbs(spec, False), "u int, t double").groupBy("u").agg(F.sum("t").alias("t")).collect():
             tables[r.u] = r.t
-        customers = np.append(customers[:HEADS], direct + tables[:HEADS].sum())
-        spec = spec | {"tables": tables, "customers": customers, "pass": k}
-    model = written(spark, dishes.mapInArrow(_gibbs(spec, True), "w long, n long, p0 double, u array<int>, p array<double>"), "lm-model")
-    root = (STRENGTH + spec["d0"] * tables[HEADS]) / (total.v + 1) / (STRENGTH + customers[HEADS])
-    spec["new"] = float(np.log10(root))
+        spec = spec | {"tables": tables, "root_customers": direct + tables[:most].sum(), "pass": k}
+    samples = written(spark, dishes.mapInArrow(_gibbs(spec, True), _SAMPLE_DDL), "lm-samples")
+    totals = np.zeros((SWEEPS, most + 2))
+    for r in samples.mapInArrow(_sum_samples(most), "s int, u int, t double").groupBy("s", "u").agg(F.sum("t").alias("t")).collect():
+        totals[r.s, r.u] = r.t
+    # what a word gets from its context's parent, and an unknown word from the root
+    gamma = ((STRENGTH + spec["d1"] * totals[:, :most]) / (STRENGTH + customers[:most])).mean(0)
+    new = ((STRENGTH + spec["d0"] * totals[:, most]) / (total.v + 1) / (STRENGTH + totals[:, most + 1])).mean()
+    spec = spec | {"totals": totals, "gamma": np.log10(gamma), "new": float(np.log10(new))}
+    model = samples.mapInArrow(_predict(spec), "w long, n long, p0 double, u array<int>, p array<double>")
     told = asks.select("block", "at", "w", F.col("u").alias("asked")).join(model, "w", "inner")
     # only the contexts that the block asked for
     wanted = F.filter(F.arrays_zip("u", "p"), lambda x: F.array_contains("asked", x["u"]))
