@@ -127,6 +127,25 @@ def require_batch(df: DataFrame, op: str) -> None:
                         "or use the streaming variants in scrubline.streaming")
 
 
+def micros(c: Column, dt: T.DataType) -> Column:
+    """Microseconds of a timestamp. A timestamp without a zone counts as if it
+    were UTC, whatever the session's zone (no gaps or repeats at clock changes)."""
+    if isinstance(dt, T.TimestampNTZType):
+        days = F.unix_date(c.cast("date")).cast("long")
+        fraction = F.extract(F.lit("SECOND"), c).cast("decimal(8,6)")
+        seconds = F.hour(c).cast("long") * 3600 + F.minute(c).cast("long") * 60
+        return days * 86_400_000_000 + seconds * 1_000_000 + (fraction * 1_000_000).cast("long")
+    return F.unix_micros(c)
+
+
+def ntz_of_micros(c: Column) -> Column:
+    """The timestamp without a zone of :func:`micros`."""
+    day = (c - F.pmod(c, F.lit(86_400_000_000))) / F.lit(86_400_000_000)
+    rest = F.pmod(c, F.lit(86_400_000_000))
+    whole = F.date_from_unix_date(day.cast("int")).cast("timestamp_ntz")
+    return whole + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (rest / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
 def present(df: DataFrame, *names: str) -> bool:
     cols = set(df.columns)
     return all(n in cols for n in names)

@@ -49,7 +49,7 @@ def _key_number(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return X.micros(c, dt).cast("double")
     raise TypeError(f"fill: the first order_by column must be numeric, date or timestamp, not {dt.simpleString()}")
 
 

@@ -7,17 +7,16 @@ partial row per task), and a second ``groupBy(column)`` yields rows, nulls and
 distinct values. Mixing several ``countDistinct`` in one aggregate would
 instead make Spark copy every row once per column (``Expand``).
 
-Sample values are the first non-missing values in ``order_by`` order, taken per
-column with ``orderBy(...).limit(k)``, which Spark runs as a bounded top-k per
-task (``TakeOrderedAndProject``) - never a ``collect_list`` over a column.
+Sample values are the first non-missing values in ``order_by`` order: cells become
+``(column, value)`` rows in one scan, and a row number per column, which Spark
+limits to the first k in each task before the shuffle, keeps k of them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,14 +57,19 @@ def schema_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string")
 
 
+def _scale(df: DataFrame) -> int:
+    """Largest scale of the decimal columns: one slot type for all of them."""
+    return max([f.dataType.scale for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)], default=0)
+
+
 def _typed(df: DataFrame, c: str):
-    """Cell as a struct ``(s, d, l)`` with exactly one slot set (NULL when
+    """Cell as a struct ``(s, d, l, m)`` with exactly one slot set (NULL when
     missing): text in ``s``, floating values in ``d`` (-0.0 as 0.0), integral,
-    date and timestamp values in ``l``. Distinct cells stay distinct without
-    formatting every number as text."""
+    date and timestamp values in ``l``, decimals in ``m``. Distinct cells stay
+    distinct without formatting every number as text, and order as their type."""
     dt = X.dtype_of(df, c)
     col = F.col(c)
-    s = d = l = None
+    s = d = l = m = None
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         d = col.cast("double") + F.lit(0.0)
     elif isinstance(dt, T.IntegralType):
@@ -73,13 +77,16 @@ def _typed(df: DataFrame, c: str):
     elif isinstance(dt, T.DateType):
         l = F.unix_date(col).cast("long")
     elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        l = F.unix_micros(col.cast("timestamp"))
+        l = X.micros(col, dt)
+    elif isinstance(dt, T.DecimalType) and dt.precision - dt.scale + _scale(df) <= 38:
+        m = col
     else:
         s = col.cast("string")
     miss = X.is_missing(col, dt)
     parts = [F.when(~miss, s if s is not None else F.lit(None).cast("string")).alias("s"),
              F.when(~miss, d if d is not None else F.lit(None).cast("double")).alias("d"),
-             F.when(~miss, l if l is not None else F.lit(None).cast("long")).alias("l")]
+             F.when(~miss, l if l is not None else F.lit(None).cast("long")).alias("l"),
+             F.when(~miss, m if m is not None else F.lit(None)).cast(f"decimal(38,{_scale(df)})").alias("m")]
     return F.struct(*parts)
 
 
@@ -88,14 +95,13 @@ def column_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("column"), _typed(df, c).alias("v")) for c in df.columns])
     # flat key columns (not a struct) keep the aggregation on the fast hash map
     long = df.select(F.explode(cells).alias("_c")).select(
-        F.col("_c.column").alias("column"), F.col("_c.v.s").alias("s"), F.col("_c.v.d").alias("d"),
-        F.col("_c.v.l").alias("l"))
-    present = F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("l").isNotNull()
+        F.col("_c.column").alias("column"), *[F.col(f"_c.v.{k}").alias(k) for k in ("s", "d", "l", "m")])
+    present = F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("l").isNotNull() | F.col("m").isNotNull()
     if approx:
         return long.groupBy("column").agg(
             F.count(F.lit(1)).alias("rows"), F.count_if(~present).alias("null_count"),
-            F.approx_count_distinct(F.xxhash64("s", "d", "l")).alias("unique_count"))
-    per_value = long.groupBy("column", "s", "d", "l").agg(F.count(F.lit(1)).alias("_n"))
+            F.approx_count_distinct(F.xxhash64("s", "d", "l", "m")).alias("unique_count"))
+    per_value = long.groupBy("column", "s", "d", "l", "m").agg(F.count(F.lit(1)).alias("_n"))
     return per_value.groupBy("column").agg(
         F.sum("_n").alias("rows"),
         F.coalesce(F.sum(F.when(~present, F.col("_n"))), F.lit(0)).alias("null_count"),
@@ -107,16 +113,15 @@ def sample_values(df: DataFrame, order_by: Sequence[str] | str, k: int = SAMPLE_
     """``(column, sample_values array<string>)``: first ``k`` non-missing
     values of each column in ``order_by`` order."""
     order = _as_list(order_by)
-    parts = []
-    for c in (cols or df.columns):
-        dt = X.dtype_of(df, c)
-        top = (df.where(~X.is_missing(F.col(c), dt)).orderBy(*order).limit(k)
-               .select(F.lit(c).alias("column"), F.struct(*[F.col(o) for o in order]).alias("_o"),
-                       _text(df, c).alias("value")))
-        parts.append(top)
-    allv = reduce(DataFrame.unionByName, parts)
-    return allv.groupBy("column").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_o", "value"))), lambda s: s["value"]).alias("sample_values"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _text(df, c).alias("value")) for c in (cols or df.columns)])
+    keys = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]
+    long = df.select(*keys, F.explode(cells).alias("_x")).select("_x.column", "_x.value", *[f"_o{i}" for i in range(len(order))])
+    # one scan: each task keeps the first k of each column before the shuffle
+    names = [f"_o{i}" for i in range(len(order))]
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(*names, "value"))
+    top = long.where("value IS NOT NULL").withColumn("_r", rank).where(F.col("_r") <= k)
+    return top.groupBy("column").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda s: s["value"]).alias("sample_values"))
 
 
 def profile(df: DataFrame, order_by: Sequence[str] | str | None = None,

@@ -1,7 +1,9 @@
 """Quarantine split (R16): flag every row with the names of the rules it fails.
 
 One projection: ``array_compact(array(when(p1, 'r1'), when(p2, 'r2'), ...))``.
-Row-set rules (duplicates) have no row predicate and are not flagged here.
+A full-row duplicate rule flags all copies of a row but one. Copies are equal, so
+the rows are counted (combined in each task) and written out as often as
+counted; which copy stays makes no difference, and no window holds a hot group.
 """
 
 from __future__ import annotations
@@ -9,16 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..plans.suite import Suite
 
 FLAGS = "failed_rules"
 
 
 def flag(df: DataFrame, suite: Suite) -> DataFrame:
-    """Add ``failed_rules array<string>`` (empty for clean rows)."""
-    rules = [w.rule for w in suite.rules if w.rule.kind != "duplicates"]
-    names = F.array(*[F.when(r.predicate(df), F.lit(r.name)) for r in rules]) if rules else F.array()
-    return df.withColumn(FLAGS, F.array_compact(names))
+    """Add ``failed_rules array<string>`` (empty for clean rows), rules in the
+    suite's order. A duplicate rule over a subset of columns raises ValueError:
+    which of its rows is the first needs an order (use ``dedup`` for that)."""
+    dups = [w.rule for w in suite.rules if w.rule.kind == "duplicates"]
+    if any(r.subset for r in dups):
+        raise ValueError("quarantine: duplicates over a subset of columns have no first row without an order")
+    rows = df
+    if any(r.applicable(df) for r in dups):
+        X.require_batch(df, "quarantine of duplicate rows")
+        counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__scrubline_n"))
+        rows = counted.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__scrubline_n"))).alias("__scrubline_copy"))
+    names = F.array(*[
+        F.when(F.col("__scrubline_copy") > 1 if w.rule.kind == "duplicates" else w.rule.predicate(df), F.lit(w.rule.name))
+        for w in suite.rules if w.rule.kind != "duplicates" or w.rule.applicable(df)]) if suite.rules else F.array()
+    return rows.withColumn(FLAGS, F.array_compact(names)).select(*df.columns, FLAGS)
 
 
 def quarantine(df: DataFrame, suite: Suite) -> DataFrame:

@@ -21,8 +21,9 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..operators import clean as C
@@ -96,10 +97,11 @@ def parse_step(raw: Step | Mapping[str, Any]) -> Step:
     return Step(op, _coerce_columns(cols), dict(params))
 
 
-def check_step(df: DataFrame, step: Step) -> None:
-    """Schema checks that would otherwise fail mid-job."""
+def check_step(columns: Sequence[str], step: Step) -> None:
+    """Schema checks that would otherwise fail mid-job; ``columns`` are those
+    of the table that the step gets."""
     if step.operation == "deduplicate":
-        missing = [c for c in step.target_columns if c not in df.columns]
+        missing = [c for c in step.target_columns if c not in columns]
         if missing:
             raise PlanError(f"deduplicate: unknown subset columns {missing}")
         if step.target_columns and step.params.get("keep", "first") in ("first", "last") \
@@ -143,6 +145,14 @@ def apply_step(df: DataFrame, step: Step) -> DataFrame:
     return df  # validate, export
 
 
+def columns_after(columns: Sequence[str], step: Step) -> list[str]:
+    """Columns of the table after a step, by the step alone."""
+    if step.operation != "drop_column":
+        return list(columns)
+    gone = set(step.target_columns) - set(step.params.get("protected", ()))
+    return [c for c in columns if c not in gone]
+
+
 _FUSABLE = ("impute_missing", "replace_sentinel")
 
 
@@ -167,12 +177,12 @@ def fuse_steps(steps: Sequence[Step]) -> list[Step]:
 def apply_plan(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]]) -> DataFrame:
     """G1: fold all steps into one lazy DataFrame (checked before running);
     statistic steps on disjoint columns share one aggregate (``fuse_steps``)."""
-    parsed = fuse_steps([parse_step(s) for s in steps])
-
-    def go(frame: DataFrame, step: Step) -> DataFrame:
-        check_step(frame, step)
-        return apply_step(frame, step)
-    return reduce(go, parsed, df)
+    parsed = [parse_step(s) for s in steps]
+    columns = list(df.columns)
+    for step in parsed:  # every step is checked before the first one is built
+        check_step(columns, step)
+        columns = columns_after(columns, step)
+    return reduce(apply_step, fuse_steps(parsed), df)
 
 
 def _ledger_row(frame: DataFrame, suite: Q.Suite, idx: int, op: str, cols: str,
@@ -204,6 +214,23 @@ def _cut(frame: DataFrame, step: Step, checkpoint: bool | str) -> DataFrame:
     return frame
 
 
+def _extra_targets(step: Step) -> tuple[str, ...]:
+    """Columns that a step changes without naming them as targets."""
+    if step.operation == "fix_date_order":
+        return (step.params.get("start", "dob"), step.params.get("end", "admission_date"))
+    return ()
+
+
+def _same(new: DataFrame, old: DataFrame, c: str) -> Column:
+    """Whether a cell kept its value (NULL equals NULL): by value if both types
+    are numbers, by text if the types differ otherwise."""
+    before, after = X.dtype_of(old, c), X.dtype_of(new, c)
+    was = F.col(X.TAG)[c]
+    if before == after or isinstance(before, T.NumericType) and isinstance(after, T.NumericType):
+        return F.col(c).eqNullSafe(was)
+    return F.col(c).cast("string").eqNullSafe(was.cast("string"))
+
+
 def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Suite,
            checkpoint: bool | str = "auto") -> tuple[DataFrame, DataFrame]:
     """``(cleaned table, ledger)``.
@@ -219,32 +246,31 @@ def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Su
     for i, raw in enumerate(steps, start=1):
         try:
             step = parse_step(raw)
-            check_step(state, step)
+            check_step(state.columns, step)
         except PlanError as exc:
             op = raw.get("operation", "?") if isinstance(raw, Mapping) else getattr(raw, "operation", "?")
             rows.append(_ledger_row(state, suite, i, str(op), "", str(exc)))
             continue
         cols = ",".join(step.target_columns)
+        counts_cells = step.operation not in ("deduplicate", "drop_column")
+        # old values are only needed of columns that the step may change
+        watched = [c for c in X.visible_columns(state) if not step.target_columns or c in (*step.target_columns, *_extra_targets(step))]
+        given = state.withColumn(X.TAG, F.struct(*[F.col(c) for c in watched])) if counts_cells and watched else state
         try:
-            apply_step(state, step)  # plan-time type checks (e.g. clamp on text)
+            new = apply_step(given, step)  # with its plan-time type checks (e.g. clamp on text)
         except (TypeError, ValueError, KeyError) as exc:
             rows.append(_ledger_row(state, suite, i, step.operation, cols, f"{type(exc).__name__}: {exc}"))
             continue
+        new = _cut(new, step, checkpoint)
         if step.operation == "deduplicate":
-            new = _cut(apply_step(state, step), step, checkpoint)
             # rows removed = previous ledger row's rows - this row's rows (lag below)
             rows.append(_ledger_row(new, suite, i, step.operation, cols, None, kind="rows_removed"))
         elif step.operation == "drop_column":
-            new = apply_step(state, step)
             n = len([c for c in step.target_columns if c in state.columns])
             rows.append(_ledger_row(new, suite, i, step.operation, cols, None,
                                     extra=[F.lit(n).cast("long").alias("affected")]))
         else:
-            visible = X.visible_columns(state)
-            tagged = state.withColumn(X.TAG, F.struct(*[F.col(c) for c in visible]))
-            new = _cut(apply_step(tagged, step), step, checkpoint)
-            changed = [F.count_if(~F.col(c).cast("string").eqNullSafe(F.col(X.TAG)[c].cast("string")))
-                       for c in visible if c in new.columns]
+            changed = [F.count_if(~_same(new, state, c)) for c in watched if c in new.columns]
             affected = reduce(lambda a, b: a + b, changed) if changed else F.lit(0)
             # the suite counts and the changed-cell count in one aggregate
             rows.append(_ledger_row(new, suite, i, step.operation, cols, None,

@@ -9,7 +9,7 @@ row per group - nothing is collected to the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -173,6 +173,22 @@ def reduction_pct(initial: Column, current: Column) -> Column:
     return F.when(initial > 0, F.round((initial - current) / initial * 100.0, 2)).otherwise(F.lit(0.0))
 
 
+def rule_status(df: DataFrame, suite: Suite, strict: bool = False) -> DataFrame:
+    """R15/T9, one row a rule: ``rule, violations, status, score``.
+
+    ``status`` is ``not_applicable`` for a rule whose columns are absent, else
+    ``passed`` (no violation) or ``failed``. ``score`` is the suite's; with
+    ``strict`` it is 0.0 as soon as one rule is not applicable."""
+    applies = [w.rule.applicable(df) for w in suite.rules]
+    s = score(df, suite)
+    value = F.lit(0.0) if strict and not all(applies) else F.col("score")
+    rules = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(w.rule.name).alias("rule"), F.col(w.rule.name).cast("long").alias("violations"),
+                               F.lit(ok).alias("_ok")) for k, (w, ok) in enumerate(zip(suite.rules, applies))])
+    long = s.select(value.alias("score"), F.explode(rules).alias("_r")).select("_r.*", "score")
+    status = F.when(~F.col("_ok"), "not_applicable").when(F.col("violations") == 0, "passed").otherwise("failed")
+    return long.select("position", "rule", "violations", status.alias("status"), "score")
+
+
 # ------------------------------------------------------------- report shape
 
 # The uniform report's count fields, in report order.
@@ -187,6 +203,9 @@ REPORT_FIELDS = (
 def report(df: DataFrame, suite: Suite) -> DataFrame:
     """Every suite yields the same 12 count fields (unused ones are 0),
     plus ``total_defects``, ``score`` and the gates, in one row."""
+    if "missing_count" not in [r.name for r in _scalar_rules(suite)]:
+        # every report counts the missing cells of the whole table (R2)
+        suite = replace(suite, extra_counts=(*suite.extra_counts, R.missing_cells((), "missing_count")))
     scored = score(df, suite)
     cols = [F.col("rows")]
     for f in REPORT_FIELDS:

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import exprs as X
 from .functions import rules as R
 from .operators import clean as C
 from .operators import dedup as D
@@ -208,19 +209,62 @@ def crm_score_by_plan(spark, sf):
     return s.select("plan", "rows", "duplicate_count", "total_defects", F.round("score", 6).alias("score"))
 
 
+def _missing_sql(cols: str, floats: tuple[str, ...] = ()) -> str:
+    return " + ".join(f"count(*) FILTER (WHERE {c} IS NULL{f' OR isnan({c})' if c in floats else ''})" for c in cols.split(", "))
+
+
+_CRM_COLUMNS = "row_id, customer_id, email, phone, age, signup_date, plan"
+_EMR_COLUMNS = "row_id, patient_id, dob, admission_date, discharge_date, icd10_code, dosage_mg, diagnosis, ward"
+_REPORT_ZERO = {f: f"CAST(0 AS BIGINT) AS {f}" for f in Q.REPORT_FIELDS}
+
+
+def _report_sql(have: dict[str, str], tail: str) -> str:
+    """The uniform report: ``have`` names the fields that the suite counts."""
+    return "SELECT rows, " + ", ".join(f"CAST({have[f]} AS BIGINT) AS {f}" if f in have else _REPORT_ZERO[f] for f in Q.REPORT_FIELDS) + ", " + tail
+
+
 @register("crm_report", FX.cte("crm") + f"""
-, c AS (SELECT {_CRM_COUNTS}, {_CRM_DUPS.format(t='crm')} AS d FROM crm), s AS (SELECT *, {_CRM_SCORE} AS sc FROM c)
-SELECT rows, CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS sentinel_count, CAST(0 AS BIGINT) AS price_below_zero,
- d AS duplicate_count, phone_format_errors, email_case_errors, age_range_violations,
- CAST(0 AS BIGINT) AS date_order_violations, CAST(0 AS BIGINT) AS icd10_format_errors, CAST(0 AS BIGINT) AS negative_dosage_count,
- CAST(0 AS BIGINT) AS blank_mandatory_count, CAST(0 AS BIGINT) AS cross_column_violations,
- CAST(d + phone_format_errors + email_case_errors + age_range_violations AS BIGINT) AS total_defects,
- round(sc, 6) AS score, sc >= 0.60 AS passed, sc >= 0.90 AS excellent FROM s""")
+, c AS (SELECT {_CRM_COUNTS}, {_CRM_DUPS.format(t='crm')} AS d, {_missing_sql(_CRM_COLUMNS)} AS missing FROM crm), s AS (SELECT *, {_CRM_SCORE} AS sc FROM c)
+""" + _report_sql({"missing_count": "missing", "duplicate_count": "d"} | {f: f for f in ("phone_format_errors", "email_case_errors", "age_range_violations")},
+                  """CAST(d + phone_format_errors + email_case_errors + age_range_violations AS BIGINT) AS total_defects,
+ round(sc, 6) AS score, sc >= 0.60 AS passed, sc >= 0.90 AS excellent FROM s"""))
 def crm_report(spark, sf):
     """The uniform 12-field report of the CRM suite."""
     return Q.report(_view(spark, sf, "crm"), Q.crm_suite()).withColumn("score", F.round("score", 6))
 
 
+@register("retail_report", FX.cte("retail") + f"""
+, c AS (SELECT {_RETAIL_COUNTS} FROM retail), s AS (SELECT *, {_RETAIL_SCORE} AS sc FROM c)
+""" + _report_sql({f: f for f in ("missing_count", "sentinel_count", "price_below_zero")},
+                  """CAST(price_null_count + sentinel_count + price_below_zero AS BIGINT) AS total_defects,
+ round(sc, 6) AS score, sc >= 0.70 AS passed, sc >= 0.95 AS excellent FROM s"""))
+def retail_report(spark, sf):
+    return Q.report(_view(spark, sf, "retail"), Q.retail_suite()).withColumn("score", F.round("score", 6))
+
+
+@register("emr_report", FX.cte("emr") + f"""
+, c AS (SELECT {_EMR_COUNTS}, {_missing_sql(_EMR_COLUMNS)} AS missing FROM emr), s AS (SELECT *, {_EMR_SCORE} AS sc FROM c)
+""" + _report_sql({"missing_count": "missing"} | {f: f for f in ("date_order_violations", "icd10_format_errors", "negative_dosage_count", "blank_mandatory_count", "cross_column_violations")},
+                  """CAST(date_order_violations + icd10_format_errors + negative_dosage_count + blank_mandatory_count + cross_column_violations AS BIGINT) AS total_defects,
+ round(sc, 6) AS score, sc >= 0.55 AS passed, sc >= 0.85 AS excellent FROM s"""))
+def emr_report(spark, sf):
+    return Q.report(_view(spark, sf, "emr"), Q.emr_suite()).withColumn("score", F.round("score", 6))
+
+
+@register("emr_rules_dropped_column", FX.cte("emr") + f"""
+, c AS (SELECT {_EMR_COUNTS} FROM emr)
+SELECT * FROM (
+ SELECT 0 AS position, 'date_order_violations' AS rule, date_order_violations AS violations, CASE WHEN date_order_violations = 0 THEN 'passed' ELSE 'failed' END AS status, 0.0::DOUBLE AS score FROM c
+ UNION ALL SELECT 1, 'icd10_format_errors', icd10_format_errors, CASE WHEN icd10_format_errors = 0 THEN 'passed' ELSE 'failed' END, 0.0 FROM c
+ UNION ALL SELECT 2, 'negative_dosage_count', count(*) FILTER (WHERE false), 'not_applicable', 0.0 FROM emr
+ UNION ALL SELECT 3, 'blank_mandatory_count', CAST(blank_mandatory_count AS BIGINT), CASE WHEN blank_mandatory_count = 0 THEN 'passed' ELSE 'failed' END, 0.0 FROM c
+ UNION ALL SELECT 4, 'cross_column_violations', cross_column_violations, CASE WHEN cross_column_violations = 0 THEN 'passed' ELSE 'failed' END, 0.0 FROM c)""")
+def emr_rules_dropped_column(spark, sf):
+    """A rule whose column is gone is not applicable, and the strict score is 0."""
+    df = C.drop_columns(_view(spark, sf, "emr"), ["dosage_mg"])
+    return Q.rule_status(df, Q.emr_suite(), strict=True)
+
+
 @register("validate_dropped_price", FX.cte("retail") + """
 SELECT CAST(0.0 AS DOUBLE) AS score, false AS passed, false AS excellent, count(*) AS rows FROM retail""")
 def validate_dropped_price(spark, sf):
@@ -334,6 +378,74 @@ def sentinel_valid_median(spark, sf):
                                           valid=lambda v: v > 0))
 
 
+def _typed_sql(hole: str) -> str:
+    """Integral, long beyond 2**53, decimal and float columns with ``hole`` in
+    some cells, and a decimal column without; the same text in both dialects."""
+    return f"""SELECT l_orderkey, l_linenumber,
+ CASE WHEN l_orderkey % 7 = 0 THEN {hole} ELSE CAST(l_quantity AS INT) END AS qty,
+ CASE WHEN l_orderkey % 11 = 0 THEN {hole} ELSE CAST(9007199254740993 AS BIGINT) + (l_orderkey % 5) * 2 END AS big,
+ CASE WHEN l_orderkey % 13 = 0 THEN CAST({hole} AS DECIMAL(20,2)) ELSE CAST(l_extendedprice AS DECIMAL(20,2)) END AS price,
+ CASE WHEN l_orderkey % 17 = 0 THEN CAST({hole} AS FLOAT) ELSE CAST(l_discount AS FLOAT) END AS disc,
+ CAST(l_tax AS DECIMAL(20,2)) AS tax FROM lineitem"""
+
+
+def _typed_view(spark: SparkSession, sf: str, hole: str) -> DataFrame:
+    return spark.sql(_typed_sql(hole).replace("FROM lineitem", "FROM {li}"), li=load(spark, sf, "lineitem"))
+
+
+def _typed_filled(bad: str) -> str:
+    keep = lambda c: f"NOT ({bad.format(c=c)})"
+    return f""", m AS (SELECT median(CAST(qty AS DOUBLE)) FILTER (WHERE {keep('qty')}) AS qty, median(CAST(big AS DOUBLE)) FILTER (WHERE {keep('big')}) AS big,
+  median(CAST(price AS DOUBLE)) FILTER (WHERE {keep('price')}) AS price, median(CAST(disc AS DOUBLE)) FILTER (WHERE {keep('disc')}) AS disc FROM t)
+SELECT l_orderkey, l_linenumber, CASE WHEN {bad.format(c='t.qty')} THEN m.qty ELSE CAST(t.qty AS DOUBLE) END AS qty,
+ CASE WHEN {bad.format(c='t.big')} THEN CAST(CAST(m.big AS BIGINT) AS DECIMAL(28,8)) ELSE CAST(t.big AS DECIMAL(28,8)) END AS big,
+ CASE WHEN {bad.format(c='t.price')} THEN CAST(m.price AS DECIMAL(26,8)) ELSE CAST(t.price AS DECIMAL(26,8)) END AS price,
+ CASE WHEN {bad.format(c='t.disc')} THEN CAST(m.disc AS FLOAT) ELSE t.disc END AS disc, tax FROM t, m"""
+
+
+def _exact(df: DataFrame) -> DataFrame:
+    """Decimals as text: compared digit by digit."""
+    return df.withColumns({c: F.col(c).cast("string") for c in ("big", "price", "tax")})
+
+
+def _exact_sql(sql: str) -> str:
+    return f"SELECT * REPLACE (CAST(big AS VARCHAR) AS big, CAST(price AS VARCHAR) AS price, CAST(tax AS VARCHAR) AS tax) FROM ({sql})"
+
+
+@register("impute_default_targets", _exact_sql(f"WITH t AS ({_typed_sql('NULL')})" + _typed_filled("{c} IS NULL")))
+def impute_default_targets(spark, sf):
+    """C10 without cols: every column with a missing cell; other cells and the
+    whole column ``tax`` keep their exact values and type."""
+    return _exact(S.impute_missing(_typed_view(spark, sf, "NULL")))
+
+
+@register("sentinel_default_targets", _exact_sql(f"WITH t AS ({_typed_sql('-1')})" + _typed_filled("{c} = -1")))
+def sentinel_default_targets(spark, sf):
+    """C11a without cols: every column that holds the sentinel."""
+    return _exact(S.replace_sentinel(_typed_view(spark, sf, "-1")))
+
+
+@register("sentinel_unknown_strategy", FX.cte("retail") + """
+, m AS (SELECT median(price) AS v FROM retail WHERE price IS NOT NULL AND NOT isnan(price) AND price <> -1)
+SELECT row_id, transaction_id, category, quantity,
+ round(CASE WHEN price = -1 THEN coalesce((SELECT v FROM m), 0.0) ELSE price END, 4) AS price, timestamp FROM retail""")
+def sentinel_unknown_strategy(spark, sf):
+    """C11d: an unknown strategy means median."""
+    return _retail_out(S.replace_sentinel(_view(spark, sf, "retail"), ["price"], -1, "no_such_strategy"))
+
+
+@register("impute_mode_decimal", """
+WITH o AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(9 + o_orderkey % 4 AS DECIMAL(12,2)) END AS fee FROM orders),
+ n AS (SELECT o_orderstatus, fee, count(*) AS c FROM o WHERE fee IS NOT NULL GROUP BY ALL),
+ m AS (SELECT o_orderstatus, arg_min(fee, (-c, fee)) AS v FROM n GROUP BY 1)
+SELECT o_orderkey, o_orderstatus, CAST(coalesce(fee, v) AS VARCHAR) AS fee FROM o LEFT JOIN m USING (o_orderstatus)""")
+def impute_mode_decimal(spark, sf):
+    """C10c over a decimal column, per group: ties go to the smaller number (9.00 before 10.00)."""
+    fee = F.when(F.col("o_orderkey") % 3 != 0, (9 + F.col("o_orderkey") % 4).cast("decimal(12,2)"))
+    df = load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", fee.alias("fee"))
+    return S.impute_missing(df, ["fee"], "mode", by=["o_orderstatus"]).withColumn("fee", F.col("fee").cast("string"))
+
+
 @register("lineitem_price_quantiles", """
 SELECT l_returnflag, count(*) AS n,
  round(median(l_extendedprice), 4) AS median,
@@ -399,6 +511,24 @@ def ffill_events_value(spark, sf):
     return out.select("event_id", "user_id", "event_type", "value")
 
 
+@register("impute_ffill", FX.cte("retail") + """
+SELECT row_id, transaction_id, category, quantity,
+ round(last_value(price IGNORE NULLS) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS price,
+ timestamp FROM retail""")
+def impute_ffill(spark, sf):
+    """C10e through the operation, on the default block size."""
+    return _retail_out(S.impute_missing(_view(spark, sf, "retail"), ["price"], "forward_fill", order_by="row_id"))
+
+
+@register("impute_bfill_partitioned", FX.cte("retail") + """
+SELECT row_id, transaction_id, category, quantity,
+ round(first_value(price IGNORE NULLS) OVER (PARTITION BY category ORDER BY row_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4) AS price,
+ timestamp FROM retail""")
+def impute_bfill_partitioned(spark, sf):
+    """C10f through the operation, within groups."""
+    return _retail_out(S.impute_missing(_view(spark, sf, "retail"), ["price"], "backward_fill", order_by="row_id", by=["category"]))
+
+
 # ===================================================================== dedup C9
 
 _EV = "event_id, ts, user_id, event_type, value, props"
@@ -558,14 +688,13 @@ SELECT doc_id, kind, raw, {_PHONE_SQL.format(c='raw')} AS clean FROM p
 UNION ALL SELECT doc_id, kind, raw, lower(raw) AS clean FROM e""")
 def doc_contacts_clean(spark, sf):
     """C1/C2 on contacts pulled out of whole document texts."""
-    docs = load(spark, sf, "documents").select("doc_id", "text")
-    phones = docs.select("doc_id", F.lit("phone").alias("kind"),
-                         F.explode(F.regexp_extract_all("text", F.lit(_PHONE_RX), 0)).alias("raw"))
-    emails = docs.select("doc_id", F.lit("email").alias("kind"),
-                         F.explode(F.regexp_extract_all("text", F.lit(_EMAIL_RX), 0)).alias("raw"))
-    phones = phones.withColumn("clean", C.phone_e164_expr(F.col("raw")))
-    emails = emails.withColumn("clean", F.lower("raw"))
-    return phones.unionByName(emails)
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), 0), lambda raw: F.struct(F.lit(kind).alias("kind"), raw.alias("raw")))
+
+    both = F.concat(found("phone", _PHONE_RX), found("email", _EMAIL_RX))
+    raw = load(spark, sf, "documents").select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.kind", "x.raw")
+    clean = F.when(F.col("kind") == "phone", C.phone_e164_expr(F.col("raw"))).otherwise(F.lower("raw"))
+    return raw.withColumn("clean", clean)
 
 
 # =================================================================== profile
@@ -617,6 +746,47 @@ def sample_values(spark, sf):
     return sv.select("column", F.array_join("sample_values", "|").alias("sample_values"))
 
 
+@register("profile_ntz", """
+SELECT 'at' AS "column", 'timestamp_ntz' AS dtype, count(*) FILTER (WHERE "at" IS NULL) AS null_count, count(DISTINCT "at") AS unique_count
+FROM (SELECT TIMESTAMP '2024-03-10 00:00:00' + to_minutes(CAST((epoch_ms(ts) // 1000) % 360 AS INT)) AS "at" FROM events)""")
+def profile_ntz(spark, sf):
+    """P3 over wall-clock times, some of which a session zone would skip."""
+    ev = load(spark, sf, "events")
+    minute = F.floor(X.micros(F.col("ts"), ev.schema["ts"].dataType) / F.lit(1_000_000)) % 360
+    at = F.lit("2024-03-10 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute.cast("int"))
+    prof = P.profile(ev.select(at.alias("at")))
+    return prof.select("column", "dtype", "null_count", "unique_count")
+
+
+@register("full_report_retail", FX.cte("retail") + f"""
+, c AS (SELECT {_RETAIL_COUNTS} FROM retail), s AS (SELECT *, {_RETAIL_SCORE} AS sc FROM c)
+SELECT rows, missing_count, sentinel_count, round(sc, 6) AS score,
+ (SELECT count(DISTINCT category) FROM retail) AS category_unique, 'string' AS category_dtype,
+ (SELECT string_agg(category, '|' ORDER BY row_id) FROM (SELECT category, row_id FROM retail WHERE category IS NOT NULL ORDER BY row_id LIMIT 5)) AS category_samples,
+ (SELECT string_agg(coalesce(transaction_id, 'NULL'), '|' ORDER BY row_id) FROM (SELECT transaction_id, row_id FROM retail ORDER BY row_id LIMIT 5)) AS first_rows
+FROM s""")
+def full_report_retail(spark, sf):
+    """The full record, with types, samples and first rows."""
+    rec = P.full_report(_view(spark, sf, "retail"), Q.retail_suite(), "row_id")
+    cat = F.filter("column_stats", lambda c: c["column"] == "category")[0]
+    return rec.select("rows", "missing_count", "sentinel_count", F.round("score", 6).alias("score"), cat["unique_count"].alias("category_unique"),
+                      cat["dtype"].alias("category_dtype"), F.array_join(cat["sample_values"], "|").alias("category_samples"),
+                      F.array_join(F.transform("sample_rows", lambda r: r["transaction_id"]), "|").alias("first_rows"))
+
+
+@register("custom_suite_orders", """
+WITH c AS (SELECT count(*) AS rows, count(*) FILTER (WHERE o_totalprice > 200000) AS too_dear, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending FROM orders)
+SELECT rows, too_dear, pending, count(*) FILTER (WHERE false) AS gone, too_dear + pending AS total_defects,
+ round(0.6 * (1.0 - too_dear / greatest(rows, 1)) + 0.2 * (1.0 - pending / greatest(rows, 1)) + 0.2, 6) AS score FROM c GROUP BY ALL""")
+def custom_suite_orders(spark, sf):
+    """Q8: a suite of user rules, one of them over a column that is not there."""
+    suite = Q.Suite("orders", (Q.Weighted(R.custom("too_dear", F.col("o_totalprice") > 200000, ["o_totalprice"]), 3.0),
+                               Q.Weighted(R.custom("pending", lambda d: d["o_orderstatus"] == "P", ["o_orderstatus"]), 1.0),
+                               Q.Weighted(R.custom("gone", F.col("zz") > 0, ["zz"]), 1.0)), 0.5, 0.9, clip=None)
+    s = Q.score(load(spark, sf, "orders"), suite)
+    return s.select("rows", "too_dear", "pending", "gone", "total_defects", F.round("score", 6).alias("score"))
+
+
 @register("shape_orders", """
 SELECT count(*) AS rows, 6 AS n_columns FROM orders""")
 def shape_orders(spark, sf):
@@ -696,6 +866,26 @@ def ledger_retail(spark, sf):
                       F.round("score", 6).alias("score"), "passed", "reduction_pct", "affected")
 
 
+@register("ledger_int_column", """
+WITH t AS (SELECT CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS qty, l_returnflag FROM lineitem)
+SELECT * FROM (
+ SELECT 0 AS step, 'initial' AS operation, CAST(0 AS BIGINT) AS affected, count(*) FILTER (WHERE qty IS NULL) AS defects_after, false AS failed FROM t
+ UNION ALL SELECT 1, 'deduplicate', 0, count(*) FILTER (WHERE qty IS NULL), true FROM t
+ UNION ALL SELECT 2, 'clamp_range', 0, count(*) FILTER (WHERE qty IS NULL), true FROM t
+ UNION ALL SELECT 3, 'impute_missing', count(*) FILTER (WHERE qty IS NULL), count(*) FILTER (WHERE false), false FROM t)""")
+def ledger_int_column(spark, sf):
+    """Only filled cells of an integral column count as changed; steps
+    that cannot run leave an error row and the table as it is."""
+    qty = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity").cast("int"))
+    df = load(spark, sf, "lineitem").select(qty.alias("qty"), "l_returnflag")
+    suite = Q.Suite("nulls", (Q.Weighted(R.null_values("qty")),), 0.7, 0.95)
+    steps = [{"operation": "deduplicate", "target_columns": ["no_such_column"]},
+             {"operation": "clamp_range", "target_columns": ["l_returnflag"], "params": {"min_val": 0, "max_val": 1}},
+             {"operation": "impute_missing", "target_columns": ["qty"], "params": {"strategy": "median"}}]
+    _, led = G.ledger(df, steps, suite)
+    return led.select("step", "operation", "affected", "defects_after", F.col("error").isNotNull().alias("failed"))
+
+
 @register("export_gated", FX.cte("retail") + """
 , m1 AS (SELECT median(price) AS v FROM retail WHERE price <> -1 AND NOT isnan(price)),
  s1 AS (SELECT row_id, transaction_id, category, quantity,
@@ -730,6 +920,27 @@ def quarantine_emr(spark, sf):
     return bad.select("row_id", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@register("quarantine_crm", FX.cte("crm") + f"""
+, n AS (SELECT {_CRM_COLUMNS}, row_number() OVER (PARTITION BY {_CRM_COLUMNS}) AS copy FROM crm)
+SELECT {_CRM_COLUMNS}, array_to_string(list_filter([CASE WHEN copy > 1 THEN 'duplicate_count' END,
+  CASE WHEN phone IS NOT NULL AND NOT regexp_matches(phone, '^\\+1\\d{{10}}$') THEN 'phone_format_errors' END,
+  CASE WHEN email <> lower(email) THEN 'email_case_errors' END, CASE WHEN age < 18 OR age > 100 THEN 'age_range_violations' END], lambda x: x IS NOT NULL), ',') AS failed
+FROM n""")
+def quarantine_crm(spark, sf):
+    """R16 with a row-set rule: all copies of a row but one are flagged."""
+    return QR.flag(_view(spark, sf, "crm"), Q.crm_suite()).withColumn("failed", F.array_join(QR.FLAGS, ",")).drop(QR.FLAGS)
+
+
+@register("quarantine_split_crm", FX.cte("crm") + f"""
+, n AS (SELECT *, row_number() OVER (PARTITION BY {_CRM_COLUMNS}) > 1 OR coalesce(NOT regexp_matches(phone, '^\\+1\\d{{10}}$'), false)
+  OR coalesce(email <> lower(email), false) OR coalesce(age < 18 OR age > 100, false) AS bad FROM crm)
+SELECT bad, {_CRM_COLUMNS} FROM n""")
+def quarantine_split_crm(spark, sf):
+    """R16 split: the clean and the quarantined rows together are the input."""
+    good, bad = QR.split(_view(spark, sf, "crm"), Q.crm_suite())
+    return good.withColumn("bad", F.lit(False)).unionByName(bad.drop(QR.FLAGS).withColumn("bad", F.lit(True)))
+
+
 @register("quarantine_split_counts", FX.cte("emr") + f"""
 SELECT count(*) FILTER (WHERE NOT bad) AS clean_rows, count(*) FILTER (WHERE bad) AS quarantined_rows FROM
  (SELECT (try_strptime(dob, '%Y-%m-%d') > try_strptime(admission_date, '%Y-%m-%d')) IS TRUE
@@ -776,6 +987,12 @@ def stream_dedup(spark, sf):
     return ST.dedup_keys(spark, sf)
 
 
+@register("stream_dedup_watermark", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup_watermark(spark, sf):
+    """ST2: dropDuplicatesWithinWatermark on a key that repeats."""
+    return ST.dedup_replay(spark, sf)
+
+
 @register("stream_clean", f"""
 SELECT event_id, user_id, lower(event_type) AS event_type,
  CASE WHEN value < 0 THEN abs(value) ELSE value END AS value,

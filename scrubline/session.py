@@ -4,6 +4,7 @@ checkpoint folder that lineage cuts and streaming sinks write to."""
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,11 +37,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    The setting is read from the session; only when it is unset (local tests)
-    is a folder created here.
+    The setting is read from the session. Only a local session may do without
+    it and gets a folder of its own (tests); on a cluster a folder of one machine
+    would lose files, so an unset option raises RuntimeError.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="scrubline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -48,6 +52,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for Python workers that were started
+    elsewhere: unless PYTHONPATH or the working folder hold it, it goes along as
+    a zip file (what ``--py-files`` does)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and os.path.realpath(p) == os.path.realpath(root) for p in known) or getattr(spark.sparkContext, "_scrubline_shipped", False):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="scrubline-zip-"), "scrubline")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "scrubline"))
+    spark.sparkContext._scrubline_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

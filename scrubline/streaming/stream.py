@@ -13,8 +13,6 @@ folder and return the sink read back as a batch DataFrame.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +30,11 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if os.path.isfile(local):
-        # a file stream watches a folder: watch the parent, keep only this table's file
-        reader = reader.option("pathGlobFilter", os.path.basename(local))
-        src = os.path.dirname(local)
+    name = path.rsplit("/", 1)[-1]
+    if all(f.rstrip("/").endswith("/" + name) for f in spark.read.schema(schema).parquet(path).inputFiles()):
+        # a single file, by Spark's own listing: a file stream watches its folder
+        reader = reader.option("pathGlobFilter", name)
+        src = path[:-len(name) - 1]
     else:
         src = path  # a table folder of part files (the usual layout on a cluster)
     return reader.parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -104,6 +102,13 @@ def dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.select("user_id", "event_type", F.col("day").cast("timestamp_ntz").alias("day"))
 
 
+def dedup_replay(spark: SparkSession, sf_dir: str, delay: str = "3650 days") -> DataFrame:
+    """ST2 over a replay: one event of each (user, type); the late-data bound
+    covers the whole table, so the keys equal those of the batch."""
+    ev = events_stream(spark, sf_dir).select("user_id", "event_type", "ts")
+    return _run(dedup_within_watermark(ev, ["user_id", "event_type"], delay=delay).select("user_id", "event_type"), spark, "dedup-within")
+
+
 def clean_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST1: cleaners and a rule predicate on a stream, no state."""
     ev = events_stream(spark, sf_dir)
@@ -119,6 +124,9 @@ def impute_from_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     means = (static.where(v.isNotNull() & ~F.isnan(v)).groupBy("user_id")
              .agg(F.avg("value").alias("_mean")))
+    kept = scratch_path(spark, "impute-static-means")  # once, not in every micro-batch
+    means.write.parquet(kept)
+    means = spark.read.parquet(kept)
     ev = events_stream(spark, sf_dir)
     joined = ev.join(means, "user_id", "left")
     out = joined.select("event_id", "user_id", "event_type",
