@@ -6,7 +6,7 @@ from .operators.clean import (abs_negative, clamp_range, drop_columns, fill_blan
 from .operators.dedup import deduplicate
 from .operators.fill import backward_fill, forward_fill
 from .operators.profile import profile, sample_rows, sample_values, shape
-from .operators.quantile import exact_median, exact_quantiles, mode_values
+from .operators.quantile import exact_median, exact_quantiles
 from .operators.stats import impute_missing, replace_sentinel
 from .plans.plan import apply_plan, ledger
 from .plans.suite import Suite, Weighted, crm_suite, emr_suite, preset, report, retail_suite, rule_counts, score
@@ -15,7 +15,7 @@ from .sources.io import export, read_table
 __all__ = [
     "rules", "abs_negative", "clamp_range", "drop_columns", "fill_blank", "fix_code_format", "fix_date_order",
     "lowercase", "standardize_phone", "deduplicate", "backward_fill", "forward_fill", "profile", "sample_rows",
-    "sample_values", "shape", "exact_median", "exact_quantiles", "mode_values", "impute_missing",
+    "sample_values", "shape", "exact_median", "exact_quantiles", "impute_missing",
     "replace_sentinel", "apply_plan", "ledger", "Suite", "Weighted", "crm_suite", "emr_suite", "preset",
     "report", "retail_suite", "rule_counts", "score", "export", "read_table",
 ]

@@ -27,6 +27,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 _MASK21 = (1 << 21) - 1
 _INF = float("inf")
 
@@ -73,16 +75,31 @@ def _aliased_on(keys: Sequence[str]) -> Column:
     return cond
 
 
+#: A selection or statistics table of at most this many rows is broadcast.
+MAX_BROADCAST_ROWS = 100_000
+
+
+def settled(small: DataFrame) -> DataFrame:
+    """A derived table written once to the shared scratch folder, counted, and
+    marked for broadcast if it is small enough, so that the big side of its join
+    is not shuffled; a larger one is joined by a shuffle. Runs one job."""
+    spark = small.sparkSession
+    path = scratch_path(spark, "settled")
+    small.write.parquet(path)
+    kept = spark.read.schema(small.schema).parquet(path)
+    return F.broadcast(kept) if kept.count() <= MAX_BROADCAST_ROWS else kept
+
+
 def _targets_in_bucket(data: DataFrame, sel: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
     """Pair every row of a chosen bucket with the rank targets that chose it.
 
     ``sel`` holds at most ``len(targets)`` rows per group, so with bounded
-    groups it is broadcast; each data row outside the chosen buckets is
-    dropped by the join. ``sel`` is used exactly once, so no level of the
-    selection is recomputed.
+    groups it is broadcast, and otherwise if a count finds it small; each data
+    row outside the chosen buckets is dropped by the join. ``sel`` is used
+    exactly once, so no level of the selection is recomputed.
     """
-    if bounded:
-        sel = F.broadcast(sel)  # at most len(targets) rows per bounded group
+    # bounded: at most len(targets) rows per group
+    sel = F.broadcast(sel) if bounded else settled(sel)
     data_cols = [c for c in data.columns if c not in keys]
     sel_cols = [c for c in sel.columns if c not in keys]
     return data.alias("_L").join(sel.alias("_R"), _aliased_on(keys), "inner").select(
@@ -168,25 +185,9 @@ def exact_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),
 
 
 def approx_median(df: DataFrame, value: str, group_cols: Sequence[str] = (),
-                  accuracy: int = 100_000, name: str = "median") -> DataFrame:
+                  accuracy: int = 10_000, name: str = "median") -> DataFrame:
     """``percentile_approx`` variant: one pass, bounded sketch, rank error <= n/accuracy."""
     v = F.col(value).cast("double")
     clean = df.where(v.isNotNull() & ~F.isnan(v))
     aggs = [F.count(F.lit(1)).alias("n"), F.percentile_approx(v, 0.5, accuracy).alias(name)]
     return clean.groupBy(*group_cols).agg(*aggs) if group_cols else clean.agg(*aggs).where(F.col("n") > 0)
-
-
-def mode_values(df: DataFrame, value: str, group_cols: Sequence[str] = (), name: str = "mode") -> DataFrame:
-    """Most frequent non-NULL value per group; ties go to the smallest value.
-
-    Two map-side-combined aggregates: ``(group, value) -> count``, then the
-    value with the highest count per group (``min_by`` over ``(-count, value)``).
-    No group ever holds its distinct values in one buffer.
-    """
-    G = list(group_cols)
-    c = F.col(value)
-    dt = df.schema[value].dataType.typeName()
-    keep = c.isNotNull() & (~F.isnan(c) if dt in ("double", "float") else F.lit(True))
-    counts = df.where(keep).groupBy(*G, value).agg(F.count(F.lit(1)).alias("_c"))
-    pick = F.min_by(F.col(value), F.struct((-F.col("_c")).alias("a"), F.col(value).alias("b"))).alias(name)
-    return counts.groupBy(*G).agg(pick) if G else counts.agg(pick)

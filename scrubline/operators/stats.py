@@ -1,14 +1,15 @@
 """Statistic-based cleaners: impute missing values (C10) and replace sentinels (C11).
 
-Two steps, both lazy. First the statistics of all target columns come from
+Two steps. First the statistics of all target columns come from
 one long-format pass: the targets are stacked into ``(column, value)`` rows and
 aggregated per column (exact median by radix selection, mean by ``avg``, mode
 by two combined aggregates), optionally per ``by`` group. Then the statistics
 are applied to every row: without ``by`` as a scalar subquery holding a
 ``map<column, statistic>`` (one row, size bounded by the number of columns;
 Spark runs it once and inlines the result), with ``by`` as an equi-join on the
-group keys that AQE turns into a broadcast when the statistics table is small.
-No ``collect()`` and no cross join.
+group keys: the statistics table is computed and counted first, broadcast when it
+is small (then no row of the table is shuffled) and shuffled when it is not. No
+``collect()`` and no cross join.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from . import fill as W
-from .quantile import approx_median, exact_median
+from .quantile import approx_median, exact_median, settled
 
 _STATS = "__scrubline_stats"
 
@@ -114,6 +115,7 @@ def _numeric_stats(df: DataFrame, values: dict[str, Column], strategy: str,
 
 
 def _join_by(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    stats = settled(stats)
     cond = None
     for k in by:
         c = F.col(f"_L.{k}").eqNullSafe(F.col(f"_R.{k}"))

@@ -156,8 +156,13 @@ def score_column(suite: Suite, df_columns: Sequence[str]) -> Column:
 def score(df: DataFrame, suite: Suite, by: Sequence[str] | None = None,
           extra: Sequence[Column] = ()) -> DataFrame:
     """Counts, ``score`` in [0, 1] and the two gate booleans, per ``by`` group (Q1-Q5, Q8)."""
-    counts = rule_counts(df, suite, by, extra)
-    s = score_column(suite, df.columns)
+    return score_counts(rule_counts(df, suite, by, extra), suite, df.columns)
+
+
+def score_counts(counts: DataFrame, suite: Suite, columns: Sequence[str]) -> DataFrame:
+    """Score and gates from ``rows`` and the rules' counts of a table that has
+    ``columns``."""
+    s = score_column(suite, columns)
     return (counts.withColumn("score", s)
             .withColumn("passed", F.col("score") >= F.lit(suite.pass_threshold))
             .withColumn("excellent", F.col("score") >= F.lit(suite.excellent_threshold)))

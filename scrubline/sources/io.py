@@ -43,6 +43,27 @@ class GateFailed(RuntimeError):
     """Raised by :func:`export` when the quality gate rejects the table."""
 
 
+def _staged(df: DataFrame, suite) -> tuple[DataFrame, DataFrame, dict]:
+    """(the table written once as Parquet to the shared scratch folder, its
+    score, counts observed while it was written). The gate is decided from the
+    observed counts; only a rule over whole rows reads the copy again."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    from ..plans.suite import score, score_counts
+    from ..session import scratch_path
+    spark = df.sparkSession
+    rules = [w.rule for w in suite.rules if w.rule.kind != "duplicates"]
+    obs = Observation("scrubline_export")
+    path = scratch_path(spark, "export")
+    df.observe(obs, F.count(F.lit(1)).alias("rows"), *[r.count(df).alias(r.name) for r in rules]).write.parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    seen = dict(obs.get)
+    if len(rules) < len(suite.rules):
+        return copy, score(copy, suite), seen
+    return copy, score_counts(spark.createDataFrame([seen]), suite, df.columns), seen
+
+
 def export(df: DataFrame, path: str, mode: str = "errorifexists",
            partition_by: Sequence[str] | None = None, fmt: str = "parquet",
            gate: DataFrame | None = None, ledger: DataFrame | None = None,
@@ -52,17 +73,14 @@ def export(df: DataFrame, path: str, mode: str = "errorifexists",
     ``gate`` is a one-row DataFrame with a boolean ``passed`` column (see
     ``plans.suite.score``); it is evaluated first (one small aggregate job) and
     nothing is written if it is false. With ``suite`` instead, the table is
-    checkpointed once (to ``spark.checkpoint.dir``) and both the gate and the
-    write read that copy, so cleaning statistics are not computed twice. The
-    optional ledger is written next to the table under ``_ledger``.
+    written once as Parquet (under ``spark.checkpoint.dir``) while its rule counts
+    are observed; they decide the gate, and the copy is published. The optional
+    ledger is written next to the table under ``_ledger``.
     """
     info: dict = {"path": path, "written": False}
+    obs = None
     if suite is not None and gate is None:
-        from ..plans.suite import score
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint()
-        gate = score(df, suite)
+        df, gate, obs = _staged(df, suite)
     if gate is not None:
         row = gate.select("passed", *[c for c in ("score",) if c in gate.columns]).first()
         info["passed"] = bool(row["passed"]) if row is not None else False
@@ -70,14 +88,10 @@ def export(df: DataFrame, path: str, mode: str = "errorifexists",
             info["score"] = row["score"]
         if not info["passed"]:
             raise GateFailed(f"quality gate failed for {path}: {info}")
-    obs = None
-    if suite is not None:
-        # rule counts observed while the rows stream into the sink: no extra pass
-        from pyspark.sql import Observation
-        from pyspark.sql import functions as F
-        obs = Observation("scrubline_export")
-        scalar = [w.rule for w in suite.rules if w.rule.kind != "duplicates"]
-        df = df.observe(obs, F.count(F.lit(1)).alias("rows"), *[r.count(df).alias(r.name) for r in scalar])
+    if partition_by:
+        # a partition's rows come together (large ones in several files), not in
+        # as many files as there are tasks
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -86,5 +100,5 @@ def export(df: DataFrame, path: str, mode: str = "errorifexists",
         ledger.write.mode(mode).format(fmt).save(path.rstrip("/") + "/_ledger")
     info["written"] = True
     if obs is not None:
-        info["written_metrics"] = dict(obs.get)
+        info["written_metrics"] = obs
     return info

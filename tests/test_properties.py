@@ -160,3 +160,71 @@ def test_fill_ties_broken_by_remaining_columns(spark):
     for parts in (1, 7):
         got = W.forward_fill(df.repartition(parts), ["v"], order_by="k", rows_per_block=100)
         assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_untouched_cells_keep_their_values(spark):
+    """Integers beyond 2**53, decimals and floats never pass through double."""
+    import decimal
+    from pyspark.sql import types as T
+    from scrubline.operators import stats as S
+    D = decimal.Decimal
+    schema = "k int, big long, d decimal(20,2), whole decimal(20,2), f float"
+    rows = [(1, 9007199254740993, D("123456789012345678.91"), D("1.23"), 0.1), (None, 9007199254740995, None, D("4.56"), None), (-1, -1, D("-1.00"), D("7.89"), -1.0)]
+    df = spark.createDataFrame(rows, schema)
+    out = S.impute_missing(df)
+    assert out.schema["whole"].dataType == T.DecimalType(20, 2) and out.schema["f"].dataType == T.FloatType()
+    first = out.where("whole = 1.23").first()
+    assert (first.big, first.d) == (9007199254740993, D("123456789012345678.91000000")) and first.k == 1
+    out = S.replace_sentinel(df, strategy="constant", value=7)
+    assert [f.dataType for f in out.schema.fields] == [f.dataType for f in df.schema.fields]
+    assert out.where("whole = 7.89").first().big == 7 and out.where("whole = 1.23").first().big == 9007199254740993
+    wide = S.impute_missing(df, ["k"], "constant", value=2.5)
+    assert wide.where("whole = 4.56").first().k == 2.5
+    import pytest
+    with pytest.raises(TypeError):
+        S.impute_missing(df, ["big"], "constant", value="x")
+
+
+def test_ntz_in_another_zone(spark):
+    """Wall-clock times that the session's zone skips or repeats stay apart."""
+    import datetime as dt
+    from scrubline.functions import exprs as X
+    from scrubline.operators import profile as P, stats as S
+    from pyspark.sql import functions as F
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = [dt.datetime(2024, 3, 10, 2, 30, 0, 123456), dt.datetime(2024, 3, 10, 3, 30), dt.datetime(1969, 12, 31, 23, 59, 59, 999999)]
+        df = spark.createDataFrame([(a,) for a in at] + [(at[0],), (None,)], "t timestamp_ntz")
+        assert P.profile(df).first().unique_count == 3
+        back = df.where("t IS NOT NULL").select("t", X.ntz_of_micros(X.micros(F.col("t"), df.schema["t"].dataType)).alias("u")).collect()
+        assert all(r.t == r.u for r in back)
+        assert [r.t for r in S.impute_missing(df, ["t"], "mode").collect()].count(at[0]) == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_plans_are_checked_before_any_job(spark):
+    import pytest
+    from scrubline.plans import plan as G
+    df = spark.createDataFrame([(1, "a"), (None, "b")], "k int, s string")
+    steps = [{"operation": "impute_missing", "target_columns": ["k"]}, {"operation": "deduplicate", "target_columns": ["gone"]}]
+    group = "plan-check"
+    spark.sparkContext.setJobGroup(group, group)
+    with pytest.raises(G.PlanError):
+        G.apply_plan(df, steps)
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_quarantine_of_duplicates(spark):
+    import pytest
+    from scrubline.functions import rules as R
+    from scrubline.operators import quarantine as QR
+    from scrubline.plans import suite as Q
+    df = spark.createDataFrame([(1, "a")] * 3 + [(None, "b")], "k int, s string")
+    suite = Q.Suite("x", (Q.Weighted(R.duplicates()), Q.Weighted(R.null_values("k"))), 0.5, 0.9)
+    good, bad = QR.split(df, suite)
+    assert good.collect() == [(1, "a")]
+    assert sorted((r.k or 0, r.failed_rules) for r in bad.collect()) == [(0, ["k_null"]), (1, ["duplicate_count"]), (1, ["duplicate_count"])]
+    with pytest.raises(ValueError):
+        QR.flag(df, Q.Suite("y", (Q.Weighted(R.duplicates(["k"])),), 0.5, 0.9))
