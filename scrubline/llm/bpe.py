@@ -77,6 +77,8 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(pairs)}
+        self.order = {p: k for p, (k, _) in self.rank.items()}
+        self.made = [vocab[a + b] for a, b in pairs]
         self.lookahead = sufficient_lookahead(
             pairs, lambda t: len(t.removesuffix(self.suffix)) if self.suffix else len(t))
         alphabet = byte_alphabet()
@@ -98,13 +100,17 @@ class Bpe:
         n, rank = len(ids), self.rank
         if n < 2:
             return ids
-        if n <= 32:
-            while len(ids) > 1:
-                best = min(((rank.get(p, _NONE)[0], k) for k, p in enumerate(zip(ids, ids[1:]))))
-                if best[0] == _NONE[0]:
-                    break
-                k = best[1]
-                ids[k:k + 2] = [rank[ids[k], ids[k + 1]][1]]
+        if n <= 64:
+            get = self.order.get
+            order = [get(p, _NONE) for p in zip(ids, ids[1:])]
+            while order and (best := min(order)) < _NONE:
+                k = order.index(best)
+                ids[k] = self.made[best]
+                del ids[k + 1], order[k]
+                if k:
+                    order[k - 1] = get((ids[k - 1], ids[k]), _NONE)
+                if k < len(order):
+                    order[k] = get((ids[k], ids[k + 1]), _NONE)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rank[p][0], k, *p) for k, p in enumerate(zip(ids, ids[1:])) if p in rank]
@@ -124,7 +130,7 @@ class Bpe:
         return [i for i in ids if i >= 0]
 
 
-_NONE = (1 << 60, -1)
+_NONE = 1 << 60
 
 
 class Transducer:
@@ -168,21 +174,31 @@ class Encoder:
 
     def __init__(self, bpe: Bpe, cache_words: int = CACHE_WORDS):
         self.bpe, self.cache_words = bpe, cache_words
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}   # whole words, with their punctuation
+        self.pieces: dict[str, list[int]] = {}
 
     def word(self, word: str) -> bytes:
         """Ids (little-endian unsigned 32-bit) of one normalised word."""
         out: list[int] = []
         for piece in self.bpe.piece.findall(word):
+            known = self.pieces.get(piece)
+            if known is not None:
+                out += known
+                continue
             data = piece.encode("utf-8")
             if len(data) <= 256:
-                out += self.bpe.merge([*(self.bpe.inner[b] for b in data[:-1]), self.bpe.final[data[-1]]])
+                ids = self.bpe.merge([*(self.bpe.inner[b] for b in data[:-1]), self.bpe.final[data[-1]]])
+                out += ids
+                if len(data) <= 64:
+                    if len(self.pieces) >= self.cache_words:
+                        self.pieces.clear()
+                    self.pieces[piece] = ids
             else:
                 t = Transducer(self.bpe)
                 out += t.feed(data)
                 out += t.end()
         ids = struct.pack(f"<{len(out)}I", *out)
-        if len(word) <= 64:
+        if len(word) <= 24:
             if len(self.cache) >= self.cache_words:
                 self.cache.clear()
             self.cache[word] = ids
