@@ -1,39 +1,41 @@
 """Forward and backward fill in row order (W1, W2) without a global window.
 
-A window without ``partitionBy`` moves every row into one task. Instead rows
-are cut into *blocks*: contiguous, roughly equal-count ranges of the first
-order key (approximate quantiles fetched once, so a recomputed task assigns
-the same block). Then
+A window without ``partitionBy`` moves every row into one task. Instead rows are
+cut into *blocks*, contiguous ranges of the whole order tuple (order keys, then
+the remaining columns as tie-breakers) of about ``rows_per_block`` rows: Spark's
+range partitioning deals the rows out, the partition number is the block, and
+the result is written once to the shared scratch folder, so that every branch of
+the plan and every recomputed task sees the same blocks. Equal, NULL and text
+keys are split like any others. Then
 
 1. inside each ``(partition_by..., block)`` window the usual running
    ``last(value, ignorenulls)`` fills what it can;
 2. one small aggregate takes each block's last non-missing value (``max_by``
    over the order key, map-side combined);
-3. a running ``last(..., ignorenulls)`` over the *block* table (one row per
-   block, ~rows/rows_per_block rows per group, at most MAX_BLOCKS) gives what
-   each block inherits from the blocks before it;
-4. the block table is joined back on ``(partition_by..., block)`` and fills the
-   leading gaps of each block.
+3. a running ``last(..., ignorenulls)`` over the *block* table (one row per group
+   and block) gives what each block inherits from the blocks before it;
+4. the block table is counted, and joined back by broadcast if it is small; it
+   fills the leading gaps of each block.
 
 A hot ``partition_by`` group holding a third of all rows is still spread over
 many blocks. Backward fill is the mirror image, computed as running windows in
 descending order (every frame here grows row by row: O(n) per partition).
+Counting, writing and the block table are jobs that run when the fill is called.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
+from ..session import scratch_path
+from .quantile import settled
 
 ROWS_PER_BLOCK = 1_000_000
-# The block table (one row per block) runs through one window, and the block
-# boundaries are fetched once: keep both bounded.
-MAX_BLOCKS = 100_000
 
 
 def _as_list(cols) -> list[str]:
@@ -42,44 +44,15 @@ def _as_list(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def _key_number(c: Column, dt: T.DataType) -> Column:
-    """A double that orders like the order key (for block cutting only)."""
-    if isinstance(dt, T.NumericType):
-        return c.cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return X.micros(c, dt).cast("double")
-    raise TypeError(f"fill: the first order_by column must be numeric, date or timestamp, not {dt.simpleString()}")
-
-
-def _with_blocks(df: DataFrame, key: str, rows_per_block: int) -> DataFrame:
-    """Add ``_blk``: equi-depth blocks of the order key.
-
-    Block boundaries are approximate quantiles of the key (``percentile_approx``
-    at ``1/B, 2/B, ...`` for ``B = ceil(rows / rows_per_block)`` blocks, at most
-    MAX_BLOCKS). Like Spark's own range partitioner, the bounded list of
-    boundaries is fetched once, so every branch of the plan and every
-    recomputed task assigns the same block; ``Bucketizer`` then places each row
-    by binary search in the JVM. Keys crowded into a narrow range still get
-    their share of blocks (equal keys always share one). NULL keys sort first
-    and get block -1.
-    """
-    kv = _key_number(F.col(key), X.dtype_of(df, key))
-    n = df.agg(F.count(kv).alias("n")).first()["n"] or 0
-    nblocks = int(min(max(1, -(-n // rows_per_block)), MAX_BLOCKS))
-    tagged = df.withColumn("_kv", kv)
-    if nblocks == 1:
-        return tagged.withColumn("_blk", F.when(F.col("_kv").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")).drop("_kv")
-    fractions = [i / nblocks for i in range(1, nblocks)]
-    accuracy = max(10_000, 10 * nblocks)
-    bounds = df.agg(F.percentile_approx(kv, fractions, accuracy).alias("b")).first()["b"] or []
-    splits = [float("-inf")] + sorted({float(x) for x in bounds}) + [float("inf")]
-    from pyspark.ml.feature import Bucketizer
-    safe = tagged.withColumn("_kv0", F.coalesce(F.col("_kv"), F.lit(0.0)))
-    bucketed = Bucketizer(splits=splits, inputCol="_kv0", outputCol="_b").transform(safe)
-    return (bucketed.withColumn("_blk", F.when(F.col("_kv").isNull(), F.lit(-1)).otherwise(F.col("_b")).cast("long"))
-            .drop("_kv", "_kv0", "_b"))
+def _with_blocks(df: DataFrame, order: Sequence[str], rows_per_block: int) -> DataFrame:
+    """``df`` with ``_blk``: contiguous ranges of the order tuple, NULLs first."""
+    spark = df.sparkSession
+    blocks = max(1, -(-df.count() // rows_per_block))
+    dealt = df.repartitionByRange(blocks, *[F.col(o).asc_nulls_first() for o in order])
+    staged = dealt.withColumn("_blk", F.spark_partition_id().cast("long"))
+    path = scratch_path(spark, "fill-blocks")
+    staged.write.parquet(path)
+    return spark.read.schema(staged.schema).parquet(path)
 
 
 def _orderable(dt: T.DataType) -> bool:
@@ -103,7 +76,7 @@ def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_b
         # recomputed task fills exactly as the first attempt did
         order = order + [f.name for f in df.schema.fields
                          if f.name not in order and f.name not in pby and _orderable(f.dataType)]
-    blk = _with_blocks(df, order[0], rows_per_block)
+    blk = _with_blocks(df, order, rows_per_block)
     # the value to carry: NaN counts as missing
     vals = {c: F.when(~X.is_missing(F.col(c), X.dtype_of(df, c)), F.col(c)) for c in targets}
     # a single order column orders max_by/min_by directly (fixed-width buffer:
@@ -135,7 +108,7 @@ def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_b
     for k in keys:
         e = F.col(f"_L.{k}").eqNullSafe(F.col(f"_R.{k}"))
         cond = e if cond is None else cond & e
-    joined = filled.alias("_L").join(carry.alias("_R"), cond, "left").select(
+    joined = filled.alias("_L").join(settled(carry).alias("_R"), cond, "left").select(
         "_L.*", *[F.col(f"_R._carry_{c}") for c in targets])
     out = joined.withColumns({c: F.coalesce(F.col(f"_local_{c}"), F.col(f"_carry_{c}")).cast(X.dtype_of(df, c))
                               for c in targets})

@@ -48,9 +48,6 @@ def _view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return FX.view(spark, sf, name)
 
 
-# Blocks small enough that the test scales exercise the carry across blocks.
-FILL_BLOCK_ROWS = 2_000
-
 # ------------------------------------------------------------------ SQL bits
 _WS = r"'^\s+|\s+$'"
 
@@ -476,7 +473,7 @@ SELECT row_id, transaction_id, category, quantity,
  timestamp FROM retail""")
 def ffill_global(spark, sf):
     return _retail_out(W.forward_fill(_view(spark, sf, "retail"), ["price"], order_by="row_id",
-                                      rows_per_block=FILL_BLOCK_ROWS, unique_order=True))
+                                      unique_order=True))
 
 
 @register("ffill_partitioned", FX.cte("retail") + """
@@ -485,7 +482,7 @@ SELECT row_id, transaction_id, category, quantity,
    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS price, timestamp FROM retail""")
 def ffill_partitioned(spark, sf):
     return _retail_out(W.forward_fill(_view(spark, sf, "retail"), ["price"], order_by="row_id",
-                                      partition_by=["category"], rows_per_block=FILL_BLOCK_ROWS, unique_order=True))
+                                      partition_by=["category"], unique_order=True))
 
 
 @register("bfill_global", FX.cte("retail") + """
@@ -494,7 +491,7 @@ SELECT row_id, transaction_id, category, quantity,
  timestamp FROM retail""")
 def bfill_global(spark, sf):
     return _retail_out(W.backward_fill(_view(spark, sf, "retail"), ["price"], order_by="row_id",
-                                       rows_per_block=FILL_BLOCK_ROWS, unique_order=True))
+                                       unique_order=True))
 
 
 @register("ffill_events_value", """
@@ -506,11 +503,23 @@ def ffill_events_value(spark, sf):
     """W1 on a timestamp order key, per user: error events carry the user's last value."""
     ev = load(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
     ev = ev.withColumn("value", F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("value")))
-    out = W.forward_fill(ev, ["value"], order_by=["ts", "event_id"], partition_by=["user_id"],
-                         rows_per_block=FILL_BLOCK_ROWS, unique_order=True)
+    out = W.forward_fill(ev, ["value"], order_by=["ts", "event_id"], partition_by=["user_id"], unique_order=True)
     return out.select("event_id", "user_id", "event_type", "value")
 
 
+@register("ffill_events_day", """
+SELECT event_id, CAST(ts AS DATE) AS day,
+ last_value(CASE WHEN event_type = 'error' THEN NULL ELSE value END IGNORE NULLS)
+   OVER (ORDER BY CAST(ts AS DATE), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events""")
+def ffill_events_day(spark, sf):
+    """W1 over a key with few values and a tie-break; the day as text is a key, too."""
+    ev = load(spark, sf, "events").select("event_id", F.col("ts").cast("date").alias("day"),
+                                          F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+    text = ev.withColumn("day", F.col("day").cast("string"))
+    out = W.forward_fill(text, ["value"], order_by=["day", "event_id"], unique_order=True)
+    return out.withColumn("day", F.col("day").cast("date"))
+
+
 @register("impute_ffill", FX.cte("retail") + """
 SELECT row_id, transaction_id, category, quantity,
  round(last_value(price IGNORE NULLS) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS price,

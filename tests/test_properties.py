@@ -228,3 +228,24 @@ def test_quarantine_of_duplicates(spark):
     assert sorted((r.k or 0, r.failed_rules) for r in bad.collect()) == [(0, ["k_null"]), (1, ["duplicate_count"]), (1, ["duplicate_count"])]
     with pytest.raises(ValueError):
         QR.flag(df, Q.Suite("y", (Q.Weighted(R.duplicates(["k"])),), 0.5, 0.9))
+
+
+def test_fill_blocks_split_equal_and_null_keys(spark):
+    """One date for all rows, and NULL keys, still make blocks of about the asked size."""
+    from pyspark.sql import functions as F
+    from scrubline.operators import fill as W
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit("2024-01-01")).alias("day"), "id", F.when(F.col("id") % 50 == 7, F.col("id")).alias("v"))
+    sizes = [r["count"] for r in W._with_blocks(df, ["day", "id"], 1000).groupBy("_blk").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3000
+    got = {r.id: r.v for r in W.forward_fill(df, ["v"], order_by=["day", "id"], rows_per_block=1000, unique_order=True).collect()}
+    last, want = None, {}
+    for k in [*range(1, 20_000, 2), *range(0, 20_000, 2)]:  # NULL days first
+        last = k if k % 50 == 7 else last
+        want[k] = last
+    assert got == want
+    back = {r.id: r.v for r in W.backward_fill(df, ["v"], order_by=["day", "id"], rows_per_block=1000, unique_order=True).collect()}
+    nxt, want = None, {}
+    for k in [*range(19_998, -1, -2), *range(19_999, 0, -2)]:
+        nxt = k if k % 50 == 7 else nxt
+        want[k] = nxt
+    assert back == want
