@@ -39,14 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import packed as PK
 from . import words as W
 from .common import table, written
 
 WINDOW = 50
 BLOCK = WINDOW // 2
-CHUNK_BYTES, BUCKET_PROBES = 8 << 20, 1_000_000
-#: Texts of a task are packed together up to this many words.
-PACK_WORDS = 1_500_000
+CHUNK_BYTES, BUCKET_PROBES = 4 << 20, 1_000_000
 FILTER_BITS = 20
 _B = np.uint64(0xD1342543DE82EF95)
 _NO_ID = (1 << 63) - 1
@@ -74,61 +73,22 @@ def rolling(h: np.ndarray, size: int) -> np.ndarray:
     return W.mix((total[size:] - total[:n]) * down)
 
 
-def _keys(r: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket in the upper and the rest of the hash in the lower 32 bits."""
-    return ((r >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (r & np.uint64(0xFFFFFFFF))
-
-
-def _in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is x among them, at which place)."""
-    if not len(sorted_values):
-        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return sorted_values[at] == x, at
-
-
-def _packed(chunk: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(bucket, chunk, sorted distinct lower halves) of each cell."""
-    if not len(key):
-        return
-    order = np.lexsort((key, chunk))
-    chunk, key = chunk[order], key[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))
-    chunk, key = chunk[new], key[new]
-    bucket = key >> np.uint64(32)
-    edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1])))
-    low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    for a, b in zip(edge, [*edge[1:], len(key)]):
-        yield int(bucket[a]), int(chunk[a]), low[a:b]
-
-
 def _anchors(buckets: int):
-    """Rows (bucket, chunk, probes, blocks) of (chunk, text) rows."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("probes", pa.binary()), ("blocks", pa.binary())])
-
-    def pack(probes: list, blocks: list) -> pa.RecordBatch:
-        rows = []
-        for kind, parts in ((2, probes), (3, blocks)):
-            if parts:
-                for bucket, c, low in _packed(np.concatenate([np.full(len(k), c, np.int32) for c, k in parts]), np.concatenate([k for _, k in parts])):
-                    rows.append((bucket, c, low.tobytes() if kind == 2 else b"", low.tobytes() if kind == 3 else b""))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(4)], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes, blocks, size = [], [], 0
-        for b in batches:
-            for c, h in zip(b.column(0).to_pylist(), W.hashed(b.column(1), False)):
-                if len(h) < WINDOW:
-                    continue
-                k = _keys(rolling(h, BLOCK), buckets)
-                probes.append((c, k))
-                blocks.append((c, k[::BLOCK]))
-                size += len(h)
-                if size >= PACK_WORDS:
-                    yield pack(probes, blocks)
-                    probes, blocks, size = [], [], 0
-        if probes:
-            yield pack(probes, blocks)
+    """Rows (bucket, chunk, probes, blocks) of one chunk's texts."""
+    names = ["bucket", "chunk", "probes", "blocks"]
+
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        probes, blocks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for part in docs["text"].chunks:
+            for h in W.hashed(part, False):
+                if len(h) >= WINDOW:
+                    k = PK.keys(rolling(h, BLOCK), buckets)
+                    probes.append(k)
+                    blocks.append(k[::BLOCK])
+        c = key[0].as_py()
+        packed = [{b: low.tobytes() for b, _, low, _ in PK.cells(np.full(len(k), c), k)} for k in (np.concatenate(probes), np.concatenate(blocks))]
+        rows = [(b, c, low, packed[1].get(b, b"")) for b, low in packed[0].items()]  # a block is a probe, too
+        return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names)
 
     return run
 
@@ -147,7 +107,7 @@ def _answer(key: tuple, rows: pa.Table) -> pa.Table:
     out = []
     for c, v in zip(chunk, rows["probes"]):
         p = np.frombuffer(v.as_py(), np.uint32)
-        hit, at = _in(known, p)
+        hit, at = PK.find(known, p)
         hit[hit] = (least[at[hit]] != c) | (most[at[hit]] != c)
         if hit.any():
             out.append((int(c), p[hit].tobytes()))
@@ -177,8 +137,8 @@ def _candidates(buckets: int):
         for d, (h, r) in enumerate(zip(words, roll)):
             if not len(h):
                 continue
-            hit, _ = _in(told, _keys(r, buckets))
-            here, at = _in(known, r)
+            hit, _ = PK.find(told, PK.keys(r, buckets))
+            here, at = PK.find(known, r)
             hit |= here & ((least[at] != d) | (most[at] != d)) if len(known) else False
             if not hit.any():
                 continue
@@ -283,7 +243,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     buckets = max(1, -(-size // (6 * BUCKET_PROBES)))  # a word is about six bytes
     rows = docs.select(*_key(id_col, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("id", "k1"), F.lit(chunks)).cast("int").alias("chunk"), "id", "k1", "text")
-    cells = rows.select("chunk", "text").mapInArrow(_anchors(buckets), "bucket int, chunk int, probes binary, blocks binary")
+    cells = rows.groupBy("chunk").applyInArrow(_anchors(buckets), "bucket int, chunk int, probes binary, blocks binary")
     hits = cells.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, hits binary")
     kind = ", ".join(f"{k} {'int' if t == pa.int32() else 'binary'}" for k, t in _CAND)
     cand = rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_candidates(buckets), kind)
@@ -345,3 +305,14 @@ def _cut(text: str, spans: list[dict]) -> dict:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, k, array_to_string(ws[k:k + {WINDOW - 1}], ' ') AS v FROM (SELECT *, unnest(range(1, len(ws) - {WINDOW - 2})) AS k FROM w)),
+first AS (SELECT v, min(doc_id) AS d FROM win GROUP BY v),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(k, k + {WINDOW})))) AS g FROM win JOIN first USING (v) WHERE d < doc_id GROUP BY doc_id),
+kept AS (SELECT doc_id, ws, coalesce(len(g), 0) AS r, CASE WHEN g IS NULL THEN ws ELSE
+  list_transform(list_sort(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(g, i))), lambda i: ws[i]) END AS kw FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(ws)::BIGINT AS n_words, r::BIGINT AS n_removed, sha256(coalesce(array_to_string(kw, ' '), '')) AS kept_sha256 FROM kept
+"""
