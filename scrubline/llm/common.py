@@ -32,7 +32,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: later
     jobs, and tasks retried after a lost executor, all see the same rows."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
