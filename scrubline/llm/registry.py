@@ -22,7 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_nearest": nearest.ORACLE,
+    "op3_jaccard_join": setjoin.ORACLE,
     "op4_url_filter": urls.ORACLE,
     "op5_secrets": secrets.ORACLE,
     "op9_decontaminate": decontam.ORACLE,
+    "op10_substring_dedup": substrings.ORACLE,
 }
