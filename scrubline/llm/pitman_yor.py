@@ -44,20 +44,21 @@ from .common import fold, table, written
 
 HEADS, PASSES, SWEEPS, STRENGTH = 1024, 2, 4, 1.0
 #: Words of a block; a longer text is a block of its own.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 5_000_000
 END = np.uint64(0x9AE16A3B2F90404F)
 
 
 def blocks(texts: DataFrame, block_words: int) -> DataFrame:
     """One row a block of the (id, train, text) rows: words (distinct hashes),
-    counts (training tokens of each), size, ids, train, lengths, codes."""
+    counts (training tokens of each), ids, train, lengths, codes (compressed)."""
     def emit(parts: list[np.ndarray], ids: list, train: list) -> pa.RecordBatch:
         size = np.array([len(p) for p in parts])
         word, code = np.unique(np.concatenate(parts), return_inverse=True)
         own = np.repeat(np.array(train, bool), size)
         count = np.bincount(code, weights=own, minlength=len(word)).astype(np.int32)
         key = W.mix(np.array([word[0] ^ np.uint64(len(code)), code.astype(np.uint64).sum()], np.uint64))[1:2].view(np.int64) ^ word[:1].view(np.int64)
-        row = [int(key[0]), word.view(np.int64).tobytes(), count.tobytes(), pa.array(ids, pa.int64()).to_pylist(), train, size.astype(np.int32).tobytes(), code.astype(np.int32).tobytes()]
+        row = [int(key[0]), word.view(np.int64).tobytes(), count.tobytes(), pa.array(ids, pa.int64()).to_pylist(), train, size.astype(np.int32).tobytes(),
+               pa.Codec("zstd").compress(code.astype(np.int32).tobytes(), asbytes=True)]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _BLOCK)], [n for n, _ in _BLOCK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,9 @@ def _asks(heads: np.ndarray, most: int):
 
 def _block(b: pa.RecordBatch | pa.Table, k: int):
     raw = lambda name, t: np.frombuffer(b[name][k].as_py(), t)
-    return (b["block"][k].as_py(), raw("words", np.uint64), raw("counts", np.int32), b["ids"][k].as_py(), np.array(b["train"][k].as_py(), bool), raw("lengths", np.int32), raw("codes", np.int32))
+    lengths = raw("lengths", np.int32)
+    codes = pa.Codec("zstd").decompress(b["codes"][k].as_py(), decompressed_size=4 * int(lengths.sum()), asbytes=True)
+    return (b["block"][k].as_py(), raw("words", np.uint64), raw("counts", np.int32), b["ids"][k].as_py(), np.array(b["train"][k].as_py(), bool), lengths, np.frombuffer(codes, np.int32))
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: float, others: np.ndarray) -> np.ndarray:
