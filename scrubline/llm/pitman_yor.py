@@ -1,35 +1,41 @@
 """Text scores from a hierarchical Pitman-Yor language model.
 
 Restaurants. The root restaurant serves words of any context over a uniform
-base of V + 1 words (one stands for all unknown ones). Every frequent word (at
-least one in ``HEADS`` training tokens, so at most HEADS words) is a context
-with a restaurant of its own, whose parent is the root; the token after any other
-word, or at the start, is a customer of the root itself. A customer of a context
-restaurant who opens a table sends one customer to the root.
+base of V + 1 words (one stands for all unknown ones). Every word that a training
+token follows is a context with a restaurant of its own, whose parent is the
+root; only the first token of a text is a customer of the root itself. A
+customer of a context restaurant who opens a table sends one customer to the root.
 
 Seating. Given the number of tables of each restaurant, dishes (words) are
-independent, so the corpus is dealt out by word and each task holds the tables of
-its words in all restaurants. A sweep takes all customers of a dish out and seats
-them again, one after the other, by the Chinese-restaurant rule; the wait until
-the next new table of a Polya urn is geometric with a beta-distributed rate, so
-a sweep costs as many steps as there are tables, not customers. ``PASSES`` passes
-over the corpus each run some sweeps and then exchange the restaurants' table
-totals (at most HEADS + 1 numbers); the last pass averages the predictive
-probabilities of its ``SWEEPS`` samples, each with its own totals. Random numbers come from a hash of the batch, so a
-retried task draws the same ones. Discounts are fitted by the counts of counts.
+independent, so the (word, context) counts are dealt into buckets by word, and a
+bucket's task holds the tables of its words in all restaurants. A word of more
+than ``SHARE`` training tokens is dealt out by context as well; its shares know
+of each other's tables as of the last pass, and one share seats it at the root. A
+sweep takes all customers of a dish out and seats them again, one after the other,
+by the Chinese-restaurant rule; the wait until the next new table of a Polya urn
+is geometric with a beta-distributed rate, so a sweep costs as many steps as there
+are tables, not customers. ``PASSES`` passes over the buckets each run some sweeps
+and then exchange the restaurants' table totals: a bucket sends its own totals to
+the restaurants' buckets and gets those of all buckets back, packed. The last pass
+averages the predictive probabilities of its ``SWEEPS`` samples, each with its own
+totals. Random numbers come from the bucket's number, so a retried task draws
+the same ones. Discounts are fitted by the counts of counts.
 
 Scoring. Texts are dealt into blocks as they are read. A block keeps its texts as
-positions in its own list of distinct words, and asks for each of these words
-once, with the contexts that it needs: one row a (block, word), whatever the
-number of texts or how common the word. All counts cover all training texts.
+positions in its own list of distinct words, asks once for each of its distinct
+(word, context) pairs, packed by bucket, and gets their probabilities back in the
+same order, whatever the number of texts. All counts cover all training texts.
 
 Edge cases: null text -> only the end token; empty tables -> no rows; without
-training texts V = N = 0 and every probability is 1; ids may repeat or be null;
-output columns replace columns of the same names.
+training texts V = N = 0 and every probability is 1; a context that no training
+token follows gives the root's probabilities; ids may repeat or be null; output
+columns replace columns of the same names.
 """
 
 from __future__ import annotations
 
+import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +48,9 @@ from scrubline.session import scratch_path
 from . import words as W
 from .common import fold, table, written
 
-HEADS, PASSES, SWEEPS, STRENGTH = 1024, 2, 4, 1.0
+PASSES, SWEEPS, STRENGTH = 2, 4, 1.0
+#: Tokens of a bucket on average, and training tokens from which a word has several shares.
+BUCKET_TOKENS, SHARE = 2_000_000, 500_000
 #: Words of a block; a longer text is a block of its own.
 BLOCK_WORDS = 5_000_000
 END = np.uint64(0x9AE16A3B2F90404F)
@@ -50,15 +58,17 @@ END = np.uint64(0x9AE16A3B2F90404F)
 
 def blocks(texts: DataFrame, block_words: int) -> DataFrame:
     """One row a block of the (id, train, text) rows: words (distinct hashes),
-    counts (training tokens of each), ids, train, lengths, codes (compressed)."""
+    counts (training tokens of each), ids, train, lengths, codes (compressed)
+    and tokens (how many)."""
     def emit(parts: list[np.ndarray], ids: list, train: list) -> pa.RecordBatch:
         size = np.array([len(p) for p in parts])
         word, code = np.unique(np.concatenate(parts), return_inverse=True)
         own = np.repeat(np.array(train, bool), size)
         count = np.bincount(code, weights=own, minlength=len(word)).astype(np.int32)
-        key = W.mix(np.array([word[0] ^ np.uint64(len(code)), code.astype(np.uint64).sum()], np.uint64))[1:2].view(np.int64) ^ word[:1].view(np.int64)
-        row = [int(key[0]), word.view(np.int64).tobytes(), count.tobytes(), pa.array(ids, pa.int64()).to_pylist(), train, size.astype(np.int32).tobytes(),
-               pa.Codec("zstd").compress(code.astype(np.int32).tobytes(), asbytes=True)]
+        size, code = size.astype(np.int32), code.astype(np.int32)
+        key = hashlib.blake2b(b"".join((word.tobytes(), code.tobytes(), size.tobytes(), count.tobytes())), digest_size=8).digest()
+        row = [int.from_bytes(key, "little", signed=True), word.view(np.int64).tobytes(), count.tobytes(), pa.array(ids, pa.int64()).to_pylist(), train, size.tobytes(),
+               pa.Codec("zstd").compress(code.tobytes(), asbytes=True), len(code)]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _BLOCK)], [n for n, _ in _BLOCK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,43 +85,93 @@ def blocks(texts: DataFrame, block_words: int) -> DataFrame:
         if parts:
             yield emit(parts, ids, train)
 
-    return texts.mapInArrow(run, "block long, words binary, counts binary, ids array<long>, train array<boolean>, lengths binary, codes binary")
+    return texts.mapInArrow(run, "block long, words binary, counts binary, ids array<long>, train array<boolean>, lengths binary, codes binary, tokens long")
 
 
-_BLOCK = [("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("codes", pa.binary())]
+_BLOCK = [("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("codes", pa.binary()), ("tokens", pa.int64())]
 
 
-def _pairs(codes: np.ndarray, lengths: np.ndarray, head_at: np.ndarray) -> np.ndarray:
-    """Context (index of the head word before, or -1) of each token."""
-    before = np.concatenate(([-1], head_at[codes[:-1]]))
+def _zip(a: np.ndarray) -> bytes:
+    """An array compressed by byte planes (all first bytes, all second ones, ...)."""
+    a = np.ascontiguousarray(a)
+    raw = a.reshape(-1, 1).view(np.uint8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unzip(b: bytes, kind: type) -> np.ndarray:
+    size, item = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    if not size:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(b[8:], decompressed_size=size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(item, -1).T).view(kind).ravel()
+
+
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver's JVM collects their
+    plans; it is asked to, or they would stay on the disks until the end."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _rows(rows: list[tuple], kind: list) -> pa.Table:
+    return pa.table({n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate(kind)})
+
+
+def _find(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Index in the sorted ``known`` of each of ``x``, or -1."""
+    if not len(known):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
+
+
+def _deal(w: np.ndarray, u: np.ndarray, spec: dict) -> np.ndarray:
+    """Bucket of each pair: by its word; a heavy word's pairs by context, too."""
+    h, at = w.copy(), _find(spec["heavy"], w)
+    some = np.flatnonzero(at >= 0)
+    h[some] = W.mix(h[some] + np.uint64(1) + W.mix(u[some]) % spec["shares"][at[some]])
+    return (W.mix(h) % np.uint64(spec["buckets"])).astype(np.int32)
+
+
+def _pairs(words: np.ndarray, codes: np.ndarray, lengths: np.ndarray, train: np.ndarray, spec: dict):
+    """Distinct (word, context, training tokens, bucket) of a block in the order of
+    the buckets, and the pair of each token. The root's context is END."""
+    before = np.concatenate(([-1], codes[:-1].astype(np.int64)))
     before[np.cumsum(lengths) - lengths] = -1
-    return before
+    if spec["heads"] is not None:
+        before = np.where((before >= 0) & (_find(spec["heads"], words) >= 0)[before], before, -1)
+    pair, where = np.unique(codes.astype(np.int64) * (len(words) + 1) + before + 1, return_inverse=True)
+    own = np.bincount(where, weights=np.repeat(train, lengths), minlength=len(pair)).astype(np.int32)
+    w, u = words[pair // (len(words) + 1)], np.append(END, words)[pair % (len(words) + 1)]
+    bucket = _deal(w, u, spec)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return w[order], u[order], own[order], bucket[order], rank[where]
+
+
+def _cuts(a: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values, and the end."""
+    return np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a)) if len(a) else np.zeros(1, np.int64)
+
 
+_ASK = [("block", pa.int64()), ("bucket", pa.int32()), ("w", pa.binary()), ("k", pa.binary()), ("u", pa.binary()), ("ui", pa.binary()), ("c", pa.binary())]
 
-def _asks(heads: np.ndarray, most: int):
-    """Rows (block, at, w, u, c): for each distinct word of a block its contexts
-    that occur and how often in training (0: only elsewhere)."""
-    order = np.argsort(heads)
-    known = heads[order]
 
+def _asks(spec: dict):
+    """Rows (block, bucket, words, pairs of each, distinct contexts, those of the
+    pairs by index, training counts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                block, words, _, _, train, lengths, codes = _block(b, k)
-                at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-                head_at = np.where(known[at] == words, order[at], -1) if len(known) else np.full(len(words), -1)
-                u = _pairs(codes, lengths, head_at)
-                key = codes.astype(np.int64) * (most + 1) + (u + 1)
-                pair, where = np.unique(key, return_inverse=True)
-                own = np.bincount(where, weights=np.repeat(train, lengths), minlength=len(pair)).astype(np.int32)
-                w, u = pair // (most + 1), pair % (most + 1) - 1
-                cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                for a in range(0, len(cut), 20_000):
-                    lo, hi = cut[a], cut[a + 20_000] if a + 20_000 < len(cut) else len(w)
-                    offsets = pa.array(np.append(cut[a:a + 20_000], hi) - lo, pa.int32())
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(v[lo:hi].astype(np.int32))) for v in (u, own)]
-                    at = w[cut[a:a + 20_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block), pa.int64()), pa.array(at.astype(np.int32)), pa.array(words[at].view(np.int64)), *lists], ["block", "at", "w", "u", "c"])
+            for j in range(b.num_rows):
+                block, words, _, _, train, lengths, codes = _block(b, j)
+                w, u, c, bucket, _ = _pairs(words, codes, lengths, train, spec)
+                cut, out = _cuts(bucket), []
+                for lo, hi in zip(cut[:-1], cut[1:]):
+                    at = _cuts(w[lo:hi])
+                    ctx, ui = np.unique(u[lo:hi], return_inverse=True)
+                    out.append((block, int(bucket[lo]), _zip(w[lo:hi][at[:-1]]), _zip(np.diff(at).astype(np.int32)), _zip(ctx), _zip(ui.astype(np.int32)), _zip(c[lo:hi])))
+                yield from _rows(out, _ASK).to_batches()
     return run
 
 
@@ -141,90 +201,163 @@ def seat(rng: np.random.Generator, customers: np.ndarray, base: np.ndarray, stre
     return tables
 
 
-def _lists(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """(values, lengths) of a list column."""
-    return b[name].flatten().to_numpy(), b[name].value_lengths().to_numpy()
+#: Rows of a bucket: its dishes and who asked for them (to = -1), and the totals
+#: of its contexts for the restaurants' buckets ``to``.
+_DISH = [("bucket", pa.int32()), ("to", pa.int32()), ("w", pa.binary()), ("ctx", pa.binary()), ("wi", pa.binary()), ("ui", pa.binary()), ("c", pa.binary()),
+         ("blocks", pa.binary()), ("sizes", pa.binary()), ("asked", pa.binary()), ("t", pa.binary()), ("n", pa.binary()), ("heavy", pa.binary()), ("sums", pa.list_(pa.float64()))]
+_DISH_DDL = "bucket int, to int, w binary, ctx binary, wi binary, ui binary, c binary, blocks binary, sizes binary, asked binary, t binary, n binary, heavy binary, sums array<double>"
+#: Rows of a pass: a bucket's state (to = -1) and the totals as above.
+_PASS = [("bucket", pa.int32()), ("to", pa.int32()), ("ctx", pa.binary()), ("t", pa.binary()), ("n", pa.binary()), ("c0", pa.binary()), ("t0", pa.binary()), ("heavy", pa.binary()), ("sums", pa.list_(pa.float64()))]
+_PASS_DDL = "bucket int, to int, ctx binary, t binary, n binary, c0 binary, t0 binary, heavy binary, sums array<double>"
+
+
+def _home(ctx: np.ndarray, buckets: int) -> np.ndarray:
+    return (W.mix(ctx ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _sent(bucket: int, ctx: np.ndarray, t: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple]:
+    """(bucket, to, contexts, tables (a row a sample), customers) by home; ``ctx`` is in order of homes."""
+    to = _home(ctx, buckets)
+    cut = _cuts(to)
+    return [(bucket, int(to[lo]), _zip(ctx[lo:hi]), _zip(t[:, lo:hi]), _zip(n[lo:hi])) for lo, hi in zip(cut[:-1], cut[1:])]
+
+
+def _dishes(spec: dict):
+    """A bucket's rows from all blocks' asks."""
+    def run(key: tuple, asks: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        get = lambda name, kind: [_unzip(v.as_py(), kind) for v in asks[name]]
+        ctxs, uis, c = get("u", np.uint64), get("ui", np.int32), get("c", np.int32)
+        sizes = np.array([len(x) for x in uis], np.int64)
+        w = np.concatenate([np.repeat(x, k) for x, k in zip(get("w", np.uint64), get("k", np.int32))])
+        c = np.concatenate(c)
+        words, wi = np.unique(w, return_inverse=True)
+        ctx = np.unique(np.concatenate(ctxs))
+        ui = np.concatenate([np.searchsorted(ctx, x)[i] for x, i in zip(ctxs, uis)])
+        order = np.argsort(_home(ctx, spec["buckets"]), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ctx = ctx[order]
+        pair, asked = np.unique(wi * len(ctx) + rank[ui], return_inverse=True)
+        wi, ui = pair // len(ctx), pair % len(ctx)
+        n = np.bincount(asked, weights=c, minlength=len(pair)).astype(np.int64)
+        root = ctx[ui] == END
+        some = (n > 0) & ~root
+        sums = [float(n[root].sum()), float(some.sum()), float((n[some] == 1).sum()), float((n[some] == 2).sum())]
+        heavy = _heavy(bucket, words, spec, [np.bincount(wi, weights=np.where(root, n, np.minimum(n, 1)), minlength=len(words))])
+        i32 = lambda a: _zip(a.astype(np.int32))
+        out = [(bucket, -1, _zip(words), _zip(ctx), i32(np.diff(wi, prepend=0)), i32(ui), _zip(n), _zip(asks["block"].to_numpy()), _zip(sizes), i32(asked), None, None, heavy, sums)]
+        for b, to, x, t, k in _sent(bucket, ctx, np.bincount(ui, weights=some, minlength=len(ctx)).astype(np.int64)[None], np.bincount(ui, weights=n, minlength=len(ctx)).astype(np.int64), spec["buckets"]):
+            out.append((b, to, None, x, None, None, None, None, None, None, t, k, None, None))
+        return _rows(out, _DISH)
+    return run
 
 
-def _gibbs(spec: dict, last: bool):
-    """Over batches of dishes (w, contexts u with counts c; -1 is the root): the
-    table totals of the sweeps, or with ``last`` a sample of each kept sweep."""
-    most = spec["most"]
+def _heavy(bucket: int, words: np.ndarray, spec: dict, figures: list[np.ndarray]) -> bytes:
+    """(bucket, heavy word, figures...) of the bucket's shares."""
+    at = _find(spec["heavy"], words)
+    some = np.flatnonzero(at >= 0)
+    return np.stack([np.full(len(some), bucket), at[some], *[f[some] for f in figures]], 1).astype(np.float64).tobytes() if len(some) else b""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(most + 1)
-        t_of = spec["tables"]  # by context, the root last
-        d0, d1, v1 = spec["d0"], spec["d1"], spec["vocabulary"] + 1.0
-        for b in batches:
-            w = b.column(0).to_numpy()
-            if not len(w):
-                continue
-            (u, size), (c, _) = _lists(b, "u"), _lists(b, "c")
-            dish, u, c = np.repeat(np.arange(len(w)), size), u.astype(np.int64), c.astype(np.int64)
-            direct = np.bincount(dish[u < 0], weights=c[u < 0], minlength=len(w))
-            dish, u, c = dish[u >= 0], u[u >= 0], c[u >= 0]
-            rng = np.random.default_rng([int(w.view(np.uint64)[0]), len(w), spec["pass"]])
-            t1, t0 = np.minimum(c, 1), np.ones(len(w), np.int64)
-            c0 = direct + np.bincount(dish, weights=t1, minlength=len(w))
-            kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            sums = np.zeros(most + 1)
-            for sweep in range(2 * SWEEPS if last else SWEEPS):
-                p0 = (c0 - d0 * t0 + (STRENGTH + d0 * t_of[most]) / v1) / (STRENGTH + spec["root_customers"])
-                t1 = seat(rng, c, p0[dish], np.full(len(u), STRENGTH), d1, np.maximum(t_of[u] - t1, 0))
-                c0 = direct + np.bincount(dish, weights=t1, minlength=len(w))
-                t0 = seat(rng, c0.astype(np.int64), np.full(len(w), 1 / v1), np.full(len(w), STRENGTH), d0, np.maximum(t_of[most] - t0, 0))
-                sums += np.append(np.bincount(u, weights=t1, minlength=most), t0.sum()) / SWEEPS
-                if sweep >= SWEEPS:
-                    kept.append((c0, t0, t1))
-            if last:
-                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(dish, minlength=len(w))))), pa.int32())
-                n = direct + np.bincount(dish, weights=c, minlength=len(w))
-                per = lambda k: pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1) * SWEEPS, pa.int32()), pa.array(np.stack([x[k] for x in kept], 1).ravel().astype(np.int64)))
-                own = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in (u, c, *(x[2] for x in kept))]
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n.astype(np.int64)), per(0), per(1), *own], _SAMPLE)
-            else:
-                totals += sums
-        if not last:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(most + 1), pa.int32()), pa.array(totals)], ["u", "t"])
-    return run
 
+def _totals(key: tuple, rows: pa.Table) -> pa.Table:
+    """Over the totals sent to one restaurants' bucket: to each bucket the sums."""
+    ctx = [_unzip(v.as_py(), np.uint64) for v in rows["ctx"]]
+    known, at = np.unique(np.concatenate(ctx), return_inverse=True)
+    t = np.concatenate([_unzip(v.as_py(), np.int64).reshape(-1, len(x)) for v, x in zip(rows["t"], ctx)], 1)
+    n = np.bincount(at, weights=np.concatenate([_unzip(v.as_py(), np.int64) for v in rows["n"]])).astype(np.int64)
+    t = np.stack([np.bincount(at, weights=x) for x in t]).astype(np.int64)
+    cut = np.cumsum([len(x) for x in ctx])
+    out = [(b, key[0].as_py(), _zip(t[:, at[hi - len(x):hi]]), _zip(n[at[hi - len(x):hi]])) for b, x, hi in zip(rows["bucket"].to_pylist(), ctx, cut)]
+    return _rows(out, [("bucket", pa.int32()), ("to", pa.int32()), ("t", pa.binary()), ("n", pa.binary())])
 
-_SAMPLE = ["w", "n", "c0", "t0", "u", "c", *[f"own{k}" for k in range(SWEEPS)]]
-_SAMPLE_DDL = "w long, n long, " + ", ".join(f"{k} array<long>" for k in _SAMPLE[2:])
 
+def _told(told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Tables (a row a sample) and customers of a bucket's contexts."""
+    rows = sorted((r for r in told.select(["to", "t", "n"]).to_pylist() if r["to"] >= 0), key=lambda r: r["to"])
+    n = [_unzip(r["n"], np.int64) for r in rows]
+    return np.concatenate([_unzip(r["t"], np.int64).reshape(-1, len(x)) for r, x in zip(rows, n)], 1), np.concatenate(n)
 
-def _sum_samples(most: int):
-    """Totals of each sample: tables by context, the root's tables (u = most)
-    and the root's customers (u = most + 1)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SWEEPS, most + 2))
-        for b in batches:
-            u, _ = _lists(b, "u")
-            c0, t0 = (_lists(b, k)[0].reshape(-1, SWEEPS).sum(0) for k in ("c0", "t0"))
-            for s in range(SWEEPS):
-                total[s] += np.concatenate((np.bincount(u, weights=_lists(b, f"own{s}")[0], minlength=most), [t0[s], c0[s]]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(SWEEPS), most + 2), pa.int32()), pa.array(np.tile(np.arange(most + 2), SWEEPS), pa.int32()), pa.array(total.ravel())], ["s", "u", "t"])
+
+def _dish(dish: pa.Table):
+    raw = lambda name, kind: _unzip(dish[name][0].as_py(), kind)
+    return dish["bucket"][0].as_py(), raw("w", np.uint64), raw("ctx", np.uint64), np.cumsum(raw("wi", np.int32)), raw("ui", np.int32), raw("c", np.int64)
+
+
+def _gibbs(spec: dict, last: bool):
+    """Over a bucket's dishes and its contexts' totals: the rows of a pass, with
+    the sum of its sweeps' tables or with ``last`` those of each kept sweep."""
+    def run(dish: pa.Table, told: pa.Table) -> pa.Table:
+        bucket, words, ctx, wi, ui, c = _dish(dish)
+        t_of, _ = _told(told)
+        d0, d1, v1 = spec["d0"], spec["d1"], spec["vocabulary"] + 1.0
+        root = ctx[ui] == END
+        direct = np.bincount(wi, weights=np.where(root, c, 0), minlength=len(words))
+        some = np.flatnonzero(~root & (c > 0))
+        w, u, c1 = wi[some], ui[some], c[some]
+        rest, seats = np.zeros(len(words)), np.ones(len(words), bool)
+        at = _find(spec["heavy"], words)
+        for k in np.flatnonzero(at >= 0):
+            rest[k] = spec["all"][at[k]] - spec["own"][bucket, at[k]]
+            seats[k] = spec["first"][at[k]] == bucket
+        others = t_of[0][u] / spec["scale"]
+        rng = np.random.default_rng([bucket, spec["pass"]])
+        t1 = np.minimum(c1, 1)
+        own = direct + np.bincount(w, weights=t1, minlength=len(words))
+        t0 = np.minimum(own + rest, 1).astype(np.int64)
+        kept: list[tuple] = []
+        for sweep in range(2 * SWEEPS if last else SWEEPS):
+            p0 = (own + rest - d0 * t0 + (STRENGTH + d0 * spec["root_tables"]) / v1) / (STRENGTH + spec["root_customers"])
+            t1 = seat(rng, c1, p0[w], np.full(len(w), STRENGTH), d1, np.maximum(others - t1, 0))
+            own = direct + np.bincount(w, weights=t1, minlength=len(words))
+            t0 = seat(rng, np.rint(own + rest).astype(np.int64), np.full(len(words), 1 / v1), np.full(len(words), STRENGTH), d0, np.maximum(spec["root_tables"] - t0, 0))
+            if not last or sweep >= SWEEPS:
+                kept.append((t1, own, t0))
+        t = np.stack([np.bincount(u, weights=x[0], minlength=len(ctx)) for x in kept])
+        c0, tables = np.stack([x[1] for x in kept]).astype(np.int64), np.stack([x[2] for x in kept])
+        if not last:
+            t = t.sum(0)[None]
+            heavy, sums = _heavy(bucket, words, spec, [c0.mean(0)]), [c0.sum() / len(kept), tables[:, seats].sum() / len(kept)]
+            state = (None, None, None)
+        else:
+            heavy = _heavy(bucket, words, spec, [*c0, *tables])
+            sums = [*c0.sum(1).astype(float), *tables[:, seats].sum(1).astype(float)]
+            pair = np.zeros(len(c), np.int64)
+            pair[some] = sum(x[0] for x in kept)
+            state = (_zip(pair), _zip(c0), _zip(tables))
+        out = [(bucket, -1, None, state[0], None, state[1], state[2], heavy, sums)]
+        out += [(*r, None, None, None, None) for r in _sent(bucket, ctx, t.astype(np.int64), np.bincount(ui, weights=c, minlength=len(ctx)).astype(np.int64), spec["buckets"])]
+        return _rows(out, _PASS)
     return run
 
 
-def _predict(spec: dict):
-    """Predictive probabilities of each dish, averaged over the samples."""
-    most = spec["most"]
+_ANSWER = [("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.binary()), ("p", pa.binary())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d0, d1, v1, c_of, total = spec["d0"], spec["d1"], spec["vocabulary"] + 1.0, spec["customers"], spec["totals"]
-        for b in batches:
-            (u, size), (c, _) = _lists(b, "u"), _lists(b, "c")
-            dish = np.repeat(np.arange(len(size)), size)
-            c0, t0 = (_lists(b, k)[0].reshape(-1, SWEEPS) for k in ("c0", "t0"))
-            p0 = (c0 - d0 * t0 + (STRENGTH + d0 * total[:, most]) / v1) / (STRENGTH + total[:, most + 1])
-            p1 = np.zeros(len(u))
-            for s in range(SWEEPS):
-                t = _lists(b, f"own{s}")[0]
-                p1 += (c - d1 * t + (STRENGTH + d1 * total[s, u]) * p0[dish, s]) / (STRENGTH + c_of[u]) / SWEEPS
-            offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
-            yield pa.RecordBatch.from_arrays([b["w"], b["n"], pa.array(np.log10(p0.mean(1))), pa.ListArray.from_arrays(offsets, pa.array(u.astype(np.int32))),
-                                              pa.ListArray.from_arrays(offsets, pa.array(np.log10(p1)))], ["w", "n", "p0", "u", "p"])
+
+def _answers(spec: dict):
+    """To each block that asked: training tokens of each word, and log10 (four
+    bytes, seven digits) of each pair's predictive probability, averaged over the samples."""
+    def run(dish: pa.Table, told: pa.Table) -> pa.Table:
+        bucket, words, ctx, wi, ui, c = _dish(dish)
+        d0, d1, v1 = spec["d0"], spec["d1"], spec["vocabulary"] + 1.0
+        t_of, n_of = _told(told)
+        state = next(r for r in told.select(["to", "t", "c0", "t0"]).to_pylist() if r["to"] < 0)
+        c0, t0 = (_unzip(state[k], np.int64).reshape(SWEEPS, -1).copy() for k in ("c0", "t0"))
+        n = np.bincount(wi, weights=c, minlength=len(words)).astype(np.int64)
+        at = _find(spec["heavy"], words)
+        some = np.flatnonzero(at >= 0)
+        if len(some):
+            n[some], c0[:, some], t0[:, some] = spec["heavy_n"][at[some]], spec["heavy_c0"][:, at[some]], spec["heavy_t0"][:, at[some]]
+        p0 = (c0 - d0 * t0 + (STRENGTH + d0 * spec["totals_t0"][:, None]) / v1) / (STRENGTH + spec["totals_c0"][:, None])
+        mixed = sum((STRENGTH + d1 * t_of[s][ui]) * p0[s][wi] for s in range(SWEEPS)) / SWEEPS
+        p = (c - d1 * _unzip(state["t"], np.int64) / SWEEPS + mixed) / (STRENGTH + n_of[ui])
+        p = np.log10(np.where(ctx[ui] == END, p0.mean(0)[wi], p))
+        sizes, asked = _unzip(dish["sizes"][0].as_py(), np.int64), _unzip(dish["asked"][0].as_py(), np.int32)
+        out = []
+        for block, part in zip(_unzip(dish["blocks"][0].as_py(), np.int64).tolist(), np.split(asked, np.cumsum(sizes)[:-1])):
+            w = wi[part]
+            out.append((block, bucket, _zip(n[w[_cuts(w)[:-1]]]), _zip(p[part].astype(np.float32))))
+        return _rows(out, _ANSWER)
     return run
 
 
@@ -233,42 +366,28 @@ def _discount(n1: float, n2: float) -> float:
 
 
 def _scores(spec: dict):
-    """Scores of the texts of a block from its answers (at, n, p0, u, p)."""
-    n_total, v = spec["tokens"], spec["vocabulary"]
-    new0, gamma, most = spec["new"], spec["gamma"], spec["most"]
-
+    """Scores of the texts of a block from its answers (bucket, n, p)."""
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k, _ in _SCORE}
-        done: set[int] = set()
+        # equal blocks have one key and equal answers
+        got = {r["bucket"]: (r["n"], r["p"]) for r in answers.select(["bucket", "n", "p"]).to_pylist()}
         for k in range(block.num_rows):
             _, words, _, ids, train, lengths, codes = _block(block, k)
-            n = np.zeros(len(words))
-            p0 = np.full(len(words), new0)
-            at = answers["at"].to_numpy().astype(np.int64)
-            known = answers["n"].to_numpy()
-            n[at], p0[at] = known, np.where(known > 0, answers["p0"].to_numpy(), new0)
-            u = answers["u"].combine_chunks()
-            pair = np.repeat(at, u.value_lengths().to_numpy()) * most + u.flatten().to_numpy()
-            p = answers["p"].combine_chunks().flatten().to_numpy()
-            order = np.argsort(pair)
-            pair, p = pair[order], p[order]
-            heads = {int(h): i for i, h in enumerate(spec["heads"].tolist())}
-            head_at = np.fromiter((heads.get(x, -1) for x in words.tolist()), np.int64, len(words))
-            ctx = _pairs(codes, lengths, head_at)
-            lp = p0[codes]
-            some = np.flatnonzero(ctx >= 0)
-            key = codes[some].astype(np.int64) * most + ctx[some]
-            j = np.minimum(np.searchsorted(pair, key), max(len(pair) - 1, 0))
-            hit = pair[j] == key if len(pair) else np.zeros(len(key), bool)
-            lp[some] = np.where(hit, p[j] if len(pair) else 0.0, lp[some] + gamma[ctx[some]])
-            base = np.log10((n + 1) / (n_total + v + 1))[codes]
+            w, _, _, bucket, where = _pairs(words, codes, lengths, train, spec)
+            n, lp = np.zeros(len(words), np.int64), np.zeros(len(w))
+            cut = _cuts(bucket)
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                known, p = got[int(bucket[lo])]
+                n[np.searchsorted(words, w[lo:hi][_cuts(w[lo:hi])[:-1]])] = _unzip(known, np.int64)
+                lp[lo:hi] = _unzip(p, np.float32)
+            base = np.log10((n + 1) / (spec["tokens"] + spec["vocabulary"] + 1))[codes]
             cut = np.cumsum(lengths) - lengths
             out["id"] += ids
             out["train"] += train.tolist()
             out["n_tokens"] += lengths.tolist()
             out["n_known"] += np.add.reduceat((n > 0)[codes].astype(np.int64), cut).tolist()
             out["base_score"] += np.add.reduceat(base, cut).tolist()
-            out["score"] += np.add.reduceat(lp, cut).tolist()
+            out["score"] += np.add.reduceat(lp[where], cut).tolist()
         return pa.table({k: pa.array(out[k], t) for k, t in _SCORE})
     return run
 
@@ -276,10 +395,11 @@ def _scores(spec: dict):
 _SCORE = [("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text: str = "text",
-                most: int = HEADS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text: str = "text", most: int | None = None,
+                block_words: int = BLOCK_WORDS, bucket_tokens: int = BUCKET_TOKENS, share: int = SHARE) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every
-    row of ``docs``; the model is learned from the rows of ``is_train``. ``most``: the bound on contexts."""
+    row of ``docs``; the model is learned from the rows of ``is_train``. Every word
+    is a context; with ``most``, only words of at least one in ``most`` training tokens."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), is_train.alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     path = scratch_path(spark, "lm-blocks")
@@ -297,51 +417,63 @@ def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text:
 
     unigrams = blk.select("words", "counts").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     unigrams = written(spark, unigrams, "lm-unigrams")
-    total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    heads = np.array([r.w for r in unigrams.where((F.col("n") * most >= F.lit(total.n)) & (F.col("w") != int(END.view(np.int64)))).orderBy("w").limit(most).collect()], np.int64).view(np.uint64)
-    asks = blk.mapInArrow(_asks(heads, most), "block long, at int, w long, u array<int>, c array<int>")
-    flat = asks.select("w", F.explode(F.arrays_zip("u", "c")).alias("x")).select("w", "x.u", "x.c").where("c > 0")
-    pairs = flat.groupBy("w", "u").agg(F.sum("c").alias("c"))
-    # a dish has at most most + 1 contexts
-    dishes = pairs.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("u", "c"))).alias("x")).select("w", F.col("x.u").alias("u"), F.col("x.c").alias("c"))
-    dishes = written(spark, dishes, "lm-dishes")
-    stats = dishes.select(F.explode(F.arrays_zip("u", "c")).alias("x")).select("x.u", "x.c").groupBy("u").agg(
-        F.sum("c").alias("c"), F.count("*").alias("t"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()
-    tables, customers = np.zeros(most + 1), np.zeros(most)
-    direct = 0.0
-    for r in stats:
-        if r.u < 0:
-            direct = float(r.c)
-        else:
-            tables[r.u], customers[r.u] = r.t, r.c
-    once = unigrams.agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
-    spec = {"most": most, "tables": tables, "vocabulary": total.v, "tokens": total.n, "pass": 0, "heads": heads,
-            "d0": _discount(once.n1, once.n2), "d1": _discount(sum(r.n1 for r in stats if r.u >= 0), sum(r.n2 for r in stats if r.u >= 0))}
-    tables[most] = total.v
-    spec |= {"customers": customers, "root_customers": direct + tables[:most].sum()}
-    for k in range(1, PASSES):
-        tables = np.zeros(most + 1)
-        for r in dishes.mapInArrow(_gibbs(spec, False), "u int, t double").groupBy("u").agg(F.sum("t").alias("t")).collect():
-            tables[r.u] = r.t
-        spec = spec | {"tables": tables, "root_customers": direct + tables[:most].sum(), "pass": k}
-    samples = written(spark, dishes.mapInArrow(_gibbs(spec, True), _SAMPLE_DDL), "lm-samples")
-    totals = np.zeros((SWEEPS, most + 2))
-    for r in samples.mapInArrow(_sum_samples(most), "s int, u int, t double").groupBy("s", "u").agg(F.sum("t").alias("t")).collect():
-        totals[r.s, r.u] = r.t
-    # what a word gets from its context's parent, and an unknown word from the root
-    gamma = ((STRENGTH + spec["d1"] * totals[:, :most]) / (STRENGTH + customers[:most])).mean(0)
-    new = ((STRENGTH + spec["d0"] * totals[:, most]) / (total.v + 1) / (STRENGTH + totals[:, most + 1])).mean()
-    spec = spec | {"totals": totals, "gamma": np.log10(gamma), "new": float(np.log10(new))}
-    model = samples.mapInArrow(_predict(spec), "w long, n long, p0 double, u array<int>, p array<double>")
-    told = asks.select("block", "at", "w", F.col("u").alias("asked")).join(model, "w", "inner")
-    # only the contexts that the block asked for
-    wanted = F.filter(F.arrays_zip("u", "p"), lambda x: F.array_contains("asked", x["u"]))
-    answers = told.select("block", "at", "n", "p0", wanted.alias("x")).select("block", "at", "n", "p0", F.col("x.u").alias("u"), F.col("x.p").alias("p"))
+    total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
+    heads = None
+    if most is not None:
+        known = unigrams.where((F.col("n") * most >= F.lit(total.n)) & (F.col("w") != int(END.view(np.int64)))).limit(most).collect()
+        heads = np.sort(np.array([r.w for r in known], np.int64).view(np.uint64))
+    # at most one in ``share`` of the tokens' number
+    heavy = sorted((r.w % (1 << 64), r.n) for r in unigrams.where(F.col("n") > share).collect())
+    tokens = blk.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    spec = {"heads": heads, "heavy": np.array([w for w, _ in heavy], np.uint64), "heavy_n": np.array([n for _, n in heavy], np.int64),
+            "shares": np.array([-(-n // share) for _, n in heavy], np.uint64), "buckets": max(1, -(-tokens // bucket_tokens)),
+            "vocabulary": total.v, "tokens": total.n, "d0": _discount(total.n1, total.n2), "pass": 0}
+    asks = blk.mapInArrow(_asks(spec), "block long, bucket int, w binary, k binary, u binary, ui binary, c binary")
+    dishes = written(spark, asks.groupBy("bucket").applyInArrow(_dishes(spec), _DISH_DDL), "lm-dishes")
+    del asks
+    _release(spark)
+    own, sent = dishes.where("to < 0"), dishes.where("to >= 0")
+    sums, shares = _collected(own, 3)
+    direct, tables, n1, n2 = sums if len(sums) else np.zeros(4)
+    spec |= {"d1": _discount(n1, n2), "root_customers": direct + tables, "root_tables": float(total.v)}
+    for k in range(PASSES):
+        own_of = {(int(r[0]), int(r[1])): r[2] for r in shares}
+        first = {j: b for b, j in sorted(own_of, reverse=True)}
+        spec = spec | {"pass": k, "own": own_of, "all": np.bincount(shares[:, 1].astype(np.int64), weights=shares[:, 2], minlength=len(heavy)), "first": first,
+                       "scale": SWEEPS if k else 1}
+        told = sent.select("bucket", "to", "ctx", "t", "n").groupBy("to").applyInArrow(_totals, "bucket int, to int, t binary, n binary")
+        dealt = own.select("bucket", "w", "ctx", "wi", "ui", "c").groupBy("bucket").cogroup(told.groupBy("bucket"))
+        done = written(spark, dealt.applyInArrow(_gibbs(spec, k == PASSES - 1), _PASS_DDL), f"lm-pass-{k}")
+        del told, dealt
+        _release(spark)
+        state, sent = done.where("to < 0"), done.where("to >= 0")
+        sums, shares = _collected(state, 3 if k < PASSES - 1 else 2 + 2 * SWEEPS)
+        if k < PASSES - 1 and len(sums):
+            spec = spec | {"root_customers": sums[0], "root_tables": sums[1]}
+    sums = sums if len(sums) else np.zeros(2 * SWEEPS)
+    c0, t0 = np.zeros((SWEEPS, len(heavy))), np.zeros((SWEEPS, len(heavy)))
+    for r in shares:
+        c0[:, int(r[1])] += r[2:2 + SWEEPS]
+        if spec["first"][int(r[1])] == r[0]:
+            t0[:, int(r[1])] = r[2 + SWEEPS:]
+    spec = spec | {"totals_c0": sums[:SWEEPS], "totals_t0": sums[SWEEPS:], "heavy_c0": c0, "heavy_t0": t0}
+    none = F.lit(None).cast("binary")
+    told = sent.groupBy("to").applyInArrow(_totals, "bucket int, to int, t binary, n binary").select("*", none.alias("c0"), none.alias("t0"))
+    told = told.unionByName(state.select("bucket", "to", "t", "n", "c0", "t0"))
+    answers = own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_answers(spec), "block long, bucket int, n binary, p binary")
     kind = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = blk.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(spec), kind)
+    slim = {k: spec[k] for k in ("heads", "heavy", "shares", "buckets", "tokens", "vocabulary")}
+    scored = blk.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(slim), kind)
     return scored.withColumn("train_tokens", F.lit(total.n).cast("long"))
 
 
+def _collected(state: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets' sums, and the rows of ``width`` figures of the heavy words' shares."""
+    rows = state.select("sums", "heavy").collect()
+    shares = np.frombuffer(b"".join(bytes(r.heavy) for r in rows), np.float64).reshape(-1, width)
+    return np.sum([r.sums for r in rows], 0) if rows else np.zeros(0), shares
+
+
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 7) == 2
     out = score_texts(table(spark, sf_dir, "documents"), ~held_out)

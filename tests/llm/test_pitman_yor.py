@@ -93,6 +93,36 @@ def test_contexts_help(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 500
 
 
+def test_rare_words_are_contexts(spark):
+    """2,000 words, each a small share of the tokens, each with one follower."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"a{j} b{j}" for j in rng.sample(range(2000), 100)), True) for k in range(100)]
+    rows += [(1000 + k, " ".join(f"a{j} b{j}" for j in rng.sample(range(2000), 50)), False) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    out = [r for r in P.score_texts(df, F.col("train")).collect() if not r.train]
+    # a follower costs almost nothing: half of the words are foreseen
+    assert sum(r.score for r in out) > 0.65 * sum(r.base_score for r in out)
+
+
+def test_shares_and_buckets_make_the_same_model(spark):
+    """Dishes dealt into many buckets and shares: probabilities still sum to one,
+    and with all contexts scores are those of one bucket but for sampling."""
+    rng = random.Random(5)
+    words = [*(f"w{k}" for k in range(40)), "unknown"]
+    rows = [(k, " ".join(w for _ in range(30) for w in ("a", rng.choice(words[:-1]))), True) for k in range(30)]
+    rows += [(100 + k, w, False) for k, w in enumerate(words)] + [(200 + k, f"a {w}", False) for k, w in enumerate(words)]
+    rows += [(300, "", False), (301, "a", False), (302, "a a", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    many = {"bucket_tokens": 300, "share": 25, "block_words": 400}
+    s = {r.id: 10 ** r.score for r in P.score_texts(df, F.col("train"), most=3, **many).collect()}
+    root = [s[100 + k] / s[300] for k in range(len(words))]
+    a = 1 - sum(root) - s[300]
+    after = [s[200 + k] / a / s[300] for k in range(len(words))] + [s[301] / a, s[302] / s[301]]
+    assert a > 0.1 and math.isclose(sum(after), 1, rel_tol=1e-4)
+    one, dealt = ({r.id: r.score for r in P.score_texts(df, F.col("train"), **kind).collect()} for kind in ({}, many))
+    assert abs(sum(one.values()) - sum(dealt.values())) < 0.02 * abs(sum(one.values()))
+
+
 def test_block_size_does_not_matter_for_counts(spark):
     rows = [(k, f"a b{k % 3} c " * (k % 5), k % 4 > 0) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
