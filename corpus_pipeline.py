@@ -3,7 +3,8 @@
 written as Parquet in between. All but the last return the columns of documents.
 
 1. language_id: texts that the language models reject leave.
-2. jaccard_join: of each component of near copies the smallest id stays.
+2. jaccard_join: of each component of near copies (Jaccard similarity of 0.8 or
+   more on five-word shingles) the smallest id stays.
 3. decontaminate: documents that hold a benchmark item leave.
 4. secrets: spans are replaced by a mark, n_chars follows the text.
 5. bpe: token ids and what they decode to.
@@ -30,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose id is their component's id stay; rows without an id, too."""
-    parts = setjoin.jaccard_components(docs)
+    parts = setjoin.jaccard_components(docs, k=5, num=4, den=5)
     gone = parts.where("component_id IS NOT NULL AND doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -50,6 +50,20 @@ def test_stages_take_effect(spark, tmp_path):
         assert last[k].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
 
 
+def test_near_copies_of_five_words(spark):
+    """96 words, two changed far apart: 82 of 102 five-word shingles shared
+    (0.804), 88 of 100 of three words (0.88, below op3's threshold)."""
+    words = [f"w{k}" for k in range(96)]
+    near, far = list(words), list(words)
+    for k in (30, 60):
+        near[k] = f"x{k}"
+    for k in (20, 40, 60):
+        far[k] = f"y{k}"
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, " ".join(far), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.jaccard_join(spark, docs, "").collect()) == [1, 3]
+
+
 def test_empty_input(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
