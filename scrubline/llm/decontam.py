@@ -7,12 +7,12 @@ whose names and numbers were exchanged keeps its template.
 
 1. Every benchmark item (of at least ``2 * WINDOW - 1`` words) is indexed by all
    its windows of ``WINDOW`` template tokens that hold at most three placeholders.
-2. Each distinct document text is probed with its non-overlapping windows only:
-   any copy of 2 * WINDOW - 1 words holds one of them whole. The hash join of
-   probes and index gives candidate (text, item) pairs.
+2. Each distinct document text is probed with all its windows, so it does not
+   matter where a passage stands. The hash join of probes and index gives the
+   candidate texts.
 3. Candidate texts are compared at every position. Matches of one item at one
-   offset form an alignment; it counts if a probe hit it, if it covers at least
-   ``COVERAGE`` of the item's windows, and if its slots are consistent: within
+   offset form an alignment; it counts if it covers at least ``COVERAGE`` of the
+   item's windows, and if its slots are consistent: within
    covered words, equal item values stand for equal document values and unequal
    ones for unequal ones.
 
@@ -62,6 +62,14 @@ def _windows(tokens: Column, n: Column) -> Column:
     return F.filter(every, lambda w: w["slots"] <= MOST_SLOTS)
 
 
+def _probes(text: Column, n: int) -> Column:
+    """Hashes of all windows of ``n`` tokens of a template: from each of the first
+    ``n`` tokens on, the windows one behind the other."""
+    block = rf"(?:[^ ]+ ){{{n - 1}}}[^ ]+"
+    rest = lambda k: F.regexp_replace(text, rf"^(?:[^ ]+ ){{{k}}}", "") if k else text
+    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(rest(k), F.lit(block), F.lit(0)), lambda b: F.xxhash64(b)) for k in range(n)]))
+
+
 def _parts(df: DataFrame, text: str, *keep: str) -> DataFrame:
     s = df.select(*keep, spaced(F.col(text)).alias("_s"))
     return s.select(*keep, F.split("_s", " ").alias("words"), F.split(template(F.col("_s")), " ").alias("tokens"))
@@ -80,17 +88,15 @@ def leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
     index = items.select("item_id", F.size("windows").alias("total"), F.explode("windows").alias("w")).select(
         "item_id", "total", F.col("w.pos").alias("ipos"), F.col("w.h").alias("h"))
     hashes = small(index.select("h").distinct(), 1_000_000)
-    block = rf"(?:[^ ]+ ){{{WINDOW - 1}}}[^ ]+"
-    probes = texts.select("_k1", "_k2", F.explode(F.transform(
-        F.regexp_extract_all(template(spaced(F.col("text"))), F.lit(block), F.lit(0)), lambda b: F.xxhash64(b))).alias("h"))
+    probes = texts.select("_k1", "_k2", template(spaced(F.col("text"))).alias("t")).select("_k1", "_k2", F.explode(_probes(F.col("t"), WINDOW)).alias("h"))
     hit = written(texts.sparkSession, probes.join(hashes, "h", "left_semi").select("_k1", "_k2").distinct(), "leak-candidates")
     near = texts.join(small(hit, 100_000), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
     parts = written(texts.sparkSession, _parts(near, "text", "_k1", "_k2"), "leak-texts")
     found = (parts.select("_k1", "_k2", F.explode(_windows(F.col("tokens"), F.size("tokens"))).alias("w"))
              .select("_k1", "_k2", F.col("w.pos").alias("dpos"), F.col("w.h").alias("h")).join(small(index, 1_000_000), "h"))
     aligned = (found.groupBy("_k1", "_k2", "item_id", "total", (F.col("dpos") - F.col("ipos")).alias("shift"))
-               .agg(F.collect_set("ipos").alias("hits"), F.max((F.col("dpos") % WINDOW == 0).cast("int")).alias("probed"))
-               .where((F.col("probed") == 1) & (F.size("hits") >= COVERAGE * F.col("total"))))
+               .agg(F.collect_set("ipos").alias("hits"))
+               .where(F.size("hits") >= COVERAGE * F.col("total")))
     pairs = (aligned.join(parts.select("_k1", "_k2", F.col("words").alias("dwords")), ["_k1", "_k2"])
              .join(items.select("item_id", F.col("words").alias("iwords"), "tokens"), "item_id"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p, p + (WINDOW - 1)))))

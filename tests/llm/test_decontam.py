@@ -34,6 +34,15 @@ def test_every_offset_is_caught(spark):
     assert all(v == [0] for v in got.values())
 
 
+def test_capital_or_changed_word_at_every_offset(spark):
+    item = "What is the capital of the largest european country"
+    got = run(spark, ["w " * k + item + " tail" for k in range(11)], [item])
+    assert all(v == [0] for v in got.values())
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    got = run(spark, ["w " * k + long.replace("iota", "x") + " tail" for k in range(6)], [long])
+    assert all(v == [0] for v in got.values())
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, ITEM, "a"), (None, ITEM, None)], "doc_id long, text string, items string")
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
