@@ -5,8 +5,11 @@ turn into ``<name>``, words that start with a digit into ``<num>``, units behind
 a number into ``<unit>``; everything else is lower-cased. So a benchmark question
 whose names and numbers were exchanged keeps its template.
 
-1. Every benchmark item (of at least ``2 * WINDOW - 1`` words) is indexed by all
-   its windows of ``WINDOW`` template tokens that hold at most three placeholders.
+1. Every benchmark item of at least ``2 * WINDOW - 1`` words is indexed by all
+   its windows of ``WINDOW`` template tokens that hold at most three placeholders;
+   a shorter one by its whole template, and by that with its first word as
+   ``<name>``, if it is capitalised (as it is behind words without a full stop).
+   If more than three fifths of it are placeholders, all its words must be equal.
 2. Each distinct document text is probed with all its windows, so it does not
    matter where a passage stands. The hash join of probes and index gives the
    candidate texts.
@@ -20,8 +23,7 @@ Documents are keyed by two 64-bit hashes of their text, so copies are judged
 once. The benchmark's index and the candidates are broadcast only when counted
 small; texts held by a thousandth of all rows or more are joined by broadcast.
 
-Edge cases: null or empty texts and items match nothing; shorter items take no
-part; repeated rows each get a row; an empty benchmark finds nothing; columns of
+Edge cases: null or empty texts and items match nothing; repeated rows each get a row; an empty benchmark finds nothing; columns of
 ``docs`` named like an output are replaced.
 """
 
@@ -82,7 +84,49 @@ def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     return win.where(F.size("windows") > 0)
 
 
-def leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
+def short_items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, words, tokens, n and h (hashes of whole templates) of the shorter items."""
+    parts = _parts(benchmark, text, item_id).withColumnRenamed(item_id, "item_id").withColumn("n", F.size("tokens"))
+    some = parts.where((F.col("n") < 2 * WINDOW - 1) & (F.array_join("words", "") != ""))
+    named = F.concat(F.array(F.lit(SLOTS[0])), F.slice("tokens", 2, 2 * WINDOW))
+    both = F.when(F.get("words", F.lit(0)).rlike(r"^\p{Lu}\p{Ll}"), F.array("tokens", named)).otherwise(F.array("tokens"))
+    return some.withColumn("h", F.transform(both, lambda t: F.xxhash64(F.array_join(t, " "))))
+
+
+def _value(words: str | Column, p: Column) -> Column:
+    return F.regexp_replace(F.lower(F.get(words, p)), r"[.,;:!?]+$", "")
+
+
+def short_leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(_k1, _k2, item_id): texts that hold a shorter item whole, with consistent slots."""
+    lengths = [r.n for r in items.select("n").distinct().orderBy("n").collect()]
+    keys = items.select("item_id", "n", F.explode("h").alias("h"))
+    if not lengths:
+        return texts.select("_k1", "_k2").limit(0).crossJoin(items.select("item_id").limit(0))
+    hashes = small(keys.select("h").distinct(), 1_000_000)
+    t = texts.select("_k1", "_k2", template(spaced(F.col("text"))).alias("t"))
+    probes = t.select("_k1", "_k2", F.explode(F.flatten(F.array(*[_probes(F.col("t"), n) for n in lengths]))).alias("h"))
+    hit = written(texts.sparkSession, probes.join(hashes, "h", "left_semi").select("_k1", "_k2").distinct(), "short-candidates")
+    near = texts.join(small(hit, 100_000), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    parts = written(texts.sparkSession, _parts(near, "text", "_k1", "_k2"), "short-texts")
+    at = lambda n: F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(0), F.size("tokens") - n), lambda k: F.struct(
+        F.lit(n).alias("n"), k.alias("dpos"), F.xxhash64(F.array_join(F.slice("tokens", k + 1, n), " ")).alias("h"))))
+    none = F.array().cast("array<struct<n:int,dpos:int,h:long>>")
+    places = parts.select("_k1", "_k2", F.explode(F.flatten(F.array(*[F.coalesce(at(n), none) for n in lengths]))).alias("w"), "words")
+    found = places.select("_k1", "_k2", F.col("w.n").alias("n"), F.col("w.h").alias("h"), F.slice("words", F.col("w.dpos") + 1, F.col("w.n")).alias("dwords"))
+    pairs = (found.join(small(keys, 1_000_000), ["n", "h"])
+             .join(small(items.select("item_id", F.col("words").alias("iwords"), "tokens"), 1_000_000), "item_id"))
+    every = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.struct(
+        F.get("tokens", p).isin(*SLOTS).alias("slot"), _value("iwords", p).alias("i"), _value("dwords", p).alias("d")))
+    checked = pairs.select("_k1", "_k2", "item_id", "n", every.alias("all")).withColumn("b", F.array_distinct(F.filter("all", lambda x: x["slot"])))
+    one = lambda f: F.size(F.array_distinct(F.transform("b", lambda x: x[f])))
+    slots = F.size(F.filter("all", lambda x: x["slot"]))
+    # a word that is no slot of the item is equal, also where it is one of the text
+    same = F.forall("all", lambda x: (x["slot"] & (slots * WINDOW <= F.col("n") * MOST_SLOTS)) | (x["i"] == x["d"]))
+    return checked.where((one("i") == F.size("b")) & (one("d") == F.size("b")) & same).select("_k1", "_k2", "item_id").distinct()
+
+
+def leaks(texts: DataFrame, items: DataFrame, short: DataFrame) -> DataFrame:
     """(_k1, _k2, items): distinct texts (_k1, _k2, text) with the ids of the
     benchmark items that they hold."""
     index = items.select("item_id", F.size("windows").alias("total"), F.explode("windows").alias("w")).select(
@@ -101,13 +145,12 @@ def leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
              .join(items.select("item_id", F.col("words").alias("iwords"), "tokens"), "item_id"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     slots = F.filter(covered, lambda p: F.get("tokens", p).isin(*SLOTS))
-    value = lambda words, p: F.regexp_replace(F.lower(F.get(words, p)), r"[.,;:!?]+$", "")
     both = F.array_distinct(F.transform(slots, lambda p: F.struct(
-        value("iwords", p).alias("i"), value("dwords", p + F.col("shift")).alias("d"))))
+        _value("iwords", p).alias("i"), _value("dwords", p + F.col("shift")).alias("d"))))
     checked = pairs.select("_k1", "_k2", "item_id", both.alias("b"))
     one = lambda f: F.size(F.array_distinct(F.transform("b", lambda x: x[f])))
-    return (checked.where((one("i") == F.size("b")) & (one("d") == F.size("b")))
-            .groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
+    long = checked.where((one("i") == F.size("b")) & (one("d") == F.size("b"))).select("_k1", "_k2", "item_id")
+    return long.unionByName(short_leaks(texts, short)).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -115,7 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     kept = [c for c in docs.columns if c not in ("items", "leaked")]
     key = [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k1"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(1)).alias("_k2")]
     keyed = docs.select(*kept, *key)
-    found = leaks(docs.select(*key, F.col(text).alias("text")), items_of(benchmark))
+    found = leaks(docs.select(*key, F.col(text).alias("text")), items_of(benchmark), short_items_of(benchmark))
     # copies of each leaking text, so that one text may be any share of all rows
     copies = keyed.select("_k1", "_k2").join(small(found.select("_k1", "_k2"), 100_000), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.count("*").alias("n"))
     right = written(docs.sparkSession, found.join(copies, ["_k1", "_k2"]), "leaks")

@@ -43,6 +43,13 @@ def test_capital_or_changed_word_at_every_offset(spark):
     assert all(v == [0] for v in got.values())
 
 
+def test_short_items(spark):
+    items = ["What is 12 times 7 plus 5?", "Name the capital of Norway", "12 30 9", "Why not", ""]
+    got = run(spark, [items[0], "and so I ask What is 30 times 8 plus 2? Well", "what is 12 times 12 plus 5?", "a b Name the capital of Peru now",
+                      "a b Clara the capital of Peru now", "1 2 3", "x 12 30 9 y", "So why not", "nothing"], items)
+    assert got == {0: [0], 1: [0], 2: [], 3: [1], 4: [], 5: [], 6: [2], 7: [3], 8: []}
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, ITEM, "a"), (None, ITEM, None)], "doc_id long, text string, items string")
     bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
