@@ -15,7 +15,9 @@ whose names and numbers were exchanged keeps its template.
    candidate texts.
 3. Candidate texts are compared at every position. Matches of one item at one
    offset form an alignment; it counts if it covers at least ``COVERAGE`` of the
-   item's windows, and if its slots are consistent: within
+   item's windows, alone or with those of neighbouring offsets (at most ``SLIP``
+   from one to the next), or if it holds ``RUN`` covered words in a row; and if
+   its slots (those of the run) are consistent: within
    covered words, equal item values stand for equal document values and unequal
    ones for unequal ones.
 
@@ -29,12 +31,14 @@ Edge cases: null or empty texts and items match nothing; repeated rows each get
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small, split_join, table, written
 
 WINDOW, COVERAGE, MOST_SLOTS = 5, 0.5, 3
+#: Words in a row that are a leak whatever the item's length, and how far shifts of one copy may lie apart.
+RUN, SLIP = 13, 2
 #: Units that count as such behind a number.
 UNITS = ("cm", "days", "degrees", "dollars", "euros", "feet", "g", "grams", "hours", "inches", "kg", "km", "liters", "litres", "m", "meters",
          "metres", "miles", "minutes", "mm", "months", "mph", "percent", "pounds", "seconds", "weeks", "yards", "years")
@@ -138,15 +142,31 @@ def leaks(texts: DataFrame, items: DataFrame, short: DataFrame) -> DataFrame:
     parts = written(texts.sparkSession, _parts(near, "text", "_k1", "_k2"), "leak-texts")
     found = (parts.select("_k1", "_k2", F.explode(_windows(F.col("tokens"), F.size("tokens"))).alias("w"))
              .select("_k1", "_k2", F.col("w.pos").alias("dpos"), F.col("w.h").alias("h")).join(small(index, 1_000_000), "h"))
-    aligned = (found.groupBy("_k1", "_k2", "item_id", "total", (F.col("dpos") - F.col("ipos")).alias("shift"))
-               .agg(F.collect_set("ipos").alias("hits"))
-               .where(F.size("hits") >= COVERAGE * F.col("total")))
-    pairs = (aligned.join(parts.select("_k1", "_k2", F.col("words").alias("dwords")), ["_k1", "_k2"])
+    aligned = found.groupBy("_k1", "_k2", "item_id", "total", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.sort_array(F.collect_set("ipos")).alias("hits"))
+    # runs of covered words of one alignment: a hit more than WINDOW behind the last one starts another
+    split = F.filter(F.sequence(F.lit(1), F.size("hits")), lambda k: (k == 1) | (F.get("hits", k - 1) - F.get("hits", k - 2) > WINDOW))
+    last = lambda i: F.coalesce(F.get("split", i + 1), F.size("hits") + 1) - F.get("split", i)
+    runs = F.transform("split", lambda k, i: F.slice("hits", k, last(i)))
+    run_words = lambda r: F.element_at(r, -1) - F.get(r, F.lit(0)) + WINDOW
+    placed = lambda hits, shift: F.transform(hits, lambda p: F.struct(p.alias("p"), shift.alias("shift")))
+    alone = aligned.withColumn("split", split).withColumn("runs", F.filter(runs, lambda r: run_words(r) >= RUN))
+    enough = F.size("hits") >= COVERAGE * F.col("total")
+    either = F.concat(F.when(enough, F.array("hits")).otherwise(F.array().cast("array<array<int>>")), F.col("runs"))
+    cands = alone.select("_k1", "_k2", "item_id", F.explode(either).alias("hits"), "shift").select("_k1", "_k2", "item_id", placed("hits", F.col("shift")).alias("places"))
+    # alignments of neighbouring shifts together, as words put in or left out make them
+    by_shift = Window.partitionBy("_k1", "_k2", "item_id").orderBy("shift")
+    new = F.coalesce(F.col("shift") - F.lag("shift").over(by_shift) > SLIP, F.lit(True)).cast("int")
+    chained = (aligned.withColumn("new", new).withColumn("chain", F.sum("new").over(by_shift)).groupBy("_k1", "_k2", "item_id", "total", "chain")
+               .agg(F.flatten(F.collect_list(placed("hits", F.col("shift")))).alias("places"), F.count("*").alias("shifts"))
+               .where((F.col("shifts") > 1) & (F.size(F.array_distinct(F.col("places.p"))) >= COVERAGE * F.col("total"))))
+    cands = cands.unionByName(chained.select("_k1", "_k2", "item_id", "places"))
+    pairs = (cands.join(parts.select("_k1", "_k2", F.col("words").alias("dwords")), ["_k1", "_k2"])
              .join(items.select("item_id", F.col("words").alias("iwords"), "tokens"), "item_id"))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    slots = F.filter(covered, lambda p: F.get("tokens", p).isin(*SLOTS))
-    both = F.array_distinct(F.transform(slots, lambda p: F.struct(
-        _value("iwords", p).alias("i"), _value("dwords", p + F.col("shift")).alias("d"))))
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda x: F.transform(
+        F.sequence(x["p"], x["p"] + (WINDOW - 1)), lambda p: F.struct(p.alias("p"), x["shift"].alias("shift"))))))
+    slots = F.filter(covered, lambda x: F.get("tokens", x["p"]).isin(*SLOTS))
+    both = F.array_distinct(F.transform(slots, lambda x: F.struct(
+        _value("iwords", x["p"]).alias("i"), _value("dwords", x["p"] + x["shift"]).alias("d"))))
     checked = pairs.select("_k1", "_k2", "item_id", both.alias("b"))
     one = lambda f: F.size(F.array_distinct(F.transform("b", lambda x: x[f])))
     long = checked.where((one("i") == F.size("b")) & (one("d") == F.size("b"))).select("_k1", "_k2", "item_id")

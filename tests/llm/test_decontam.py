@@ -43,6 +43,19 @@ def test_capital_or_changed_word_at_every_offset(spark):
     assert all(v == [0] for v in got.values())
 
 
+def test_long_passage_and_shifted_copy(spark):
+    words = [f"w{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(60)]
+    item = " ".join(words)
+    passage = " ".join(words[15:28])
+    put_in = " ".join([*words[:12], "x", *words[12:24], "y", *words[24:36], "z", *words[36:48]])  # 32 of 56 windows
+    assert len(set(words)) == 60
+    got = run(spark, ["a b " + passage + " c", "a " + " ".join(words[15:27]) + " c", put_in], [item])
+    assert got == {0: [0], 1: [], 2: [0]}
+    half = " ".join(words[:20])  # 16 windows; each side of the added word has 6 and 2 of them
+    got = run(spark, [" ".join([*words[:10], "x", *words[10:16]]), " ".join([*words[:10], "x"])], [half])
+    assert got == {0: [0], 1: []}
+
+
 def test_short_items(spark):
     items = ["What is 12 times 7 plus 5?", "Name the capital of Norway", "12 30 9", "Why not", ""]
     got = run(spark, [items[0], "and so I ask What is 30 times 8 plus 2? Well", "what is 12 times 12 plus 5?", "a b Name the capital of Peru now",
