@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, nearest, pitman_yor, secrets, setjoin, substrings, token_files, toxicity, urls
+from . import bpe, decontam, langid, nearest, pitman_yor, secrets, setjoin, spelling, substrings, token_files, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8_bpe,
     "op9_decontaminate": decontam.op9_decontaminate,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_token_files": token_files.op12_token_files,
 }
 ORACLES: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op5_secrets": secrets.ORACLE,
     "op9_decontaminate": decontam.ORACLE,
     "op10_substring_dedup": substrings.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
 }
