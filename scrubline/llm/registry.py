@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, nearest, pitman_yor, secrets, setjoin, spelling, substrings, token_files, toxicity, urls
+from . import alignment, bpe, decontam, langid, nearest, pitman_yor, secrets, setjoin, spelling, substrings, token_files, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_token_files": token_files.op12_token_files,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op2_nearest": nearest.ORACLE,

@@ -86,15 +86,15 @@ def numbered(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets - offsets[0], coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, rows): at most SLICE_ROWS rows and about SLICE_BYTES, or one longer text."""
+def slices(texts: pa.Array, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows): at most ``rows`` rows and about ``size`` bytes, or one longer text."""
     if not len(texts):
         return
     end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < len(texts):
         before = end[a - 1] if a else 0
-        b = min(max(int(np.searchsorted(end, before + SLICE_BYTES, "right")), a + 1), a + SLICE_ROWS, len(texts))
+        b = min(max(int(np.searchsorted(end, before + size, "right")), a + 1), a + rows, len(texts))
         yield a, texts.slice(a, b - a)
         a = b
 
