@@ -2,11 +2,9 @@
 
 A window without ``partitionBy`` moves every row into one task. Instead rows are
 cut into *blocks*, contiguous ranges of the whole order tuple (order keys, then
-the remaining columns as tie-breakers) of about ``rows_per_block`` rows: Spark's
-range partitioning deals the rows out, the partition number is the block, and
-the result is written once to the shared scratch folder, so that every branch of
-the plan and every recomputed task sees the same blocks. Equal, NULL and text
-keys are split like any others. Then
+the remaining columns as tie-breakers) of about ``rows_per_block`` rows, whose
+boundaries histograms find (``ranges.py``). Equal, NULL and text keys are split
+like any others; a table of a single block is one window a group. Then
 
 1. inside each ``(partition_by..., block)`` window the usual running
    ``last(value, ignorenulls)`` fills what it can;
@@ -29,11 +27,10 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import exprs as X
-from ..session import scratch_path
 from .quantile import settled
+from .ranges import blocks, orderable
 
 ROWS_PER_BLOCK = 1_000_000
 
@@ -44,20 +41,9 @@ def _as_list(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def _with_blocks(df: DataFrame, order: Sequence[str], rows_per_block: int) -> DataFrame:
+def _with_blocks(df: DataFrame, order: Sequence[str] | str, rows_per_block: int) -> DataFrame:
     """``df`` with ``_blk``: contiguous ranges of the order tuple, NULLs first."""
-    spark = df.sparkSession
-    blocks = max(1, -(-df.count() // rows_per_block))
-    dealt = df.repartitionByRange(blocks, *[F.col(o).asc_nulls_first() for o in order])
-    staged = dealt.withColumn("_blk", F.spark_partition_id().cast("long"))
-    path = scratch_path(spark, "fill-blocks")
-    staged.write.parquet(path)
-    return spark.read.schema(staged.schema).parquet(path)
-
-
-def _orderable(dt: T.DataType) -> bool:
-    return isinstance(dt, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType,
-                           T.BooleanType, T.BinaryType))
+    return blocks(df, order, rows_per_block)
 
 
 def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_by,
@@ -75,10 +61,16 @@ def _fill(df: DataFrame, cols: Sequence[str] | str | None, order_by, partition_b
         # ties in the order key are broken by the remaining columns, so a
         # recomputed task fills exactly as the first attempt did
         order = order + [f.name for f in df.schema.fields
-                         if f.name not in order and f.name not in pby and _orderable(f.dataType)]
-    blk = _with_blocks(df, order, rows_per_block)
+                         if f.name not in order and f.name not in pby and orderable(f.dataType)]
     # the value to carry: NaN counts as missing
     vals = {c: F.when(~X.is_missing(F.col(c), X.dtype_of(df, c)), F.col(c)) for c in targets}
+    total = df.count()
+    if total <= rows_per_block:  # a single block: nothing to carry over
+        keys = order if forward else [F.col(o).desc_nulls_last() for o in order]
+        w = Window.partitionBy(*(pby or [F.lit(0)])).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+        filled = {c: F.last(v, ignorenulls=True).over(w).cast(X.dtype_of(df, c)) for c, v in vals.items()}
+        return df.withColumns(filled).select(*keep)
+    blk = blocks(df, order, rows_per_block, total)
     # a single order column orders max_by/min_by directly (fixed-width buffer:
     # hash aggregation); several need a struct (sort-based aggregation)
     okey = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
