@@ -8,6 +8,7 @@ columns are skipped, as in the reference.
 
 from __future__ import annotations
 
+import decimal
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
+from .stats import constant, filled_type
 
 
 def _targets(df: DataFrame, cols: Sequence[str] | str | None, default: Sequence[str]) -> list[str]:
@@ -28,9 +30,11 @@ def _targets(df: DataFrame, cols: Sequence[str] | str | None, default: Sequence[
 def _as_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return c
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
         # a phone held as a float must not turn into "....0" (T12)
-        return c.cast("long").cast("string")
+        return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    if isinstance(dtype, T.DecimalType):
+        return F.when(c % 1 == 0, c.cast(T.DecimalType(38, 0)).cast("string")).otherwise(c.cast("string"))
     return c.cast("string")
 
 
@@ -38,9 +42,12 @@ def _as_text(c: Column, dtype: T.DataType) -> Column:
 
 def phone_e164_expr(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     """US phone to E.164: strip non-digits; 10 digits -> +1…, 11 digits with a
-    leading 1 -> +…; anything else (and NULL) unchanged."""
+    leading 1 -> +…; anything else (and NULL) unchanged. A number is read by its
+    digits if it is whole; one with a fraction or a sign is no phone."""
     s = _as_text(c, dtype)
     d = F.regexp_replace(s, r"\D", "")
+    if isinstance(dtype, T.NumericType):
+        d = F.when(s.rlike(r"^\d+$"), d)
     return (F.when(s.isNull(), s)
             .when(F.length(d) == 10, F.concat(F.lit("+1"), d))
             .when((F.length(d) == 11) & d.startswith("1"), F.concat(F.lit("+"), d))
@@ -68,13 +75,38 @@ def _numeric_columns(df: DataFrame) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name in X.visible_columns(df)]
 
 
+def _bound(value, dt: T.DataType, upper: bool):
+    """``value``, or None where no value of the type can lie beyond it."""
+    if value is None or isinstance(dt, (T.FloatType, T.DoubleType)):
+        return value
+    d = decimal.Decimal(str(value))
+    if d.is_nan():
+        raise TypeError("clamp_range: a bound must not be NaN")
+    if isinstance(dt, T.IntegralType):
+        least, most = -(1 << (8 * _WIDTH[dt.typeName()] - 1)), (1 << (8 * _WIDTH[dt.typeName()] - 1)) - 1
+    else:
+        most = decimal.Decimal((0, (9,) * dt.precision, -dt.scale))
+        least = -most
+    return None if (d >= most if upper else d <= least) else value
+
+
+_WIDTH = {"byte": 1, "short": 2, "integer": 4, "long": 8}
+
+
+def _fits(value, dt: T.DataType) -> bool:
+    return value is None or constant(value, dt)[1] == dt
+
+
 def clamp_range(df: DataFrame, cols: Sequence[str] | str | None = None,
                 min_val: float | None = None, max_val: float | None = None) -> DataFrame:
     """Clip numeric columns to ``[min_val, max_val]`` (either may be None).
 
-    Reversed bounds are swapped; NULL and NaN stay missing (as NULL); integral
-    columns keep their type unless a bound is fractional. A named non-numeric
-    column is an error.
+    Reversed bounds are swapped; NULL and NaN stay missing (as NULL). Values are
+    compared in the column's own type, so none is rounded; a bound that no value
+    of the type lies beyond is no bound. A column keeps its type if it can hold
+    the bounds exactly (a float column takes the nearest float); else it is widened as
+    a fill would (``filled_type``), or TypeError is raised if that cannot hold them
+    either. A named non-numeric column is an error.
     """
     if min_val is None and max_val is None:
         return df
@@ -86,17 +118,18 @@ def clamp_range(df: DataFrame, cols: Sequence[str] | str | None = None,
         dt = X.dtype_of(df, c)
         if not isinstance(dt, T.NumericType):
             raise TypeError(f"clamp_range: column {c!r} is {dt.simpleString()}, not numeric")
-        integral = isinstance(dt, T.IntegralType) and all(
-            b is None or float(b).is_integer() for b in (min_val, max_val))
-        v = F.col(c) if integral else X.nan_to_null(F.col(c).cast("double"))
-        typ = dt if integral else T.DoubleType()
+        lo, hi = _bound(min_val, dt, False), _bound(max_val, dt, True)
+        typ = dt if _fits(lo, dt) and _fits(hi, dt) else filled_type(dt)
+        v = F.col(c).cast(typ)
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            v = X.nan_to_null(v)
         e = v
-        if min_val is not None:
-            e = F.greatest(e, F.lit(min_val).cast(typ))
-        if max_val is not None:
-            e = F.least(e, F.lit(max_val).cast(typ))
+        if lo is not None:
+            e = F.greatest(e, constant(lo, dt)[0].cast(typ))
+        if hi is not None:
+            e = F.least(e, constant(hi, dt)[0].cast(typ))
         # greatest/least skip NULL, so guard: a missing value stays missing
-        out[c] = F.when(v.isNotNull(), e).cast(typ)
+        out[c] = F.when(v.isNotNull(), e)
     return df.withColumns(out) if out else df
 
 
@@ -157,15 +190,19 @@ def abs_negative(df: DataFrame, cols: Sequence[str] | str | None = None) -> Data
 def fill_blank(df: DataFrame, cols: Sequence[str] | str | None = None, value=X.BLANK_FILL) -> DataFrame:
     """NULL or whitespace-only cells become ``value``. No default target:
     an empty column list changes nothing. Text into a numeric column is an
-    error (the type would drift)."""
+    error (the type would drift); a number that the column's type cannot hold
+    widens it exactly, as a constant fill does (``stats.constant``)."""
     t = _targets(df, cols, [])
     out = {}
     for c in t:
         dt = X.dtype_of(df, c)
-        if isinstance(dt, T.NumericType) and not isinstance(value, (int, float)):
-            raise TypeError(f"fill_blank: cannot put text {value!r} into numeric column {c!r}")
-        fill = F.lit(value).cast(dt)
-        out[c] = F.when(X.is_blank(F.col(c), dt), fill).otherwise(F.col(c))
+        if isinstance(dt, T.NumericType):
+            if not isinstance(value, (int, float, decimal.Decimal)):
+                raise TypeError(f"fill_blank: cannot put text {value!r} into numeric column {c!r}")
+            fill, typ = constant(value, dt)
+        else:
+            fill, typ = F.lit(value).cast(dt), dt
+        out[c] = F.when(X.is_blank(F.col(c), dt), fill).otherwise(F.col(c).cast(typ))
     return df.withColumns(out) if out else df
 
 

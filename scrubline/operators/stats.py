@@ -69,7 +69,7 @@ def filled_type(dt: T.DataType) -> T.DataType:
     return dt
 
 
-def _constant(value, dt: T.DataType) -> tuple[Column, T.DataType]:
+def constant(value, dt: T.DataType) -> tuple[Column, T.DataType]:
     """(``value`` as a literal, type of the column that takes it): the column's
     own type if the value fits it exactly, else the type of :func:`filled_type`."""
     if isinstance(dt, T.StringType):
@@ -194,7 +194,7 @@ def impute_missing(df: DataFrame, cols: Sequence[str] | str | None = None, strat
                 continue
             if text and isinstance(dt, T.NumericType):
                 raise TypeError(f"impute_missing: text {value!r} into numeric column {c!r}")
-            lit, wide = _constant(value, dt)
+            lit, wide = constant(value, dt)
             out[c] = F.when(X.is_missing(F.col(c), dt), lit).otherwise(F.col(c).cast(wide))
         return df.withColumns(out) if out else df
 
@@ -296,7 +296,7 @@ def replace_sentinel(df: DataFrame, cols: Sequence[str] | str | None = None, sen
         out = {}
         for c in t:
             dt = X.dtype_of(df, c)
-            lit, wide = _constant(fill_v, dt)
+            lit, wide = constant(fill_v, dt)
             out[c] = F.when(mask(c), lit).otherwise(F.col(c).cast(wide))
         return df.withColumns(out)
 

@@ -9,6 +9,7 @@ same number of places on both sides.
 
 from __future__ import annotations
 
+import decimal
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -538,6 +539,17 @@ def impute_bfill_partitioned(spark, sf):
     return _retail_out(S.impute_missing(_view(spark, sf, "retail"), ["price"], "backward_fill", order_by="row_id", by=["category"]))
 
 
+@register("ffill_blocks_ties", """
+SELECT l_shipdate, l_returnflag, l_linestatus, l_orderkey, l_linenumber,
+ last_value(qty IGNORE NULLS) OVER (ORDER BY l_shipdate, l_returnflag, l_linestatus, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS qty
+FROM (SELECT *, CASE WHEN l_orderkey % 5 < 2 THEN l_quantity END AS qty FROM lineitem)""")
+def ffill_blocks_ties(spark, sf):
+    """W1 over blocks of 20,000 rows: few dates, ties go by the other columns."""
+    df = load(spark, sf, "lineitem").select("l_shipdate", "l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber",
+                                            F.when(F.col("l_orderkey") % 5 < 2, F.col("l_quantity")).alias("qty"))
+    return W.forward_fill(df, ["qty"], order_by="l_shipdate", rows_per_block=20_000)
+
+
 # ===================================================================== dedup C9
 
 _EV = "event_id, ts, user_id, event_type, value, props"
@@ -606,6 +618,54 @@ def email_lower(spark, sf):
     return C.lowercase(_view(spark, sf, "crm"))
 
 
+@register("phone_numeric", """
+WITH t AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 2125550000.0 + c_custkey WHEN 1 THEN 12125550000.0 + c_custkey
+   WHEN 2 THEN 12.5 + c_custkey ELSE 77.0 END::DOUBLE AS d FROM customer)
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '+1' || CAST(CAST(d AS BIGINT) AS VARCHAR) WHEN 1 THEN '+' || CAST(CAST(d AS BIGINT) AS VARCHAR)
+   WHEN 2 THEN CAST(d AS VARCHAR) ELSE '77' END AS as_double,
+ CASE c_custkey % 4 WHEN 0 THEN '+1' || CAST(CAST(d AS BIGINT) AS VARCHAR) WHEN 1 THEN '+' || CAST(CAST(d AS BIGINT) AS VARCHAR)
+   WHEN 2 THEN CAST(CAST(d AS DECIMAL(14,2)) AS VARCHAR) ELSE '77' END AS as_decimal,
+ CASE c_custkey % 4 WHEN 0 THEN '+1' || CAST(CAST(d AS BIGINT) AS VARCHAR) WHEN 1 THEN '+' || CAST(CAST(d AS BIGINT) AS VARCHAR)
+   ELSE CAST(CAST(floor(d) AS BIGINT) AS VARCHAR) END AS as_long FROM t""")
+def phone_numeric(spark, sf):
+    """C1 on numbers: whole ones of 10 or 11 digits are phones, others stay as they are."""
+    k = F.col("c_custkey")
+    d = (F.when(k % 4 == 0, k + F.lit(2125550000.0)).when(k % 4 == 1, k + F.lit(12125550000.0))
+         .when(k % 4 == 2, k + F.lit(12.5)).otherwise(F.lit(77.0)))
+    df = load(spark, sf, "customer").select(k, d.alias("as_double"), d.cast("decimal(14,2)").alias("as_decimal"), F.floor(d).cast("long").alias("as_long"))
+    return C.standardize_phone(df, ["as_double", "as_decimal", "as_long"])
+
+
+@register("clamp_types", """
+WITH t AS (SELECT o_orderkey, 9007199254740993 + CAST(o_orderkey AS BIGINT) AS big, CAST(123456789012345678.91 AS DECIMAL(20,2)) + o_orderkey AS money,
+  CAST(o_orderkey % 100 AS TINYINT) AS tiny, CAST(o_orderkey AS INTEGER) AS whole FROM orders)
+SELECT o_orderkey, CAST(CAST(big AS DECIMAL(28,8)) AS VARCHAR) AS big, CAST(CAST(least(money, 123456789012346000.50) AS DECIMAL(20,2)) AS VARCHAR) AS money,
+ CAST(greatest(tiny, 7) AS INTEGER) AS tiny, greatest(CAST(whole AS DOUBLE), 40.5) AS whole FROM t""")
+def clamp_types(spark, sf):
+    """C3 by type: no digit of a long or a decimal is lost, a bound beyond a
+    tinyint is none, and a bound with a fraction widens an integer."""
+    k = F.col("o_orderkey")
+    df = load(spark, sf, "orders").select(
+        k, (k.cast("long") + F.lit(9007199254740993)).alias("big"), (F.lit("123456789012345678.91").cast("decimal(20,2)") + k).cast("decimal(20,2)").alias("money"),
+        (k % 100).cast("tinyint").alias("tiny"), k.cast("int").alias("whole"))
+    df = C.clamp_range(C.clamp_range(df, ["big"], min_val=0.5), ["money"], max_val=decimal.Decimal("123456789012346000.50"))
+    df = C.clamp_range(C.clamp_range(df, ["tiny"], 7, 1000), ["whole"], min_val=40.5)
+    return df.withColumns({"big": F.col("big").cast("string"), "money": F.col("money").cast("string"), "tiny": F.col("tiny").cast("int")})
+
+
+@register("fill_blank_numeric", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN 2.5 ELSE CAST(l_linenumber AS DOUBLE) END AS whole,
+ CASE WHEN l_orderkey % 5 = 0 THEN '2.50000000' ELSE CAST(CAST(9007199254740993 + l_orderkey AS DECIMAL(28,8)) AS VARCHAR) END AS big,
+ CASE WHEN l_orderkey % 3 = 0 THEN 7 ELSE CAST(l_linenumber AS INTEGER) END AS kept FROM lineitem""")
+def fill_blank_numeric(spark, sf):
+    """C7 with a number: the cell takes exactly that number, the others keep all digits."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    df = load(spark, sf, "lineitem").select(k, n, F.when(k % 7 != 0, n.cast("int")).alias("whole"), F.when(k % 5 != 0, k.cast("long") + F.lit(9007199254740993)).alias("big"),
+                                            F.when(k % 3 != 0, n.cast("int")).alias("kept"))
+    out = C.fill_blank(C.fill_blank(df, ["whole", "big"], 2.5), ["kept"], 7)
+    return out.withColumn("big", F.col("big").cast("string"))
+
+
 @register("age_clamp", FX.cte("crm") + """
 SELECT row_id, customer_id, email, phone,
  CASE WHEN age IS NULL OR isnan(age) THEN NULL ELSE least(greatest(age, 18.0), 100.0) END AS age, signup_date, plan FROM crm""")
