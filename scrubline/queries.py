@@ -541,7 +541,7 @@ def impute_bfill_partitioned(spark, sf):
 
 @register("ffill_blocks_ties", """
 SELECT l_shipdate, l_returnflag, l_linestatus, l_orderkey, l_linenumber,
- last_value(qty IGNORE NULLS) OVER (ORDER BY l_shipdate, l_returnflag, l_linestatus, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS qty
+ last_value(qty IGNORE NULLS) OVER (ORDER BY l_shipdate, l_returnflag, l_linestatus, l_orderkey, l_linenumber, qty NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS qty
 FROM (SELECT *, CASE WHEN l_orderkey % 5 < 2 THEN l_quantity END AS qty FROM lineitem)""")
 def ffill_blocks_ties(spark, sf):
     """W1 over blocks of 20,000 rows: few dates, ties go by the other columns."""
