@@ -33,16 +33,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold, table
+from .wordcache import slices
 
 ORDER = 4
 DOCS_PER_LANG = 1500
 SLACK = 4.0
-#: Characters scored at a time within a batch.
-BLOCK_CHARS = 1 << 20
+#: Characters (of a batch: bytes) scored at a time.
+BLOCK_CHARS = 1 << 18
 UNKNOWN = "und"
 _SPACE = 32
 
@@ -278,18 +280,18 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with lang_pred, score, entropy (nats a character) and rejected."""
-    @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
-    def predict(s: pd.Series) -> pd.DataFrame:
-        texts = list(s)
-        parts, a, size = [], 0, 0
-        for b, t in enumerate(texts):  # texts of about BLOCK_CHARS at a time
-            size += len(t)
-            if size >= BLOCK_CHARS:
-                parts.append(model.predict(texts[a:b + 1]))
-                a, size = b + 1, 0
-        return pd.concat([*parts, model.predict(texts[a:])], ignore_index=True)
-
     names = ["lang_pred", "score", "entropy", "rejected"]
+    kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+
+    @F.arrow_udf("lang_pred string, score double, entropy double, rejected boolean")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in parts:
+            done = []
+            for _, texts in slices(batch, 256, BLOCK_CHARS):
+                found = model.predict(texts.to_pylist())
+                done.append(pa.StructArray.from_arrays([pa.array(found[c], k, from_pandas=True) for c, k in zip(names, kinds)], names))
+            yield pa.concat_arrays(done) if done else pa.array([], pa.struct(list(zip(names, kinds))))
+
     kept = [c for c in df.columns if c not in names]
     scored = df.select(*kept, predict(F.coalesce(F.col(text), F.lit(""))).alias("_p"))
     return scored.select(*kept, *[F.col(f"_p.{c}").alias(c) for c in names])

@@ -36,7 +36,7 @@ def test_stages_take_effect(spark, tmp_path):
     first = left["language_id"]
     assert 10_000 not in first and 10_001 not in first
     assert set(first) >= {r.doc_id for r in some if r.text and any(c.isalpha() for c in r.text)}
-    keep = {i for i, _, c in brute([(k, t) for k, t in first.items()]) if c == i}
+    keep = {i for i, _, c in brute([(k, t) for k, t in first.items()], 5, 4, 5) if c == i}
     assert set(left["jaccard_join"]) == keep and 10_002 not in keep
     assert 10_003 in keep and 10_003 not in left["decontaminate"]
     assert set(left["secrets"]) == set(left["decontaminate"])
