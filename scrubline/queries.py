@@ -1000,6 +1000,20 @@ def quarantine_crm(spark, sf):
     return QR.flag(_view(spark, sf, "crm"), Q.crm_suite()).withColumn("failed", F.array_join(QR.FLAGS, ",")).drop(QR.FLAGS)
 
 
+@register("quarantine_hot_copies", """
+WITH t AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS k, CASE WHEN l_orderkey % 3 = 0 THEN 0.0 ELSE -l_tax END AS v FROM lineitem),
+ n AS (SELECT k, v, row_number() OVER (PARTITION BY k, v) AS copy FROM t)
+SELECT k, abs(v) AS v, count(*) FILTER (WHERE copy > 1) AS flagged, count(*) FILTER (WHERE copy = 1) AS kept FROM n GROUP BY k, v""")
+def quarantine_hot_copies(spark, sf):
+    """R16 where a third of all rows are copies of one: written out in pieces; rows
+    with -0.0 pass as they are."""
+    third = F.col("l_orderkey") % 3 == 0
+    df = load(spark, sf, "lineitem").select(F.when(third, 0).otherwise(F.col("l_orderkey")).alias("k"), F.when(third, 0.0).otherwise(-F.col("l_tax")).alias("v"))
+    flagged = QR.flag(df, Q.Suite("copies", (Q.Weighted(R.duplicates()),), 0.5, 0.9), piece=500)
+    dup = F.size(QR.FLAGS) > 0
+    return flagged.groupBy("k", F.abs("v").alias("v")).agg(F.count_if(dup).alias("flagged"), F.count_if(~dup).alias("kept"))
+
+
 @register("quarantine_split_crm", FX.cte("crm") + f"""
 , n AS (SELECT *, row_number() OVER (PARTITION BY {_CRM_COLUMNS}) > 1 OR coalesce(NOT regexp_matches(phone, '^\\+1\\d{{10}}$'), false)
   OR coalesce(email <> lower(email), false) OR coalesce(age < 18 OR age > 100, false) AS bad FROM crm)
