@@ -153,6 +153,16 @@ def profile_violations(prof: DataFrame) -> DataFrame:
     return prof.where(bad)
 
 
+def schema_violations(prof: DataFrame, schema: T.StructType = PROFILE_SCHEMA) -> DataFrame:
+    """``(field, problem)`` of a report against its output schema: a field that is
+    ``missing``, of another ``type``, or ``unknown`` (expected empty)."""
+    have = {f.name: f.dataType for f in prof.schema.fields}
+    want = {f.name: f.dataType for f in schema.fields}
+    found = [(n, "missing" if n not in have else "type") for n, t in want.items() if n not in have or have[n] != t]
+    found += [(n, "unknown") for n in have if n not in want]
+    return prof.sparkSession.createDataFrame(found, "field string, problem string")
+
+
 def sample_rows(df: DataFrame, order_by: Sequence[str] | str, k: int = SAMPLE_SIZE) -> DataFrame:
     """P5: first ``k`` rows in ``order_by`` order, every cell as text, missing as ``"NULL"``."""
     order = _as_list(order_by)

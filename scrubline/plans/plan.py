@@ -4,31 +4,37 @@ A plan is a list of steps ``{operation, target_columns, params}``. Steps are
 checked against the table's schema before anything runs (G2) and folded into
 one lazy DataFrame (G1), so row-local steps collapse into a single projection.
 
-The ledger (G3, G4) scores the table after every step. Each ledger row is one
-aggregate over that step's output: the suite's rule counts plus ``affected``,
-the number of cells the step changed, counted null-safely against the step's
-input values carried along in one internal struct column (so no join is
-needed to pair old and new rows), in the same aggregate as the rule counts.
-``defects_before`` is a ``lag`` over the small ledger (W4). By default (``checkpoint="auto"``) the output of every step
-that needs statistics or a shuffle is checkpointed to the cluster's checkpoint
-folder, so later steps do not recompute it and a lost executor only reruns the
-work since the last cut; row-local steps stay fused in one projection.
+The ledger (G3, G4) scores the table after every step. Steps run in segments: a
+step that needs statistics or a shuffle begins one, the row-local steps behind it
+belong to it. A segment is written once to the scratch folder, and while it is written each
+of its steps is *observed*: rows, the suite's rule counts, and ``affected``, the cells
+that the step changed, counted null-safely against its input values, which ride along to
+that point only and are not written. Observed aggregates of a segment lie behind its last
+shuffle, in the writing tasks. A copy is removed as soon as the next one is written.
+Only a rule over whole rows (duplicates) takes an aggregate of its own. ``defects_before`` is
+the row before (W4). With ``checkpoint=False`` nothing is written: each
+ledger row is an aggregate over its step's plan.
+
+:func:`append_ledger` adds a ledger to a table that outlives runs, each step of a run once.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
+from ..functions import rules as R
 from ..operators import clean as C
 from ..operators import dedup as D
 from ..operators import stats as S
+from ..session import exists, remove, scratch_path
 from . import suite as Q
 
 # The step names of a cleaning plan.
@@ -200,20 +206,6 @@ def _ledger_row(frame: DataFrame, suite: Q.Suite, idx: int, op: str, cols: str,
 _HEAVY = ("impute_missing", "replace_sentinel", "deduplicate")
 
 
-def _cut(frame: DataFrame, step: Step, checkpoint: bool | str) -> DataFrame:
-    """Cut lineage after a step: always (True), never (False) or after heavy steps ("auto").
-
-    ``checkpoint()`` writes to the cluster's ``spark.checkpoint.dir``, so later
-    ledger rows read the step's output instead of recomputing its statistics,
-    and a lost executor only reruns work since the last cut.
-    """
-    if checkpoint is True or (checkpoint == "auto" and step.operation in _HEAVY):
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(frame.sparkSession)
-        return frame.checkpoint()
-    return frame
-
-
 def _extra_targets(step: Step) -> tuple[str, ...]:
     """Columns that a step changes without naming them as targets."""
     if step.operation == "fix_date_order":
@@ -231,6 +223,89 @@ def _same(new: DataFrame, old: DataFrame, c: str) -> Column:
     return F.col(c).cast("string").eqNullSafe(was.cast("string"))
 
 
+class _Segment:
+    """Steps that are written together, and what is observed of them."""
+
+    def __init__(self, df: DataFrame, suite: Q.Suite):
+        self.suite, self.copy = suite, None
+        self.plain = self.seen = df      # the table so far, without and with observations
+        self.waiting: list = []          # (ledger row, observation)
+
+    def watch(self, entry: dict, frame: DataFrame, affected: Column | None) -> DataFrame:
+        """``frame`` observed as the output of the step of ``entry``."""
+        obs = Observation(f"scrubline_step_{entry['step']}_{uuid.uuid4().hex[:8]}")
+        rules = [w.rule for w in self.suite.rules if w.rule.kind != "duplicates"]
+        counts = [F.count(F.lit(1)).alias("rows"), *[r.count(frame).alias(r.name) for r in rules]]
+        self.waiting.append((entry, obs))
+        return frame.observe(obs, *counts, *([affected.cast("long").alias("affected")] if affected is not None else []))
+
+    def whole_rows(self, entry: dict, frame: DataFrame) -> None:
+        """Counts of the rules over whole rows, by an aggregate."""
+        for w in self.suite.rules:
+            if w.rule.kind == "duplicates":
+                entry["counts"][w.rule.name] = R.duplicate_count(frame, w.rule.subset).first()[0] if w.rule.applicable(frame) else 0
+
+    def written(self) -> None:
+        """Write the segment if it has steps; later ones start from the copy."""
+        if not self.waiting:
+            return
+        spark, schema = self.seen.sparkSession, self.plain.schema
+        path = scratch_path(spark, "ledger")
+        self.seen.write.parquet(path)
+        for entry, obs in self.waiting:
+            got = dict(obs.get)
+            entry["affected"] = got.pop("affected", entry["affected"])
+            entry["counts"].update(got)
+        if self.copy is not None:
+            remove(spark, self.copy)
+        self.copy, self.waiting = path, []
+        self.plain = self.seen = spark.read.schema(schema).parquet(path)
+
+
+def _entry(step: int, operation: str, cols: str, columns, error: str | None = None) -> dict:
+    return {"step": step, "operation": operation, "target_columns": cols, "error": error, "affected": 0, "counts": {}, "columns": list(columns)}
+
+
+def _scored(spark, entries: list[dict], suite: Q.Suite) -> DataFrame:
+    """The ledger from its entries, a row a step."""
+    names = [w.rule.name for w in suite.rules]
+    rows = []
+    for e in entries:
+        counts = {n: int(e["counts"].get(n) or 0) for n in ("rows", *names)}
+        e["rows"], e["defects_after"] = counts["rows"], sum(counts[n] for n in names)
+        one = spark.createDataFrame([counts], ", ".join(f"`{n}` long" for n in ("rows", *names)))
+        rows.append(Q.score_counts(one, suite, e["columns"]).select(
+            F.lit(e["step"]).alias("step"), F.lit(e["operation"]).alias("operation"), F.lit(e["target_columns"]).alias("target_columns"), "rows",
+            F.lit(e["defects_after"]).cast("long").alias("defects_after"), "score", "passed", F.lit(e["error"]).cast("string").alias("error"),
+            F.lit(int(e["affected"])).cast("long").alias("affected")))
+    return _finished(reduce(DataFrame.unionByName, rows))
+
+
+def _finished(led: DataFrame) -> DataFrame:
+    w = Window.orderBy("step")  # the ledger has one row per step: a tiny table
+    led = (led.withColumn("defects_before", F.lag("defects_after").over(w))
+           .withColumn("reduction_pct", Q.reduction_pct(F.first("defects_after").over(
+               w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("defects_after"))))
+    return led.select("step", "operation", "target_columns", "rows", "defects_before", "defects_after",
+                      "score", "passed", "reduction_pct", "affected", "error")
+
+
+def _watched(state: DataFrame, step: Step) -> list[str]:
+    """Columns that a step may change; none of steps that do not change cells."""
+    if step.operation in ("deduplicate", "drop_column", "validate", "export"):
+        return []
+    return [c for c in X.visible_columns(state) if not step.target_columns or c in (*step.target_columns, *_extra_targets(step))]
+
+
+def _with_old(state: DataFrame, watched: Sequence[str]) -> DataFrame:
+    return state.withColumn(X.TAG, F.struct(*[F.col(c) for c in watched])) if watched else state
+
+
+def _changed(new: DataFrame, old: DataFrame, watched: Sequence[str]) -> Column | None:
+    counts = [F.count_if(~_same(new, old, c)) for c in watched if c in new.columns]
+    return reduce(lambda a, b: a + b, counts) if counts else None
+
+
 def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Suite,
            checkpoint: bool | str = "auto") -> tuple[DataFrame, DataFrame]:
     """``(cleaned table, ledger)``.
@@ -239,10 +314,59 @@ def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Su
     defects_after, score, passed, reduction_pct, affected, error``. ``affected``
     is the number of cells a step changed (rows removed for ``deduplicate``,
     columns removed for ``drop_column``). A step that fails its checks is
-    recorded with ``error`` and leaves the table unchanged.
+    recorded with ``error`` and leaves the table unchanged. ``checkpoint``: a segment
+    for each heavy step ("auto"), for each step (True), or no copies (False). The
+    cleaned table reads the last copy; take both within ``session.leased`` to have it
+    removed once they are written elsewhere.
     """
-    rows = [_ledger_row(df, suite, 0, "initial", "", None)]
-    state = df
+    if checkpoint is False:
+        return _ledger_of_plans(df, steps, suite)
+    first = _entry(0, "initial", "", df.columns)
+    first["counts"] = Q.rule_counts(df, suite).first().asDict()
+    entries, seg = [first], _Segment(df, suite)
+    for i, raw in enumerate(steps, start=1):
+        before = entries[-1]
+        try:
+            step = parse_step(raw)
+            check_step(seg.plain.columns, step)
+        except PlanError as exc:
+            op = raw.get("operation", "?") if isinstance(raw, Mapping) else getattr(raw, "operation", "?")
+            entries.append(_unchanged(before, i, str(op), "", str(exc), seg))
+            continue
+        cols = ",".join(step.target_columns)
+        if step.operation in _HEAVY or checkpoint is True:
+            seg.written()  # statistics must not run the observations of steps before
+        old, watched = seg.plain, _watched(seg.plain, step)
+        try:
+            new = apply_step(_with_old(seg.seen, watched), step)  # with its plan-time type checks (e.g. clamp on text)
+            plain = new.drop(X.TAG) if seg.seen is old else apply_step(old, step)
+        except (TypeError, ValueError, KeyError) as exc:
+            entries.append(_unchanged(before, i, step.operation, cols, f"{type(exc).__name__}: {exc}", seg))
+            continue
+        entry = _entry(i, step.operation, cols, plain.columns)
+        if step.operation == "drop_column":
+            entry["affected"] = len([c for c in step.target_columns if c in old.columns])
+        seg.seen = seg.watch(entry, new, _changed(new, old, watched)).drop(X.TAG)
+        seg.plain = plain
+        seg.whole_rows(entry, plain)
+        entries.append(entry)
+    seg.written()
+    for k, e in enumerate(entries):
+        if e.get("same"):
+            e["counts"] = entries[k - 1]["counts"]
+        elif e["operation"] == "deduplicate":
+            e["affected"] = entries[k - 1]["counts"]["rows"] - e["counts"]["rows"]
+    return seg.plain, _scored(df.sparkSession, entries, suite)
+
+
+def _unchanged(before: dict, step: int, operation: str, cols: str, error: str, seg: _Segment) -> dict:
+    """The row of a step that did not run: the counts of the step before."""
+    return _entry(step, operation, cols, seg.plain.columns, error) | {"same": True}
+
+
+def _ledger_of_plans(df: DataFrame, steps, suite: Q.Suite) -> tuple[DataFrame, DataFrame]:
+    """The ledger without copies: each row aggregates its step's own plan."""
+    rows, state = [_ledger_row(df, suite, 0, "initial", "", None)], df
     for i, raw in enumerate(steps, start=1):
         try:
             step = parse_step(raw)
@@ -251,39 +375,43 @@ def ledger(df: DataFrame, steps: Sequence[Step | Mapping[str, Any]], suite: Q.Su
             op = raw.get("operation", "?") if isinstance(raw, Mapping) else getattr(raw, "operation", "?")
             rows.append(_ledger_row(state, suite, i, str(op), "", str(exc)))
             continue
-        cols = ",".join(step.target_columns)
-        counts_cells = step.operation not in ("deduplicate", "drop_column")
-        # old values are only needed of columns that the step may change
-        watched = [c for c in X.visible_columns(state) if not step.target_columns or c in (*step.target_columns, *_extra_targets(step))]
-        given = state.withColumn(X.TAG, F.struct(*[F.col(c) for c in watched])) if counts_cells and watched else state
+        cols, watched = ",".join(step.target_columns), _watched(state, step)
         try:
-            new = apply_step(given, step)  # with its plan-time type checks (e.g. clamp on text)
+            new = apply_step(_with_old(state, watched), step)
         except (TypeError, ValueError, KeyError) as exc:
             rows.append(_ledger_row(state, suite, i, step.operation, cols, f"{type(exc).__name__}: {exc}"))
             continue
-        new = _cut(new, step, checkpoint)
         if step.operation == "deduplicate":
-            # rows removed = previous ledger row's rows - this row's rows (lag below)
             rows.append(_ledger_row(new, suite, i, step.operation, cols, None, kind="rows_removed"))
-        elif step.operation == "drop_column":
-            n = len([c for c in step.target_columns if c in state.columns])
-            rows.append(_ledger_row(new, suite, i, step.operation, cols, None,
-                                    extra=[F.lit(n).cast("long").alias("affected")]))
         else:
-            changed = [F.count_if(~_same(new, state, c)) for c in watched if c in new.columns]
-            affected = reduce(lambda a, b: a + b, changed) if changed else F.lit(0)
-            # the suite counts and the changed-cell count in one aggregate
-            rows.append(_ledger_row(new, suite, i, step.operation, cols, None,
-                                    extra=[affected.cast("long").alias("affected")]))
-            new = new.drop(X.TAG)
-        state = new
+            n = len([c for c in step.target_columns if c in state.columns]) if step.operation == "drop_column" else 0
+            changed = _changed(new, state, watched)
+            extra = (changed if changed is not None else F.lit(n)).cast("long").alias("affected")
+            rows.append(_ledger_row(new, suite, i, step.operation, cols, None, extra=[extra]))
+        state = new.drop(X.TAG)
     led = reduce(DataFrame.unionByName, rows)
-    w = Window.orderBy("step")  # the ledger has one row per step: a tiny table
+    w = Window.orderBy("step")
     led = led.withColumn("affected", F.when(F.col("_affected_kind") == "rows_removed",
                                             F.lag("rows").over(w) - F.col("rows")).otherwise(F.col("affected")))
-    led = (led.withColumn("defects_before", F.lag("defects_after").over(w))
-           .withColumn("reduction_pct", Q.reduction_pct(F.first("defects_after").over(
-               w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("defects_after"))))
-    led = led.select("step", "operation", "target_columns", "rows", "defects_before", "defects_after",
-                     "score", "passed", "reduction_pct", "affected", "error")
-    return state, led
+    return state, _finished(led)
+
+
+def append_ledger(led: DataFrame, path: str, run_id: str) -> int:
+    """Add a ledger to the table at ``path`` under ``run_id``; the number of rows
+    added. Steps that the table has of this run are left out, so a run that is tried
+    again, after an error or twice over, adds no row twice. The first call makes the table."""
+    spark = led.sparkSession
+    rows = led.withColumn("run_id", F.lit(run_id))
+    if exists(spark, path):
+        known = spark.read.schema(rows.schema).parquet(path).where(F.col("run_id") == run_id).select("step")
+        rows = rows.join(known, "step", "left_anti")
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # a row a step: read before the table changes
+    n = rows.count()
+    if n:
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return n
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All runs' ledgers: ``run_id`` and the columns of :func:`ledger`."""
+    return spark.read.parquet(path)

@@ -955,6 +955,118 @@ def ledger_int_column(spark, sf):
     return led.select("step", "operation", "affected", "defects_after", F.col("error").isNotNull().alias("failed"))
 
 
+@register("ledger_runs", _LEDGER_SQL.replace("SELECT step, operation, rows, lag", "SELECT r.run_id, step, operation, rows, lag").replace(
+    "OVER (ORDER BY step)", "OVER (PARTITION BY r.run_id ORDER BY step)") + ", (SELECT unnest(['a', 'b']) AS run_id) r")
+def ledger_runs(spark, sf):
+    """Two runs in one table; run a is written again and adds nothing."""
+    from .session import scratch_path
+    steps = [{"operation": "replace_sentinel", "target_columns": ["price"], "params": {"sentinel": -1}},
+             {"operation": "impute_missing", "target_columns": ["price"], "params": {"strategy": "median"}}]
+    path = scratch_path(spark, "ledger-table")
+    _, led = G.ledger(_view(spark, sf, "retail"), steps, Q.retail_suite())
+    G.append_ledger(led.where("step < 2"), path, "a")  # a run that was cut off
+    for run in ("a", "b", "a"):
+        G.append_ledger(led, path, run)
+    return G.read_ledger(spark, path).select("run_id", "step", "operation", "rows", "defects_before", "defects_after",
+                                             F.round("score", 6).alias("score"), "passed", "reduction_pct", "affected")
+
+
+@register("ledger_segments", FX.cte("crm") + f"""
+, s1 AS (SELECT row_id, customer_id, lower(email) AS email, phone, age, signup_date, plan FROM crm),
+ s2 AS (SELECT row_id, customer_id, email, phone, CASE WHEN age IS NOT NULL THEN greatest(least(age, 100), 18) END AS age, signup_date, plan FROM s1),
+ s3 AS (SELECT DISTINCT * FROM s2),
+ c AS (SELECT 0 AS step, 'initial' AS operation, count(*) AS rows, {_CRM_DUPS.format(t='crm')} AS d,
+   count(*) FILTER (WHERE phone IS NOT NULL AND NOT regexp_matches(phone, '^\\+1\\d{{10}}$')) AS p, count(*) FILTER (WHERE email <> lower(email)) AS e,
+   count(*) FILTER (WHERE age < 18 OR age > 100) AS a, 0 AS affected FROM crm
+  UNION ALL SELECT 1, 'lowercase_email', count(*), {_CRM_DUPS.format(t='s1')}, count(*) FILTER (WHERE phone IS NOT NULL AND NOT regexp_matches(phone, '^\\+1\\d{{10}}$')),
+   0, count(*) FILTER (WHERE age < 18 OR age > 100), (SELECT count(*) FROM crm WHERE email <> lower(email)) FROM s1
+  UNION ALL SELECT 2, 'clamp_range', count(*), {_CRM_DUPS.format(t='s2')}, count(*) FILTER (WHERE phone IS NOT NULL AND NOT regexp_matches(phone, '^\\+1\\d{{10}}$')),
+   0, 0, (SELECT count(*) FROM s1 WHERE age < 18 OR age > 100) FROM s2
+  UNION ALL SELECT 3, 'deduplicate', count(*), 0, count(*) FILTER (WHERE phone IS NOT NULL AND NOT regexp_matches(phone, '^\\+1\\d{{10}}$')),
+   0, 0, (SELECT count(*) FROM s2) - count(*) FROM s3)
+SELECT step, operation, rows, CAST(d + p + e + a AS BIGINT) AS defects_after, CAST(affected AS BIGINT) AS affected FROM c""")
+def ledger_segments(spark, sf):
+    """Two row-local steps observed in one write, then one that shuffles."""
+    steps = [{"operation": "lowercase_email"}, {"operation": "clamp_range", "target_columns": ["age"], "params": {"min_val": 18, "max_val": 100}},
+             {"operation": "deduplicate"}]
+    _, led = G.ledger(_view(spark, sf, "crm"), steps, Q.crm_suite())
+    return led.select("step", "operation", "rows", "defects_after", "affected")
+
+
+@register("export_refused", FX.cte("retail") + """
+SELECT 'refused' AS outcome, false AS there, count(*) AS rows, count(*) FILTER (WHERE price IS NULL OR isnan(price)) AS price_null_count FROM retail""")
+def export_refused(spark, sf):
+    """A gate that fails: the counts of the write that was thrown away, and nothing at the place."""
+    from .session import exists, scratch_path
+    from .sources.io import GateFailed, export
+    suite = Q.retail_suite()
+    strict = Q.Suite("strict", suite.rules, 0.9999, 0.99999, required=suite.required)
+    path, retail = scratch_path(spark, "export-refused"), _view(spark, sf, "retail")
+    try:
+        export(retail, path, suite=strict)
+        outcome = "written"
+    except GateFailed:
+        outcome = "refused"
+    counts = Q.rule_counts(retail, strict).select("rows", "price_null_count")
+    return counts.select(F.lit(outcome).alias("outcome"), F.lit(exists(spark, path)).alias("there"), "rows", "price_null_count")
+
+
+@register("export_manifest", """
+SELECT c_mktsegment, count(*) AS rows, round(sum(c_acctbal), 2) AS balance FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_mktsegment""")
+def export_manifest(spark, sf):
+    """S2 by manifest: a second version takes the place of the first; readers follow the manifest."""
+    from .session import scratch_path
+    from .sources.io import export, read_published
+    df = load(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    path, suite = scratch_path(spark, "export-manifest"), Q.Suite("keys", (Q.Weighted(R.null_values("c_custkey")),), 0.5, 0.9)
+    export(df, path, suite=suite, publish="manifest")
+    export(df.where("c_custkey % 2 = 0"), path, mode="overwrite", suite=suite, publish="manifest")
+    return read_published(spark, path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+def _broken_csv(spark: SparkSession, sf: str) -> str:
+    """customer as CSV text, some records with a word for a number, a field too many or one too few."""
+    from .session import scratch_path
+    k = F.col("c_custkey")
+    good = F.concat_ws(",", k.cast("string"), F.col("c_mktsegment"), F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
+    line = (F.when(k % 10 == 1, F.concat_ws(",", k.cast("string"), F.col("c_mktsegment"), F.lit("n/a"))).when(k % 10 == 2, F.concat(good, F.lit(",more")))
+            .when(k % 10 == 3, F.concat_ws(",", k.cast("string"), F.col("c_mktsegment"))).otherwise(good))
+    path = scratch_path(spark, "broken-csv")
+    load(spark, sf, "customer").select(line.alias("value")).write.text(path)
+    return path
+
+
+@register("read_malformed_csv", """
+SELECT c_custkey, CASE WHEN c_custkey % 10 IN (1, 3) THEN NULL ELSE CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) END AS balance,
+ CASE WHEN c_custkey % 10 IN (1, 2, 3) THEN 'malformed_record'
+   WHEN c_acctbal < 0 THEN 'negative_balance' ELSE '' END AS failed, c_custkey % 10 IN (1, 2, 3) AS has_record
+FROM customer""")
+def read_malformed_csv(spark, sf):
+    """CSV under a declared schema; records that do not fit are flagged and kept as text."""
+    from .sources.io import read_permissive
+    rows = read_permissive(spark, _broken_csv(spark, sf), "c_custkey long, c_mktsegment string, balance decimal(12,2)")
+    negative = F.when((F.size("failed_rules") == 0) & (F.col("balance") < 0), "negative_balance")
+    failed = F.array_compact(F.array_append("failed_rules", negative))
+    return rows.select("c_custkey", F.col("balance").cast("string").alias("balance"), F.array_join(failed, ",").alias("failed"), F.col("record").isNotNull().alias("has_record"))
+
+
+@register("profile_schema_check", """
+SELECT * FROM (VALUES ('spoiled', 'unique_count', 'missing'), ('spoiled', 'null_count', 'type'), ('spoiled', 'note', 'unknown'),
+ ('spoiled', 'l_tax', 'bounds'), ('spoiled', 'l_discount', 'bounds')) AS t(report, field, problem)""")
+def profile_schema_check(spark, sf):
+    """A profile as it is built breaks neither the output schema nor the bounds of
+    its figures; a spoiled one shows where it does."""
+    whole = P.profile(load(spark, sf, "lineitem"), order_by=["l_orderkey", "l_linenumber"])
+    spoiled = (whole.drop("unique_count").withColumn("null_count", F.when(F.col("column") == "l_tax", -1).otherwise(F.col("null_count")).cast("int"))
+               .withColumn("null_pct", F.when(F.col("column") == "l_discount", 150.0).otherwise(F.col("null_pct"))).withColumn("note", F.lit("x")))
+    out = []
+    for name, prof in (("as built", whole), ("spoiled", spoiled)):
+        bounds = P.profile_violations(prof.withColumn("unique_count", F.lit(0)) if "unique_count" not in prof.columns else prof)
+        out += [P.schema_violations(prof).select(F.lit(name).alias("report"), "field", "problem"),
+                bounds.select(F.lit(name).alias("report"), F.col("column").alias("field"), F.lit("bounds").alias("problem"))]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @register("export_gated", FX.cte("retail") + """
 , m1 AS (SELECT median(price) AS v FROM retail WHERE price <> -1 AND NOT isnan(price)),
  s1 AS (SELECT row_id, transaction_id, category, quantity,

@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -65,7 +68,57 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext._scrubline_shipped = True
 
 
+_LEASE: ContextVar[list | None] = ContextVar("scrubline_lease", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder (never machine-local on a cluster)."""
+    """A fresh path under the shared checkpoint folder (never machine-local on a
+    cluster). Within :func:`leased` it belongs to that lease."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/scrubline/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/scrubline/{name}-{uuid.uuid4().hex[:12]}"
+    held = _LEASE.get()
+    if held is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def leased(spark: SparkSession) -> Iterator[list]:
+    """Scratch folders taken inside are removed at the end, also after an error.
+    Results that still read them must be written before. Leases nest: an inner one
+    removes its own folders only."""
+    held: list[str] = []
+    token = _LEASE.set(held)
+    try:
+        yield held
+    finally:
+        _LEASE.reset(token)
+        for path in held:
+            remove(spark, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop file system of a path, the path): the store that Spark itself reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder of the same store; the target must not be there yet."""
+    fs, at = _file_system(spark, source)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    if to.getParent() is not None:
+        fs.mkdirs(to.getParent())
+    if fs.exists(to) or not fs.rename(at, to):
+        raise FileExistsError(f"cannot move {source} to {target}")
