@@ -10,6 +10,7 @@ row per group - nothing is collected to the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -168,6 +169,46 @@ def score_counts(counts: DataFrame, suite: Suite, columns: Sequence[str]) -> Dat
             .withColumn("excellent", F.col("score") >= F.lit(suite.excellent_threshold)))
 
 
+def score_groupings(df: DataFrame, suite: Suite, groupings: Sequence[Sequence[str]]) -> DataFrame:
+    """Counts, score and gates for several groupings in one pass: a row for each group
+    of each, say by batch, by day and source, and () for the total.
+
+    ``grouping`` names a row's grouping columns (comma-joined, '' for the total); columns
+    that it does not group by are NULL. One scan, and one aggregate over grouping
+    sets that each task combines before the shuffle. With a rule of duplicate rows the rows are
+    first counted by their values, as each whole row lies in one group of every
+    grouping; a rule of duplicates on some columns raises ValueError (rows that share them
+    may lie in different groups)."""
+    names = list(dict.fromkeys(c for g in groupings for c in g))
+    unknown = [c for c in names if c not in df.columns]
+    clash = sorted({"rows", "grouping", "total_defects", "score", *suite.rule_names} & set(names))
+    if unknown or clash or not groupings:
+        raise ValueError(f"groupings need columns of the table that are not named like a result: {unknown + clash}")
+    dups = _dup_rules(suite)
+    if any(r.subset is not None for r in dups):
+        raise ValueError("score_groupings: duplicates on some columns cannot be counted within several groupings")
+    # copies of the grouping columns: those of the rows are needed whole by the rules
+    keys = {c: f"__scrubline_by_{k}" for k, c in enumerate(names)}
+    whole = any(r.applicable(df) for r in dups)
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__scrubline_n")) if whole else df.withColumn("__scrubline_n", F.lit(1).cast("long"))
+    n = F.col("__scrubline_n")
+    aggs = [F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("rows")]
+    for r in _scalar_rules(suite):
+        terms = [F.coalesce(F.sum(F.when(p, n)), F.lit(0)) for p in r.predicates(df)]
+        aggs.append(sum(terms[1:], terms[0] if terms else F.lit(0)).cast("long").alias(r.name))
+    aggs += [(F.coalesce(F.sum(n - 1), F.lit(0)) if r.applicable(df) else F.lit(0)).cast("long").alias(r.name) for r in dups]
+    copied = rows.withColumns({k: F.col(c) for c, k in keys.items()})
+    sets = [[F.col(keys[c]) for c in g] for g in groupings]
+    label = F.lit("")
+    for g in reversed(list(groupings)):
+        here = [F.grouping(k) == (0 if c in g else 1) for c, k in keys.items()]
+        label = F.when(reduce(lambda a, b: a & b, here), F.lit(",".join(g))).otherwise(label) if here else label
+    counts = copied.groupingSets(sets, *[F.col(k) for k in keys.values()]).agg(*aggs, label.alias("grouping")) if keys else copied.agg(*aggs, label.alias("grouping"))
+    total = sum((F.col(w.rule.name) for w in suite.rules), F.lit(0)).cast("long")
+    scored = score_counts(counts.withColumn("total_defects", total), suite, df.columns)
+    return scored.select("grouping", *[F.col(k).alias(c) for c, k in keys.items()], *[c for c in scored.columns if c != "grouping" and c not in keys.values()])
+
+
 def validate(df: DataFrame, suite: Suite) -> DataFrame:
     """Q7: score a table without changing it."""
     return score(df, suite).select("score", "passed", "excellent")

@@ -1207,6 +1207,85 @@ def stream_impute_static(spark, sf):
     return ST.impute_from_static(spark, sf)
 
 
+@register("stream_closed_windows", """
+WITH e AS (SELECT *, least(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events)::DOUBLE * 4), 3) AS part FROM events),
+ w AS (SELECT * FROM e WHERE NOT (part = 0 AND event_id % 97 = 0))
+SELECT 'closed' AS kind, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS rows, count(*) FILTER (WHERE value IS NULL OR isnan(value)) AS value_null,
+ count(*) FILTER (WHERE value < 0) AS value_negative, count(*) FILTER (WHERE event_type = 'error') AS error_events
+FROM w WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 2
+UNION ALL SELECT 'late', NULL, count(*), NULL, NULL, NULL FROM e WHERE part = 0 AND event_id % 97 = 0""")
+def stream_closed_windows(spark, sf):
+    """ST3 in append mode: four arrivals, each read by a query started anew; late events are counted."""
+    return ST.rules_of_closed_windows(spark, sf)
+
+
+@register("stream_impute_versions", """
+WITH e AS (SELECT *, CASE WHEN (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events)::DOUBLE * 2 >= 1 THEN 2 ELSE 1 END AS version FROM events),
+ m AS (SELECT v.version, user_id, avg(value) AS v FROM e JOIN (SELECT unnest([1, 2]) AS version) v ON e.version <= v.version WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL)
+SELECT event_id, e.user_id, event_type, round(CASE WHEN event_type = 'error' THEN m.v ELSE value END + 1e-9, 6) AS value, CAST(e.version AS INTEGER) AS version
+FROM e LEFT JOIN m ON e.user_id = m.user_id AND e.version = m.version""")
+def stream_impute_versions(spark, sf):
+    """ST4: two micro-batches, each filled from the version of the statistics that was newest then."""
+    # means of few values may end in a 5: moved off the edge before rounding
+    return ST.impute_from_versions(spark, sf).withColumn("value", F.round(F.col("value") + 1e-9, 6))
+
+
+@register("score_groupings", FX.cte("retail") + f"""
+, r AS (SELECT *, CAST(timestamp AS DATE) AS day FROM retail),
+ c AS (SELECT category, day, grouping(category) AS gc, grouping(day) AS gd, {_RETAIL_COUNTS} FROM r GROUP BY GROUPING SETS ((category), (day), (category, day), ()))
+SELECT CASE WHEN gc = 0 AND gd = 0 THEN 'category,day' WHEN gc = 0 THEN 'category' WHEN gd = 0 THEN 'day' ELSE '' END AS grouping, category, day, rows,
+ price_null_count, sentinel_count, price_below_zero, CAST(price_null_count + sentinel_count + price_below_zero AS BIGINT) AS total_defects,
+ round({_clip('0.5 * (1.0 - price_null_count / greatest(rows, 1)) + 0.3 * (1.0 - sentinel_count / greatest(rows, 1)) + 0.2 * (1.0 - price_below_zero / greatest(rows, 1))')}, 6) AS score
+FROM c""")
+def score_groupings(spark, sf):
+    """Scores by category, by day, by both and in total from one pass."""
+    retail = _view(spark, sf, "retail").withColumn("day", F.col("timestamp").cast("date"))
+    out = Q.score_groupings(retail, Q.retail_suite(), [["category"], ["day"], ["category", "day"], []])
+    return out.select("grouping", "category", "day", "rows", "price_null_count", "sentinel_count", "price_below_zero", "total_defects", F.round("score", 6).alias("score"))
+
+
+@register("score_groupings_duplicates", FX.cte("crm") + f"""
+, n AS (SELECT {_CRM_COLUMNS}, row_number() OVER (PARTITION BY {_CRM_COLUMNS}) AS copy FROM crm)
+SELECT CASE WHEN grouping(plan) = 0 THEN 'plan' ELSE '' END AS grouping, plan, count(*) AS rows, count(*) FILTER (WHERE copy > 1) AS duplicate_count,
+ count(*) FILTER (WHERE email <> lower(email)) AS email_case_errors FROM n GROUP BY GROUPING SETS ((plan), ())""")
+def score_groupings_duplicates(spark, sf):
+    """R14/Q8 with a rule over whole rows: duplicates by plan and in total."""
+    out = Q.score_groupings(_view(spark, sf, "crm"), Q.crm_suite(), [["plan"], []])
+    return out.select("grouping", "plan", "rows", "duplicate_count", "email_case_errors")
+
+
+@register("profile_state_merged", """
+SELECT 'o_orderkey' AS name, count(*) AS rows, 0::BIGINT AS bad, true AS close FROM orders
+UNION ALL SELECT 'o_custkey', count(*), 0, true FROM orders
+UNION ALL SELECT 'o_totalprice', count(*), count(*) FILTER (WHERE o_orderkey % 9 = 0), true FROM orders
+UNION ALL SELECT 'price_null', count(*), count(*) FILTER (WHERE o_orderkey % 9 = 0), true FROM orders""")
+def profile_state_merged(spark, sf):
+    """P3, C10a, Q8 from stored state: three batches appended, one of them twice. Counts are
+    exact; distinct values and medians lie within the stated error of a full pass."""
+    from .operators import state as SS
+    from .session import scratch_path
+    df = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+    suite = Q.Suite("price", (Q.Weighted(R.null_values("o_totalprice", "price_null")),), 0.5, 0.9)
+    path = scratch_path(spark, "profile-state")
+    for k in (0, 1, 1, 2):
+        SS.append_state(SS.batch_state(df.where(F.pmod("o_custkey", F.lit(3)) == k), f"batch {k}", suite), path)
+    state = SS.read_state(spark, path)
+    exact = P.profile(df).select(F.col("column"), F.col("unique_count").alias("_u"))
+    cells = _stacked_ranks(df, SS.merged_profile(state))
+    merged = SS.merged_profile(state).join(exact, "column").join(cells, "column")
+    close = (F.abs(F.col("unique_count") - F.col("_u")) <= 0.06 * F.col("_u") + 1) & (F.abs(F.col("_rank") - 0.5) <= 0.03)
+    columns = merged.select(F.col("column").alias("name"), "rows", F.col("null_count").alias("bad"), close.alias("close"))
+    rules = SS.merged_counts(state).select(F.col("rule").alias("name"), "rows", F.col("violations").alias("bad"), F.lit(True).alias("close"))
+    return columns.unionByName(rules)
+
+
+def _stacked_ranks(df: DataFrame, merged: DataFrame) -> DataFrame:
+    """Share of each column's values that are at most its merged median."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in df.columns])).alias("s")).select("s.*")
+    return (cells.where("v IS NOT NULL").join(F.broadcast(merged.select("column", "median")), "column")
+            .groupBy("column").agg((F.count_if(F.col("v") <= F.col("median")) / F.count(F.lit(1))).alias("_rank")))
+
+
 def all_queries() -> dict[str, Query]:
     return dict(QUERIES)
 
