@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 
 
-# Out-of-range ages and malformed codes of the dirty fixtures.
-AGE_OUTLIERS = (-5, 0, 8, 130, 150, 200)
-BAD_CODES = ("a011", "c34", "D5000", "e119", " f321 ")
+#: Defaults: ages on both sides of 18..100, and codes that are lower case, too short,
+#: without their dot or padded.
+AGE_OUTLIERS = (-12, 3, 17, 101, 118, 240)
+BAD_CODES = ("k522", "m5", "R1070", "z011", " g403 ")
 
 
 def _hit(key: str, mod: int, rem: int) -> Column:
@@ -208,9 +209,9 @@ WITH b AS (SELECT o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS
  d AS (SELECT k, start_date,
    CASE WHEN k % 23 = 7 THEN CAST(CAST(start_date AS DATE) - 1 AS VARCHAR) ELSE end_date END AS end_date, code, age FROM s),
  c AS (SELECT k, start_date, end_date,
-   CASE WHEN k % 8 = 1 THEN CASE k % 5 WHEN 0 THEN 'a011' WHEN 1 THEN 'c34' WHEN 2 THEN 'D5000' WHEN 3 THEN 'e119' ELSE ' f321 ' END
+   CASE WHEN k % 8 = 1 THEN CASE k % 5 WHEN 0 THEN 'k522' WHEN 1 THEN 'm5' WHEN 2 THEN 'R1070' WHEN 3 THEN 'z011' ELSE ' g403 ' END
         ELSE code END AS code,
-   CASE WHEN k % 17 = 0 THEN CASE k % 6 WHEN 0 THEN -5 WHEN 1 THEN 0 WHEN 2 THEN 8 WHEN 3 THEN 130 WHEN 4 THEN 150 ELSE 200 END
+   CASE WHEN k % 17 = 0 THEN CASE k % 6 WHEN 0 THEN -12 WHEN 1 THEN 3 WHEN 2 THEN 17 WHEN 3 THEN 101 WHEN 4 THEN 118 ELSE 240 END
         ELSE age END AS age FROM d)
 SELECT count(*) AS rows,
  count(*) FILTER (WHERE CAST(start_date AS DATE) > CAST(end_date AS DATE)) AS date_order_violations,

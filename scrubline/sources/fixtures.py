@@ -41,7 +41,7 @@ WITH b AS (SELECT c_custkey AS k, c_nationkey AS n, lower(c_mktsegment) AS seg,
         WHEN k % 6 = 3 THEN a || p || l
         WHEN k % 6 = 4 THEN '1' || a || p || l
         ELSE '+44 20 7946 0958' END AS phone,
-   CAST(CASE WHEN k % 17 = 0 THEN CASE k % 6 WHEN 0 THEN -5 WHEN 1 THEN 0 WHEN 2 THEN 8 WHEN 3 THEN 130 WHEN 4 THEN 150 ELSE 200 END
+   CAST(CASE WHEN k % 17 = 0 THEN CASE k % 6 WHEN 0 THEN -12 WHEN 1 THEN 3 WHEN 2 THEN 17 WHEN 3 THEN 101 WHEN 4 THEN 118 ELSE 240 END
         ELSE 18 + k % 62 END AS DOUBLE) AS age,
    CAST(DATE '2020-01-01' + CAST((k * 37) % 1460 AS INT) AS STRING) AS signup_date,
    CASE k % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'basic' WHEN 2 THEN 'pro' ELSE 'enterprise' END AS plan FROM b)
@@ -60,7 +60,7 @@ SELECT k AS row_id,
  CAST(CASE WHEN k % 25 = 7 THEN adm + CAST(-1 AS INT) ELSE a0 + CAST(1 + k % 14 AS INT) END AS STRING) AS discharge_date,
  CASE WHEN k % 37 = 4 THEN CAST(NULL AS STRING) WHEN k % 41 = 6 THEN '   '
       ELSE CASE k % 4 WHEN 0 THEN 'Pneumonia' WHEN 1 THEN 'Sepsis' WHEN 2 THEN 'Stroke' ELSE 'COPD' END END AS diagnosis,
- CASE WHEN k % 8 = 1 THEN CASE k % 10 WHEN 1 THEN 'a011' WHEN 3 THEN 'c34' WHEN 5 THEN 'D5000' WHEN 7 THEN 'e119' ELSE ' f321 ' END
+ CASE WHEN k % 8 = 1 THEN CASE k % 10 WHEN 1 THEN 'k522' WHEN 3 THEN 'm5' WHEN 5 THEN 'R1070' WHEN 7 THEN 'z011' ELSE ' g403 ' END
       ELSE CASE k % 5 WHEN 0 THEN 'A01.1' WHEN 1 THEN 'B02.0' WHEN 2 THEN 'C34.1' WHEN 3 THEN 'D50.0' ELSE 'E11.9' END END AS icd10_code,
  CASE WHEN k % 12 = 5 THEN -(amt / 1000) ELSE amt / 1000 END AS dosage_mg,
  CASE k % 3 WHEN 0 THEN 'ICU' WHEN 1 THEN 'General' ELSE 'Surgery' END AS ward
