@@ -39,11 +39,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 #: Words whose ids are kept by a worker; the cache starts anew beyond it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Texts are normalised in slices of about this many characters, cut at white space.
 SLICE_CHARS = 1 << 16
 
@@ -316,22 +317,24 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     return df.withColumn(out, text(F.coalesce(F.col(ids), F.lit(b""))))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
-    """encode() and decode() in one Python worker: both columns in one pass."""
-    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", keep_text: bool = True) -> DataFrame:
+    """encode() and decode() in one Python worker: both columns in one pass. Rows
+    leave in batches of a few, so that what they grow to is never held for a whole
+    Arrow batch. ``keep_text=False`` leaves the text itself behind."""
+    kept = [c for c in df.columns if c not in (ids, decoded) and (keep_text or c != text)]
+    given = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    out = T.StructType([*given.schema.fields[:-1], T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
 
-    @F.arrow_udf("ids binary, decoded string")
-    def both(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                cut = batch.slice(k, 256)
+                packed = [enc.encode(t) for t in cut.column(len(kept)).to_pylist()]
+                back = [decode_ids(enc.bpe, b) for b in packed]
+                yield pa.RecordBatch.from_arrays([*cut.columns[:-1], pa.array(packed, pa.binary()), pa.array(back, pa.string())], out.names)
 
-        def rows(texts: list[str]) -> list[dict]:
-            done = map(enc.encode, texts)
-            return [{"ids": b, "decoded": decode_ids(enc.bpe, b)} for b in done]
-        yield from _in_slices(parts, rows, kind)
-
-    kept = [c for c in df.columns if c not in (ids, decoded)]
-    done = df.select(*kept, both(F.coalesce(F.col(text), F.lit(""))).alias("_both"))
-    return done.select(*kept, F.col("_both.ids").alias(ids), F.col("_both.decoded").alias(decoded))
+    return given.mapInArrow(both, out)
 
 
 def default_path() -> str:
@@ -341,7 +344,7 @@ def default_path() -> str:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of each row."""
-    both = round_trip(docs.select("doc_id", "text"), path)
+    both = round_trip(docs.select("doc_id", "text"), path, keep_text=False)
     return both.select(
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
