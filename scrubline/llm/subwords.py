@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 from collections.abc import Callable
 
 import numpy as np
