@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, trim
 
 #: Words whose ids are kept by a worker; the cache starts anew beyond it.
 CACHE_WORDS = 300_000
@@ -284,8 +284,10 @@ def load(path: str) -> Bpe:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(load(path))
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    made = Encoder(load(path), cache_words)
+    trim()  # what reading the file has left
+    return made
 
 
 def _in_slices(parts: Iterator[pa.Array], f: Callable[[list], list], kind: pa.DataType, size: int = 256) -> Iterator[pa.Array]:
@@ -317,16 +319,18 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     return df.withColumn(out, text(F.coalesce(F.col(ids), F.lit(b""))))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", keep_text: bool = True) -> DataFrame:
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", keep_text: bool = True,
+               cache_words: int = CACHE_WORDS) -> DataFrame:
     """encode() and decode() in one Python worker: both columns in one pass. Rows
     leave in batches of a few, so that what they grow to is never held for a whole
-    Arrow batch. ``keep_text=False`` leaves the text itself behind."""
+    Arrow batch. ``keep_text=False`` leaves the text itself behind; a worker
+    keeps the ids of ``cache_words`` words."""
     kept = [c for c in df.columns if c not in (ids, decoded) and (keep_text or c != text)]
     given = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     out = T.StructType([*given.schema.fields[:-1], T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, cache_words)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 cut = batch.slice(k, 256)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +32,46 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting by which an execution's shuffle files go when it ends, and the rows of an Arrow batch.
+TIDY, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: later
-    jobs, and tasks retried after a lost executor, all see the same rows."""
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    jobs, and tasks retried after a lost executor, all see the same rows. The
+    write's shuffle files go with it. ``batch``: rows of an Arrow batch at most,
+    for Python functions over wide rows."""
+    return written_at(spark, df, scratch_path(spark, name), batch)
+
+
+def written_at(spark: SparkSession, df: DataFrame, path: str, batch: int | None = None) -> DataFrame:
+    """``written`` to a given path, for callers that remove it themselves."""
+    with _settings(spark, {TIDY: "true"} | ({BATCH: str(batch)} if batch else {})):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Hand a Python worker's free memory back to the system: workers live on
+    for later stages, and the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
 def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """``df`` marked for broadcast if a count finds at most ``max_rows`` rows in
     it; otherwise as it is, for a shuffled join."""

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, table
+from .common import bounded_sample, fold, table, trim
 from .wordcache import slices
 
 ORDER = 4
@@ -291,6 +291,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 found = model.predict(texts.to_pylist())
                 done.append(pa.StructArray.from_arrays([pa.array(found[c], k, from_pandas=True) for c, k in zip(names, kinds)], names))
             yield pa.concat_arrays(done) if done else pa.array([], pa.struct(list(zip(names, kinds))))
+        trim()
 
     kept = [c for c in df.columns if c not in names]
     scored = df.select(*kept, predict(F.coalesce(F.col(text), F.lit(""))).alias("_p"))

@@ -2,11 +2,13 @@ import hashlib
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from scrubline.llm import secrets
+from scrubline.llm.common import written
 from test_decontam import ITEM
 from test_setjoin import brute
 
@@ -69,3 +71,13 @@ def test_empty_input(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_written_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+    df = spark.range(0, 100, 1, 2).mapInArrow(sizes, "n long")
+    got = [r.n for r in written(spark, df, "batches", 7).collect()]
+    assert sum(got) == 100 and max(got) == 7
+    assert max(r.n for r in df.collect()) == 50
