@@ -18,9 +18,11 @@ the overlap are skipped whole.
 
 Set relations. Links only matter up to components, so a set that is linked to a
 list's pivot takes over the pivot's answers: in a few rounds each node is
-compared with one pivot of its lists (linear in the lists' length), components
-are contracted, and in the end only pairs of different components that still
-pass are compared, each at the first shingle that it shares. Each set carries a
+compared with one pivot of its lists (linear in the lists' length) and components
+are contracted. Pairs of different components that still pass are then compared
+by blocks: first each entry's nearest only, contracted again while links are
+found, so that a group of near copies costs links in proportion to its entries,
+and in the end all that remain, each at the first shingle that it shares. Each set carries a
 parity sketch: bit b is the parity of its shingles that hash to b. The bits in
 which two sketches differ never exceed the sets' symmetric difference; pairs
 beyond the allowed difference are skipped, and what remains is verified on the
@@ -45,11 +47,13 @@ from pyspark.sql import types as T
 
 from . import packed as PK
 from . import words as W
-from .common import split_join, table, written
+from .common import split_join, table, trim, written
 from .components import components
 
 PARITY_BITS, CHUNK_BYTES, BUCKET_SHINGLES = 1024, 4 << 20, 1_000_000
-BLOCK, STAR_ROUNDS = 64, 5
+BLOCK, STAR_ROUNDS, NEAREST_ROUNDS = 64, 5, 4
+#: Rows of an Arrow batch where a row holds whole sets, or two blocks of lists.
+SET_ROWS, BLOCK_ROWS = 512, 16
 
 
 def _counts(k: int, buckets: int):
@@ -61,7 +65,10 @@ def _counts(k: int, buckets: int):
         for part in docs["text"].chunks:
             parts += [PK.keys(np.unique(W.shingles(h, k)), buckets) for h in W.hashed(part, True)]
         all_keys, c = np.concatenate(parts), key[0].as_py()
+        del parts
         rows = [(b, c, low.tobytes(), n.tobytes() if n.max() > 1 else b"") for b, _, low, n in PK.cells(np.full(len(all_keys), c), all_keys)]
+        del all_keys
+        trim()
         return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names)
 
     return run
@@ -80,6 +87,8 @@ def _repeated(key: tuple, rows: pa.Table) -> pa.Table:
         hit, at = PK.find(known, x)
         if hit.any():
             out.append((c, x[hit].tobytes(), total[at[hit]].tobytes()))
+    del where
+    trim()
     return pa.table({"chunk": pa.array([c for c, _, _ in out], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int32()),
                      "low": pa.array([x for _, x, _ in out], pa.binary()), "n": pa.array([n for _, _, n in out], pa.binary())})
 
@@ -120,6 +129,8 @@ def _features(k: int, buckets: int, num: int, den: int):
                     continue
                 bits = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
                 out.append((i, _node(s), len(s), s[by].view(np.int64), np.arange(lone, lone + len(by), dtype=np.int32), np.packbits(bits.astype(np.uint8)).view(np.int64), _pack(s)))
+        del key, count
+        trim()
         return pa.table({name: pa.array([r[j] for r in out], t) for j, (name, t) in enumerate(_FEATURE)})
     return run
 
@@ -193,7 +204,8 @@ def links_and_components(docs: DataFrame, id_col: str, text: str, k: int, num: i
     feats = features(docs, id_col, text, k, num, den)
     some = feats.where(F.size("tokens") > 0)
     nodes = some.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "pos")])
-    posts = nodes.select("node", "n", F.explode(F.arrays_zip("pos", "tokens")).alias("x")).select("node", "n", F.col("x.pos").alias("pos"), F.col("x.tokens").alias("token"))
+    posts = (nodes.select("node", "n", F.col("pos")[0].alias("lone"), F.explode(F.arrays_zip("pos", "tokens")).alias("x"))
+             .select("node", "n", "lone", F.col("x.pos").alias("pos"), F.col("x.tokens").alias("token")))
     lists = posts.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
     live = written(spark, posts.join(lists, "token"), "set-lists")
     there = live.select("node").distinct()
@@ -209,29 +221,47 @@ def links_and_components(docs: DataFrame, id_col: str, text: str, k: int, num: i
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
         found = written(spark, _near(pairs, sets, num, den), name)
-        return written(spark, verified(found, sets.select("node", "shingles"), num, den), f"{name}-links")
+        return written(spark, verified(found, sets.select("node", "shingles"), num, den), f"{name}-links", SET_ROWS)
 
     fields = ["node", "n", "pos", "comp"]
     for turn in range(STAR_ROUNDS):
         rows = open_lists(comp)
-        by = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        # first the sets with the smallest share of shingles of their own: an edit makes such shingles, so these are the middles of their groups
+        by = F.col("lone") / F.col("n") if turn == 0 else F.xxhash64("node", F.lit(turn))
         pivots = rows.groupBy("token").agg(F.min(F.struct(by.alias("h"), *fields)).alias("y"))
         cand = rows.select("token", F.struct(*fields).alias("x")).join(pivots, "token").where((F.col("x.comp") != F.col("y.comp")) & _passes("x", "y", num, den))
-        # one pivot a node: the first of its lists' pivots, by h
-        star = cand.groupBy(F.col("x.node").alias("a"), F.col("x.n").alias("na")).agg(F.min(F.struct("y.h", "y.node", "y.n")).alias("y"))
+        # one pivot a node: that of most of its lists, then the first by h
+        met = cand.groupBy(F.col("x.node").alias("a"), F.col("x.n").alias("na"), "y.h", "y.node", "y.n").agg((-F.count("*")).alias("lists"))
+        star = met.groupBy("a", "na").agg(F.min(F.struct("lists", "h", "node", "n")).alias("y"))
         more = check(star.select("a", "na", F.col("y.node").alias("b"), F.col("y.n").alias("nb")), f"star-{turn}")
         if more.isEmpty():
             break
         links = links.unionByName(more)
         comp = components(links)
 
-    # what is left: pairs of different components, by blocks of each list
-    rows = open_lists(comp).join(sets.select("node", "parity", "tokens"), "node")
+    # what is left: pairs of different components, by blocks of each list. First each
+    # entry's nearest one in a block only, while that finds links; then all that remain.
+    for turn in range(NEAREST_ROUNDS + 1):
+        every = turn == NEAREST_ROUNDS or (turn > 0 and more.isEmpty())
+        found = written(spark, _met(spark, open_lists(comp), sets, num, den, every), "rest", BLOCK_ROWS)
+        more = written(spark, verified(found.where("a IS NOT NULL"), sets.select("node", "shingles"), num, den), "rest-links", SET_ROWS)
+        links = links.unionByName(more)
+        if every or found.where("a IS NULL").isEmpty():
+            break
+        comp = components(links)
+    return feats, components(links)
+
+
+def _met(spark: SparkSession, rows: DataFrame, sets: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs (a, na, b, nb) of different components that pass the filters, of the
+    entries of each two blocks of a list: with ``every`` all of them, otherwise
+    each entry's nearest; a row of nulls tells that some were left out."""
+    rows = rows.join(sets.select("node", "parity", "tokens"), "node")
     rows = rows.withColumn("before", F.slice("tokens", 1, F.array_position("tokens", F.col("token")).cast("int") - 1)).drop("tokens")
     cut = F.greatest(F.lit(1), F.ceil(F.col("len") / F.lit(BLOCK)))
     blocks = (rows.withColumn("band", F.floor(F.col("pos") / 8)).withColumn("part", F.pmod(F.xxhash64("node"), cut))
               .groupBy("token", "band", "part").agg(
-                  F.collect_list(F.struct(*fields, "parity", "before")).alias("rows"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high")))
+                  F.collect_list(F.struct("node", "n", "pos", "comp", "parity", "before")).alias("rows"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("n").alias("low"), F.max("n").alias("high")))
     blocks = written(spark, blocks, "set-blocks")
     p, q = blocks.alias("p"), blocks.alias("q")
     order_of = lambda s: F.struct(F.col(f"{s}.band"), F.col(f"{s}.part"))
@@ -242,16 +272,15 @@ def links_and_components(docs: DataFrame, id_col: str, text: str, k: int, num: i
     @F.arrow_udf("array<struct<a:long,na:int,b:long,nb:int>>")
     def survivors(x: pa.Array, y: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("na", pa.int32()), ("b", pa.int64()), ("nb", pa.int32())]))
-        return pa.array([_survivors(a.as_py(), b.as_py(), num, den) for a, b in zip(x, y)], kind)
+        return pa.array([_survivors(a.as_py(), b.as_py(), num, den, every) for a, b in zip(x, y)], kind)
 
-    left = met.select(F.explode(survivors("p.rows", "q.rows")).alias("s")).select("s.*").distinct()
-    found = written(spark, left, "rest")
-    more = written(spark, verified(found, sets.select("node", "shingles"), num, den), "rest-links")
-    return feats, components(links.unionByName(more))
+    return met.select(F.explode(survivors("p.rows", "q.rows")).alias("s")).select("s.*").distinct()
 
 
-def _survivors(x: list[dict], y: list[dict], num: int, den: int) -> list[dict]:
-    """Pairs of entries of two blocks, in different components, that pass."""
+def _survivors(x: list[dict], y: list[dict], num: int, den: int, every: bool = True) -> list[dict]:
+    """Pairs of entries of two blocks, in different components, that pass. Without
+    ``every``, where they outnumber the entries: for each entry the pair whose
+    sketches are likest, and a row of nulls for those left out."""
     cols = lambda rows, f: np.array([r[f] for r in rows], np.int64)
     nx, ny, px, py, cx, cy, ix, iy = cols(x, "n"), cols(y, "n"), cols(x, "pos"), cols(y, "pos"), cols(x, "comp"), cols(y, "comp"), cols(x, "node"), cols(y, "node")
     both = nx[:, None] + ny[None, :]
@@ -261,13 +290,20 @@ def _survivors(x: list[dict], y: list[dict], num: int, den: int) -> list[dict]:
     if not len(i):
         return []
     sx, sy = (np.array([r["parity"] for r in rows], np.int64).view(np.uint64) for rows in (x, y))
-    differ = np.bitwise_count(sx[i] ^ sy[j]).sum(1)
-    keep = np.flatnonzero(differ <= (both - 2 * least)[i, j])
-    # a pair belongs to the list of the first shingle that it shares
-    earlier = [set(r["before"]) for r in x], [set(r["before"]) for r in y]
-    keep = np.array([m for m in keep if earlier[0][i[m]].isdisjoint(earlier[1][j[m]])], np.int64)
-    return [{"a": int(min(ix[a], iy[b])), "na": int(nx[a] if ix[a] < iy[b] else ny[b]), "b": int(max(ix[a], iy[b])), "nb": int(ny[b] if ix[a] < iy[b] else nx[a])}
-            for a, b in zip(i[keep], j[keep])]
+    spare = (both - 2 * least)[i, j] - np.bitwise_count(sx[i] ^ sy[j]).sum(1, dtype=np.int64)
+    keep, out = np.flatnonzero(spare >= 0), []
+    if not every and len(keep) > len(x) + len(y):
+        best = keep[np.argsort(-spare[keep], kind="stable")]
+        nearest = np.union1d(*(best[np.unique(side[best], return_index=True)[1]] for side in (i, j)))
+        if len(nearest) < len(keep):
+            out = [{"a": None, "na": None, "b": None, "nb": None}]
+        keep = nearest
+    else:
+        # a pair belongs to the list of the first shingle that it shares
+        earlier = [set(r["before"]) for r in x], [set(r["before"]) for r in y]
+        keep = np.array([m for m in keep if earlier[0][i[m]].isdisjoint(earlier[1][j[m]])], np.int64)
+    return out + [{"a": int(min(ix[a], iy[b])), "na": int(nx[a] if ix[a] < iy[b] else ny[b]), "b": int(max(ix[a], iy[b])), "nb": int(ny[b] if ix[a] < iy[b] else nx[a])}
+                  for a, b in zip(i[keep], j[keep])]
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 3, num: int = 9, den: int = 10) -> DataFrame:

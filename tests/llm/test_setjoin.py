@@ -116,3 +116,50 @@ def test_query_against_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = sorted(map(tuple, S.op3_jaccard_join(spark, "/root/testdata/sf0.001").collect()), key=str)
     assert got == brute(rows)
+
+
+def test_links_of_near_copies_grow_with_the_group(spark, monkeypatch):
+    """200 copies with one word changed, all of them linked: without pivots, the
+    blocks alone must not verify all 19,900 pairs."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(200):
+        w = list(base)
+        w[rng.randrange(150)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    rows.append((500, "quite another text"))
+    seen, verified = [], S.verified
+
+    def counted(pairs, *args):
+        seen.append(pairs.count())
+        return verified(pairs, *args)
+    monkeypatch.setattr(S, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(S, "verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in S.jaccard_components(df).collect()}
+    assert out == {k: 0 for k in range(200)} | {500: 500}
+    assert 0 < sum(seen) < 6000
+
+
+def test_pivots_are_the_middles_of_their_groups(spark, monkeypatch):
+    """Copies that are linked with the base only: one round with the base as the
+    pivot leaves nothing to the blocks."""
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(150)]
+    rows = [(999, " ".join(base))]
+    for k in range(60):
+        w = list(base)
+        for j in rng.sample(range(3, 147, 4), 2):
+            w[j] = f"x{k}-{j}"
+        rows.append((k, " ".join(w)))
+    names, written = [], S.written
+
+    def kept(spark, df, name, *args):
+        names.append((name, out := written(spark, df, name, *args)))
+        return out
+    monkeypatch.setattr(S, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(S, "written", kept)
+    out = S.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in out} == {0}
+    assert [df.count() for name, df in names if name == "rest"] == [0]
