@@ -26,6 +26,9 @@ positions in its own list of distinct words, asks once for each of its distinct
 (word, context) pairs, packed by bucket, and gets their probabilities back in the
 same order, whatever the number of texts. All counts cover all training texts.
 
+Disk. Each step is written by a job of its own, whose shuffle files go with it;
+a pass's table goes when the next one is there, the model's when the answers are.
+
 Edge cases: null text -> only the end token; empty tables -> no rows; without
 training texts V = N = 0 and every probability is 1; a context that no training
 token follows gives the root's probabilities; ids may repeat or be null; output
@@ -34,7 +37,6 @@ columns replace columns of the same names.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -43,10 +45,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.session import scratch_path
+from scrubline.session import remove, scratch_path
 
 from . import words as W
-from .common import fold, table, written
+from .common import fold, table, written, written_at
 
 PASSES, SWEEPS, STRENGTH = 2, 4, 1.0
 #: Tokens of a bucket on average, and training tokens from which a word has several shares.
@@ -68,7 +70,7 @@ def blocks(texts: DataFrame, block_words: int) -> DataFrame:
         size, code = size.astype(np.int32), code.astype(np.int32)
         key = hashlib.blake2b(b"".join((word.tobytes(), code.tobytes(), size.tobytes(), count.tobytes())), digest_size=8).digest()
         row = [int.from_bytes(key, "little", signed=True), word.view(np.int64).tobytes(), count.tobytes(), pa.array(ids, pa.int64()).to_pylist(), train, size.tobytes(),
-               pa.Codec("zstd").compress(code.tobytes(), asbytes=True), len(code)]
+               _zip(code), len(code)]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _BLOCK)], [n for n, _ in _BLOCK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +108,6 @@ def _unzip(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(item, -1).T).view(kind).ravel()
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go when the driver's JVM collects their
-    plans; it is asked to, or they would stay on the disks until the end."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _rows(rows: list[tuple], kind: list) -> pa.Table:
     return pa.table({n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate(kind)})
 
@@ -178,8 +173,7 @@ def _asks(spec: dict):
 def _block(b: pa.RecordBatch | pa.Table, k: int):
     raw = lambda name, t: np.frombuffer(b[name][k].as_py(), t)
     lengths = raw("lengths", np.int32)
-    codes = pa.Codec("zstd").decompress(b["codes"][k].as_py(), decompressed_size=4 * int(lengths.sum()), asbytes=True)
-    return (b["block"][k].as_py(), raw("words", np.uint64), raw("counts", np.int32), b["ids"][k].as_py(), np.array(b["train"][k].as_py(), bool), lengths, np.frombuffer(codes, np.int32))
+    return (b["block"][k].as_py(), raw("words", np.uint64), raw("counts", np.int32), b["ids"][k].as_py(), np.array(b["train"][k].as_py(), bool), lengths, _unzip(b["codes"][k].as_py(), np.int32))
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: float, others: np.ndarray) -> np.ndarray:
@@ -402,10 +396,7 @@ def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text:
     is a context; with ``most``, only words of at least one in ``most`` training tokens."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), is_train.alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    path = scratch_path(spark, "lm-blocks")
-    made = blocks(rows, block_words)
-    made.write.option("compression", "zstd").parquet(path)
-    blk = spark.read.schema(made.schema).parquet(path)
+    blk = written(spark, blocks(rows, block_words), "lm-blocks")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -429,10 +420,9 @@ def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text:
             "shares": np.array([-(-n // share) for _, n in heavy], np.uint64), "buckets": max(1, -(-tokens // bucket_tokens)),
             "vocabulary": total.v, "tokens": total.n, "d0": _discount(total.n1, total.n2), "pass": 0}
     asks = blk.mapInArrow(_asks(spec), "block long, bucket int, w binary, k binary, u binary, ui binary, c binary")
-    dishes = written(spark, asks.groupBy("bucket").applyInArrow(_dishes(spec), _DISH_DDL), "lm-dishes")
-    del asks
-    _release(spark)
-    own, sent = dishes.where("to < 0"), dishes.where("to >= 0")
+    dishes_at = scratch_path(spark, "lm-dishes")
+    dishes = written_at(spark, asks.groupBy("bucket").applyInArrow(_dishes(spec), _DISH_DDL), dishes_at)
+    own, sent, passed = dishes.where("to < 0"), dishes.where("to >= 0"), []
     sums, shares = _collected(own, 3)
     direct, tables, n1, n2 = sums if len(sums) else np.zeros(4)
     spec |= {"d1": _discount(n1, n2), "root_customers": direct + tables, "root_tables": float(total.v)}
@@ -443,9 +433,10 @@ def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text:
                        "scale": SWEEPS if k else 1}
         told = sent.select("bucket", "to", "ctx", "t", "n").groupBy("to").applyInArrow(_totals, "bucket int, to int, t binary, n binary")
         dealt = own.select("bucket", "w", "ctx", "wi", "ui", "c").groupBy("bucket").cogroup(told.groupBy("bucket"))
-        done = written(spark, dealt.applyInArrow(_gibbs(spec, k == PASSES - 1), _PASS_DDL), f"lm-pass-{k}")
-        del told, dealt
-        _release(spark)
+        passed.append(scratch_path(spark, f"lm-pass-{k}"))
+        done = written_at(spark, dealt.applyInArrow(_gibbs(spec, k == PASSES - 1), _PASS_DDL), passed[k])
+        for path in passed[:-1]:
+            remove(spark, path)
         state, sent = done.where("to < 0"), done.where("to >= 0")
         sums, shares = _collected(state, 3 if k < PASSES - 1 else 2 + 2 * SWEEPS)
         if k < PASSES - 1 and len(sums):
@@ -461,6 +452,10 @@ def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text:
     told = sent.groupBy("to").applyInArrow(_totals, "bucket int, to int, t binary, n binary").select("*", none.alias("c0"), none.alias("t0"))
     told = told.unionByName(state.select("bucket", "to", "t", "n", "c0", "t0"))
     answers = own.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_answers(spec), "block long, bucket int, n binary, p binary")
+    # once the answers are written, nothing reads the model's tables any more
+    answers = written(spark, answers, "lm-answers")
+    for path in (dishes_at, *passed):
+        remove(spark, path)
     kind = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
     slim = {k: spec[k] for k in ("heads", "heavy", "shares", "buckets", "tokens", "vocabulary")}
     scored = blk.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(slim), kind)

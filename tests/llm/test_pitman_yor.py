@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubline.llm import pitman_yor as P
+from scrubline.llm.common import BATCH, TIDY
+from scrubline.session import exists, leased
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -137,3 +139,28 @@ def test_query(spark):
     near([(r.doc_id, not r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out], brute(rows))
     held = [r for r in out if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_steps_leave_no_files_behind(spark):
+    """A written step's shuffle files go with it, and the model's tables when the
+    answers are there; the settings are as before."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        it, n = files.getAllFiles().iterator(), 0
+        while it.hasNext():
+            n += it.next().getName().startswith("shuffle_")
+        return n
+    rows = [(k, f"a b{k % 3} c{k % 5} " * 5, k % 4 > 0) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    settings = {k: spark.conf.get(k) for k in (TIDY, BATCH)}
+    before = shuffled()
+    with leased(spark) as held:
+        out = P.score_texts(df, F.col("train"))
+        assert {k: spark.conf.get(k) for k in settings} == settings
+        # the collected totals shuffle a few figures; no step's rows stay
+        assert shuffled() - before <= 8
+        there = [path.rsplit("/", 1)[1] for path in held if exists(spark, path)]
+        assert any(name.startswith("lm-answers") for name in there)
+        assert not any(name.startswith(("lm-dishes", "lm-pass")) for name in there)
+        assert out.count() == 40
