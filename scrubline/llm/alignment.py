@@ -18,6 +18,10 @@ the counts, and sent back to the slice: a pair costs a row a slice, however ofte
 no table of all pairs is broadcast or collected. Slices are written once, with their
 links; a lost executor reads them again.
 
+Memory. Texts reach Python in batches of BATCH_ROWS rows. A worker remembers a bounded
+number of words, and none of them after its task: workers live on beside the later
+shuffles, which need the executor's memory themselves.
+
 Edge cases: a text that is null, empty or whose tokens do not spell it byte for byte
 (U+2581 in it, say) has no tokens: zeros and '' as digest; repeated rows -> a row
 each, and their links count each time; a null id is kept; an empty table -> no rows;
@@ -42,8 +46,8 @@ from .common import small, table, written
 from .subwords import Pair
 from .wordcache import per_worker, slices
 
-#: Rows and bytes of a slice.
-SLICE_ROWS, SLICE_BYTES = 2048, 2 << 20
+#: Rows and bytes of a slice, and rows of an Arrow batch of texts.
+SLICE_ROWS, SLICE_BYTES, BATCH_ROWS = 2048, 1 << 20, 4096
 
 
 def default_paths() -> tuple[str, str]:
@@ -108,6 +112,14 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+def _until_end(batches: Iterator[pa.RecordBatch], pair: Pair) -> Iterator[pa.RecordBatch]:
+    """The task's batches; then the pair forgets its words."""
+    try:
+        yield from batches
+    finally:
+        pair.forget()
+
+
 def align(df: DataFrame, a_path: str, b_path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a text: its id; a, b (ids); link_a, link_b (positions of tokens that
     overlap) and link_bytes; group_a, group_b (tokens of each group)."""
@@ -117,7 +129,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id: str = "doc_id", text: str
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = per_worker(Pair, a_path, b_path)
-        for batch in batches:
+        for batch in _until_end(batches, pair):
             for k, texts in slices(batch.column(1), SLICE_ROWS, SLICE_BYTES):
                 x = align_slice(pair, texts)
                 links, groups = x.n_links(), int(x.n_groups.sum())
@@ -137,7 +149,7 @@ def shared_links(df: DataFrame, a_path: str, b_path: str, id: str = "doc_id", te
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = per_worker(Pair, a_path, b_path)
-        for batch in batches:
+        for batch in _until_end(batches, pair):
             for k, texts in slices(batch.column(1), SLICE_ROWS, SLICE_BYTES):
                 x = align_slice(pair, texts)
                 left, right = x.incidence()
@@ -194,7 +206,7 @@ def _sliced(df: DataFrame, a_path: str, b_path: str, id: str, text: str) -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, speller, at = per_worker(Pair, a_path, b_path), per_worker(_speller, a_path, b_path), 0
-        for batch in batches:
+        for batch in _until_end(batches, pair):
             ids = batch.column(1)
             for k, texts in slices(batch.column(2), SLICE_ROWS, SLICE_BYTES):
                 x = align_slice(pair, texts)
@@ -230,7 +242,7 @@ def digests(df: DataFrame, a_path: str, b_path: str, id: str = "doc_id", text: s
     """A row a text: id, n_a, n_b, n_groups, n_links, n_shared (shared-group links),
     n_best, count_sum, groups_sha256."""
     spark = df.sparkSession
-    sliced = written(spark, _sliced(df, a_path, b_path, id, text), "alignment-slices")
+    sliced = written(spark, _sliced(df, a_path, b_path, id, text), "alignment-slices", BATCH_ROWS)
     pairs = sliced.where("pairs IS NOT NULL").select("slice", F.posexplode(F.arrays_zip("pairs", "n")).alias("at", "_p"))
     pairs = pairs.select("slice", "at", F.col("_p.pairs").alias("pair"), F.col("_p.n").alias("n"))
     counts = written(spark, pair_counts(pairs.select("pair", "n")), "alignment-pairs")

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bpe import byte_alphabet
+from .common import trim
 from .wordcache import CACHED_CHARS, Recent, gather, numbered, ragged
 
 #: A space (or the start) with more white space or the end behind it: such a text is
@@ -21,8 +22,8 @@ _UNEVEN = r"(^| )([\t-\r\x1c- \x{85}\x{a0}\p{Z}]|$)"
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 #: New words go to the libraries in texts of about this many words.
 JOINED = 256
-#: Words a worker remembers: two generations of this many.
-CACHE_WORDS = 250_000
+#: Words of each kind a task remembers: two generations of this many, at about 0.8 kB a word.
+CACHE_WORDS = 40_000
 #: Stands for tokens whose bytes are not those of the text.
 LOST = (b"", b"", None)
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
@@ -65,6 +66,12 @@ class Pair:
         self.b_size = np.array(list(map(len, self.b_bytes)), np.int64)
         self.cores, self.marks, self.odd = (Recent(cache_words) for _ in range(3))
 
+    def forget(self) -> None:
+        """Drop the remembered words at the end of a task: the worker lives on for later stages."""
+        for cache in (self.cores, self.marks, self.odd):
+            cache.clear()
+        trim()
+
     def whole(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Packed ids of each text by both libraries; LOST if the bytes of either differ."""
         out = []
@@ -117,9 +124,10 @@ class Pair:
         plain = pc.is_valid(split).to_numpy(zero_copy_only=False)
         core, marks = (pc.dictionary_encode(pc.fill_null(pc.struct_field(split, k), "")) for k in (0, 1))
         rest = np.flatnonzero(~plain)
-        # an odd word leaves '' among the letters; its entry is never used
-        known = [*self._known(core.dictionary.to_pylist(), self.cores, self._cores), *self._known(marks.dictionary.to_pylist(), self.marks, self._closing),
-                 *self._known(words.take(pa.array(rest)).to_pylist(), self.odd, lambda part: self._joined(part, None))]
+        # an odd word leaves '' among the letters, a text that is not cut among the words. Such entries
+        # are never used, but joined they would put two spaces before the next word: 'a' stands in
+        known = [*self._known([w or "a" for w in core.dictionary.to_pylist()], self.cores, self._cores), *self._known(marks.dictionary.to_pylist(), self.marks, self._closing),
+                 *self._known([w or "a" for w in words.take(pa.array(rest)).to_pylist()], self.odd, lambda part: self._joined(part, None))]
         offsets = np.append(0, np.cumsum(np.where(plain, 2, 1)))
         entry = np.zeros(offsets[-1], np.int64)
         entry[offsets[:-1][plain]] = core.indices.to_numpy()[plain]

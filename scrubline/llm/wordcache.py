@@ -62,6 +62,9 @@ class Recent:
             self.young, self.old = {}, self.young
         self.young[key] = value
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def gather(offsets: np.ndarray, flat: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows ``numbers`` of a ragged table (offsets, flat): (their lengths, their

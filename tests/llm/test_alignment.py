@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrubline.llm import alignment as A
 from scrubline.llm import sparse as X
 from scrubline.llm import subwords as W
+from scrubline.llm.wordcache import per_worker
 
 PATHS = A.default_paths()
 
@@ -169,3 +170,28 @@ def test_query(spark, pair):
         assert (got[i].n_a, got[i].n_b) == (len(a), len(b))
     for w in brute(pair, short):  # what does not depend on the other texts
         assert [got[w[0]][c] for c in ("n_groups", "n_links", "n_shared", "groups_sha256")] == [w[3], w[4], w[5], w[8]]
+
+
+def test_texts_that_are_not_cut_leave_other_words_alone():
+    """A text with two spaces stays whole, and an odd word leaves no letters: what
+    stands for them among the words must not change the tokens of the next word."""
+    pair = W.Pair(*PATHS)
+    for word in ["ertiin", "êretion", "ñqueción", "írrez", "ertiing.", "zx"]:
+        pair.forget()
+        some = ["a  b", f"3 {word} {word}"]
+        na, a, nb, b = pair.encode(pa.array(some))
+        got = [(a[:na[0]].tolist(), b[:nb[0]].tolist()), (a[na[0]:].tolist(), b[nb[0]:].tolist())]
+        assert got == [tokens(pair, t) for t in some], word
+
+
+def test_workers_forget_words_after_a_task(spark):
+    df = spark.createDataFrame([(k, f"word{k} another{k} thing") for k in range(200)], "doc_id long, text string").repartition(4)
+    assert A.digests(df, *PATHS).count() == 200
+
+    def remembered(batches):
+        made = per_worker.__kwdefaults__["_made"]
+        n = sum(len(c.young) + len(c.old) for key, x in made.items() if key[0].__name__ == "Pair" for c in (x.cores, x.marks, x.odd))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], ["n"])
+
+    assert spark.range(64).repartition(8).mapInArrow(remembered, "n long").agg(F.max("n")).first()[0] == 0
