@@ -48,13 +48,15 @@ from pyspark.sql import functions as F
 from scrubline.session import remove, scratch_path
 
 from . import words as W
-from .common import fold, table, written, written_at
+from .common import fold, table, trim, written, written_at
 
 PASSES, SWEEPS, STRENGTH = 2, 4, 1.0
 #: Tokens of a bucket on average, and training tokens from which a word has several shares.
 BUCKET_TOKENS, SHARE = 2_000_000, 500_000
 #: Words of a block; a longer text is a block of its own.
 BLOCK_WORDS = 5_000_000
+#: Rows of an Arrow batch of texts, values numbered at a time, and tokens scored at a time.
+BATCH_ROWS, NUMBERED, SCORED = 1024, 1 << 19, 1 << 20
 END = np.uint64(0x9AE16A3B2F90404F)
 
 
@@ -63,14 +65,19 @@ def blocks(texts: DataFrame, block_words: int) -> DataFrame:
     counts (training tokens of each), ids, train, lengths, codes (compressed)
     and tokens (how many)."""
     def emit(parts: list[np.ndarray], ids: list, train: list) -> pa.RecordBatch:
-        size = np.array([len(p) for p in parts])
-        word, code = np.unique(np.concatenate(parts), return_inverse=True)
-        own = np.repeat(np.array(train, bool), size)
-        count = np.bincount(code, weights=own, minlength=len(word)).astype(np.int32)
-        size, code = size.astype(np.int32), code.astype(np.int32)
-        key = hashlib.blake2b(b"".join((word.tobytes(), code.tobytes(), size.tobytes(), count.tobytes())), digest_size=8).digest()
-        row = [int.from_bytes(key, "little", signed=True), word.view(np.int64).tobytes(), count.tobytes(), pa.array(ids, pa.int64()).to_pylist(), train, size.tobytes(),
+        size = np.array([len(p) for p in parts], np.int32)
+        hashes = np.concatenate(parts)
+        parts.clear()
+        word, code = _numbered(hashes)
+        del hashes
+        count = np.bincount(code[np.repeat(np.array(train, bool), size)], minlength=len(word)).astype(np.int32)
+        key = hashlib.blake2b(digest_size=8)
+        for part in (word, code, size, count):
+            key.update(part)
+        row = [int.from_bytes(key.digest(), "little", signed=True), word.view(np.int64).tobytes(), count.tobytes(), pa.array(ids, pa.int64()).to_pylist(), train, size.tobytes(),
                _zip(code), len(code)]
+        del word, code, count
+        trim()
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _BLOCK)], [n for n, _ in _BLOCK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +115,25 @@ def _unzip(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(item, -1).T).view(kind).ravel()
 
 
+def _numbered(x: np.ndarray, most: int = NUMBERED) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, index of each of ``x`` among them), about ``most``
+    values at a time by ranges: a sort holds several arrays of its input's length."""
+    sample = np.sort(x[::512])
+    edges = np.unique(sample[max(most >> 9, 1)::max(most >> 9, 1)])
+    known, where, total = [], np.empty(len(x), np.int32), 0
+    for k in range(len(edges) + 1):
+        some = np.ones(len(x), bool) if k == 0 else x >= edges[k - 1]
+        if k < len(edges):
+            some &= x < edges[k]
+        at = np.flatnonzero(some)
+        del some
+        values, index = np.unique(x[at], return_inverse=True)
+        where[at] = index + total
+        total += len(values)
+        known.append(values)
+    return np.concatenate(known), where
+
+
 def _rows(rows: list[tuple], kind: list) -> pa.Table:
     return pa.table({n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate(kind)})
 
@@ -129,20 +155,30 @@ def _deal(w: np.ndarray, u: np.ndarray, spec: dict) -> np.ndarray:
 
 
 def _pairs(words: np.ndarray, codes: np.ndarray, lengths: np.ndarray, train: np.ndarray, spec: dict):
-    """Distinct (word, context, training tokens, bucket) of a block in the order of
-    the buckets, and the pair of each token. The root's context is END."""
-    before = np.concatenate(([-1], codes[:-1].astype(np.int64)))
-    before[np.cumsum(lengths) - lengths] = -1
+    """Distinct (code of the word, context, training tokens, bucket) of a block in the order of
+    the buckets, and the pair of each token. A context is 0 for the root, else code + 1."""
+    before = np.append(np.int32(0), codes[:-1] + np.int32(1))
+    before[np.cumsum(lengths) - lengths] = 0
     if spec["heads"] is not None:
-        before = np.where((before >= 0) & (_find(spec["heads"], words) >= 0)[before], before, -1)
-    pair, where = np.unique(codes.astype(np.int64) * (len(words) + 1) + before + 1, return_inverse=True)
-    own = np.bincount(where, weights=np.repeat(train, lengths), minlength=len(pair)).astype(np.int32)
-    w, u = words[pair // (len(words) + 1)], np.append(END, words)[pair % (len(words) + 1)]
-    bucket = _deal(w, u, spec)
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return w[order], u[order], own[order], bucket[order], rank[where]
+        before[~np.append(True, _find(spec["heads"], words) >= 0)[before]] = 0
+    key = codes.astype(np.int64)
+    key *= len(words) + 1
+    key += before
+    del before
+    pair, where = _numbered(key)
+    del key
+    own = np.bincount(where[np.repeat(train, lengths)], minlength=len(pair)).astype(np.int32)
+    code, before = (part.astype(np.int32) for part in np.divmod(pair, len(words) + 1))
+    del pair
+    contexts, bucket = np.append(END, words), np.empty(len(code), np.int32)
+    for a in range(0, len(code), NUMBERED):
+        bucket[a:a + NUMBERED] = _deal(words[code[a:a + NUMBERED]], contexts[before[a:a + NUMBERED]], spec)
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    where = rank[where]
+    del rank
+    return code[order], before[order], own[order], bucket[order], where
 
 
 def _cuts(a: np.ndarray) -> np.ndarray:
@@ -159,14 +195,16 @@ def _asks(spec: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for j in range(b.num_rows):
+                trim()
                 block, words, _, _, train, lengths, codes = _block(b, j)
-                w, u, c, bucket, _ = _pairs(words, codes, lengths, train, spec)
-                cut, out = _cuts(bucket), []
+                code, before, c, bucket, _ = _pairs(words, codes, lengths, train, spec)
+                del codes, _
+                cut, contexts = _cuts(bucket), np.append(END, words)
                 for lo, hi in zip(cut[:-1], cut[1:]):
-                    at = _cuts(w[lo:hi])
-                    ctx, ui = np.unique(u[lo:hi], return_inverse=True)
-                    out.append((block, int(bucket[lo]), _zip(w[lo:hi][at[:-1]]), _zip(np.diff(at).astype(np.int32)), _zip(ctx), _zip(ui.astype(np.int32)), _zip(c[lo:hi])))
-                yield from _rows(out, _ASK).to_batches()
+                    at = _cuts(code[lo:hi])
+                    ctx, ui = np.unique(contexts[before[lo:hi]], return_inverse=True)
+                    row = (block, int(bucket[lo]), _zip(words[code[lo:hi][at[:-1]]]), _zip(np.diff(at).astype(np.int32)), _zip(ctx), _zip(ui.astype(np.int32)), _zip(c[lo:hi]))
+                    yield from _rows([row], _ASK).to_batches()
     return run
 
 
@@ -219,6 +257,7 @@ def _sent(bucket: int, ctx: np.ndarray, t: np.ndarray, n: np.ndarray, buckets: i
 def _dishes(spec: dict):
     """A bucket's rows from all blocks' asks."""
     def run(key: tuple, asks: pa.Table) -> pa.Table:
+        trim()
         bucket = key[0].as_py()
         get = lambda name, kind: [_unzip(v.as_py(), kind) for v in asks[name]]
         ctxs, uis, c = get("u", np.uint64), get("ui", np.int32), get("c", np.int32)
@@ -366,22 +405,30 @@ def _scores(spec: dict):
         # equal blocks have one key and equal answers
         got = {r["bucket"]: (r["n"], r["p"]) for r in answers.select(["bucket", "n", "p"]).to_pylist()}
         for k in range(block.num_rows):
+            trim()
             _, words, _, ids, train, lengths, codes = _block(block, k)
-            w, _, _, bucket, where = _pairs(words, codes, lengths, train, spec)
-            n, lp = np.zeros(len(words), np.int64), np.zeros(len(w))
+            code, _, _, bucket, where = _pairs(words, codes, lengths, train, spec)
+            n, lp = np.zeros(len(words), np.int64), np.zeros(len(code))
             cut = _cuts(bucket)
             for lo, hi in zip(cut[:-1], cut[1:]):
                 known, p = got[int(bucket[lo])]
-                n[np.searchsorted(words, w[lo:hi][_cuts(w[lo:hi])[:-1]])] = _unzip(known, np.int64)
+                n[code[lo:hi][_cuts(code[lo:hi])[:-1]]] = _unzip(known, np.int64)
                 lp[lo:hi] = _unzip(p, np.float32)
-            base = np.log10((n + 1) / (spec["tokens"] + spec["vocabulary"] + 1))[codes]
-            cut = np.cumsum(lengths) - lengths
+            del code, bucket, _
+            base = np.log10((n + 1) / (spec["tokens"] + spec["vocabulary"] + 1))
             out["id"] += ids
             out["train"] += train.tolist()
             out["n_tokens"] += lengths.tolist()
-            out["n_known"] += np.add.reduceat((n > 0)[codes].astype(np.int64), cut).tolist()
-            out["base_score"] += np.add.reduceat(base, cut).tolist()
-            out["score"] += np.add.reduceat(lp[where], cut).tolist()
+            end = np.cumsum(lengths, dtype=np.int64)
+            a = 0
+            while a < len(lengths):  # whole texts, about SCORED tokens at a time
+                lo = int(end[a - 1]) if a else 0
+                b = max(int(np.searchsorted(end, lo + SCORED, "right")), a + 1)
+                some, cut = slice(lo, int(end[b - 1])), end[a:b] - lengths[a:b] - lo
+                out["n_known"] += np.add.reduceat((n > 0)[codes[some]].astype(np.int64), cut).tolist()
+                out["base_score"] += np.add.reduceat(base[codes[some]], cut).tolist()
+                out["score"] += np.add.reduceat(lp[where[some]], cut).tolist()
+                a = b
         return pa.table({k: pa.array(out[k], t) for k, t in _SCORE})
     return run
 
@@ -396,7 +443,7 @@ def score_texts(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text:
     is a context; with ``most``, only words of at least one in ``most`` training tokens."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), is_train.alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blk = written(spark, blocks(rows, block_words), "lm-blocks")
+    blk = written(spark, blocks(rows, block_words), "lm-blocks", BATCH_ROWS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

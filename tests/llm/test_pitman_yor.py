@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -164,3 +165,25 @@ def test_steps_leave_no_files_behind(spark):
         assert any(name.startswith("lm-answers") for name in there)
         assert not any(name.startswith(("lm-dishes", "lm-pass")) for name in there)
         assert out.count() == 40
+
+
+def test_pairs_of_a_block_in_little_memory():
+    """Equal to one sort of all tokens' pairs, within 36 bytes a token."""
+    rng = np.random.default_rng(4)
+    n, words = 4_000_000, np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+    codes, lengths, train = (rng.integers(0, 300, n) * rng.integers(0, 2, n)).astype(np.int32), np.array([n - 5, 1, 4], np.int32), np.array([True, False, True])
+    spec = {"heads": None, "heavy": words[:1], "shares": np.array([3], np.uint64), "buckets": 7}
+    tracemalloc.start()
+    code, before, own, bucket, where = P._pairs(words, codes, lengths, train, spec)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    last = np.append(0, codes[:-1] + 1)
+    last[[0, n - 5, n - 4]] = 0
+    assert (code[where] == codes).all() and (before[where] == last).all()
+    assert len(code) == len(np.unique(codes.astype(np.int64) * 301 + last))
+    assert (own == np.bincount(where[np.repeat(train, lengths)], minlength=len(code))).all()
+    assert (bucket == P._deal(words[code], np.append(P.END, words)[before], spec)).all() and (np.diff(bucket) >= 0).all()
+    assert peak < 36 * n, peak / n
+    for x in (np.zeros(0, np.int64), rng.integers(0, 50, 30_000), np.sort(rng.integers(0, 1 << 40, 30_000)).astype(np.uint64)):
+        known, at = P._numbered(x, 2048)
+        assert (known == np.unique(x)).all() and (known[at] == x).all()
